@@ -120,3 +120,15 @@ def hash_order(cols: list[str], seed: int) -> Column:
 def rating_double(col: str = "rating") -> Column:
     """Ratings are DECIMAL(2,1) at rest; aggregate them as DOUBLE (exact for half steps)."""
     return F.col(col).cast("double")
+
+
+def units(x, digits: int = 4) -> Column:
+    """A value with `digits` decimals as an exact integer count of 10^-digits."""
+    return F.round(_c(x) * (10 ** digits)).cast("long")
+
+
+def mean_of_units(total_units: str, count: str, digits: int = 4) -> Column:
+    """Mean of values given as integer units, rounded half up to `digits`
+    with exact integer division (no binary rounding ties)."""
+    q = F.expr(f"(2 * `{total_units}` + `{count}`) div (2 * `{count}`)")
+    return F.when(F.col(count) > 0, q / float(10 ** digits)).otherwise(F.lit(0.0))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelrank.functions.columns import default_method, parse_iso_ts
+from reelrank.functions.columns import default_method, mean_of_units, parse_iso_ts, units
 from reelrank.sources.schemas import RECO_LOG_WITH_CORRUPT
 
 ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
@@ -123,16 +123,16 @@ def list_metrics(log: DataFrame, popular: DataFrame, digits: int = 4) -> DataFra
     scores = F.transform("recommendations", lambda r: r["score"])
     n = F.size("recommendations")
     novel = F.size(F.filter(titles, lambda t: ~F.array_contains(pop, t)))
-    total = F.aggregate(scores, F.lit(0.0), lambda acc, s: acc + s)
-    return log.select(
+    total = F.aggregate(scores, F.lit(0).cast("long"), lambda acc, s: acc + units(s, digits))
+    out = log.select(
         "*",
         F.when(n > 0, F.round(F.size(F.array_distinct(titles)) / n, digits)).otherwise(0.0).alias("diversity"),
         F.when(n > 0, F.round(novel / n, digits)).otherwise(0.0).alias("novelty"),
-        F.when(n > 0, F.round(total / n, digits)).otherwise(0.0).alias("avg_score"),
         F.coalesce(F.round(F.array_max(scores), digits), F.lit(0.0)).alias("max_score"),
         F.coalesce(F.round(F.array_min(scores), digits), F.lit(0.0)).alias("min_score"),
         n.alias("list_size"),
-        total.alias("_score_sum"))
+        total.alias("_score_units"))
+    return out.withColumn("avg_score", mean_of_units("_score_units", "list_size", digits))
 
 
 def reco_statistics(metrics: DataFrame, days: int = 7, digits: int = 4) -> DataFrame:
@@ -144,13 +144,13 @@ def reco_statistics(metrics: DataFrame, days: int = 7, digits: int = 4) -> DataF
     methods = by_method.select(F.coalesce(F.array_join(F.array_sort(F.collect_list(
         F.concat("method", F.lit(":"), F.col("n").cast("string")))), ","), F.lit(""))).scalar()
     agg = m.agg(F.count(F.lit(1)).alias("total_recommendations"),
-                F.avg("diversity").alias("d"), F.avg("novelty").alias("v"),
-                F.sum("_score_sum").alias("s"), F.sum("list_size").alias("k"))
+                F.sum(units("diversity", digits)).alias("d"), F.sum(units("novelty", digits)).alias("v"),
+                F.sum("_score_units").alias("s"), F.sum("list_size").alias("k"))
     return agg.select(
         "total_recommendations", F.lit(days).alias("period_days"),
-        F.coalesce(F.round("d", digits), F.lit(0.0)).alias("avg_diversity"),
-        F.coalesce(F.round("v", digits), F.lit(0.0)).alias("avg_novelty"),
-        F.coalesce(F.round(F.col("s") / F.col("k"), digits), F.lit(0.0)).alias("avg_score"),
+        mean_of_units("d", "total_recommendations", digits).alias("avg_diversity"),
+        mean_of_units("v", "total_recommendations", digits).alias("avg_novelty"),
+        F.coalesce(mean_of_units("s", "k", digits), F.lit(0.0)).alias("avg_score"),
         methods.alias("methods_used"))
 
 

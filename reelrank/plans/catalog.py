@@ -661,7 +661,9 @@ _POPULAR_TITLES_SQL = f"""
   metrics AS (
     SELECT l.*, CASE WHEN len(titles) > 0 THEN round(len(list_distinct(titles)) / len(titles), 4) ELSE 0.0 END AS diversity,
            CASE WHEN len(titles) > 0 THEN round(coalesce(n.novel, 0) / len(titles), 4) ELSE 0.0 END AS novelty,
-           CASE WHEN len(scores) > 0 THEN round(list_sum(scores) / len(scores), 4) ELSE 0.0 END AS avg_score,
+           CASE WHEN len(scores) > 0 THEN ((2 * list_sum(list_transform(scores, lambda x: CAST(round(x * 10000) AS BIGINT)))
+                + len(scores)) // (2 * len(scores))) / 10000.0 ELSE 0.0 END AS avg_score,
+           list_sum(list_transform(scores, lambda x: CAST(round(x * 10000) AS BIGINT))) AS score_units,
            coalesce(round(list_max(scores), 4), 0.0) AS max_score, coalesce(round(list_min(scores), 4), 0.0) AS min_score,
            CAST(len(titles) AS INTEGER) AS list_size
     FROM reco_log l LEFT JOIN nov n ON l.event_id = n.event_id)
@@ -729,8 +731,9 @@ def set_of_recommended(m):
 , recent AS (SELECT * FROM metrics WHERE ts >= (SELECT max(ts) FROM reco_log) - INTERVAL {LOG_DAYS} DAY),
   meth AS (SELECT coalesce(method, 'unknown') AS method, count(*) AS n FROM recent GROUP BY 1)
 SELECT count(*) AS total_recommendations, {LOG_DAYS} AS period_days,
-       coalesce(round(avg(diversity), 4), 0.0) AS avg_diversity, coalesce(round(avg(novelty), 4), 0.0) AS avg_novelty,
-       coalesce(round(sum(list_sum(scores)) / sum(len(scores)), 4), 0.0) AS avg_score,
+       coalesce(((2 * sum(CAST(round(diversity * 10000) AS BIGINT)) + count(*)) // (2 * count(*))) / 10000.0, 0.0) AS avg_diversity,
+       coalesce(((2 * sum(CAST(round(novelty * 10000) AS BIGINT)) + count(*)) // (2 * count(*))) / 10000.0, 0.0) AS avg_novelty,
+       coalesce(((2 * sum(score_units) + sum(list_size)) // (2 * sum(list_size))) / 10000.0, 0.0) AS avg_score,
        coalesce((SELECT string_agg(method || ':' || CAST(n AS VARCHAR), ',' ORDER BY method || ':' || CAST(n AS VARCHAR)) FROM meth), '') AS methods_used
 FROM recent""")
 def reco_statistics(m):
