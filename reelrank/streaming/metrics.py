@@ -61,12 +61,13 @@ def request_rate(events: DataFrame, window: str = WINDOW, slide: str = SLIDE,
                       "requests", (F.col("requests") / seconds).alias("rate"))
 
 
-def histogram_quantile(q: float, cum: str = "buckets", total: str = "le_inf") -> F.Column:
+def histogram_quantile(q: float, cum: str = "buckets", total: str = "le_inf",
+                       bounds_list: list[float] = LATENCY_BOUNDS) -> F.Column:
     """PromQL-style quantile from cumulative bucket counts (array column in
-    LATENCY_BOUNDS order): linear interpolation inside the bucket; a
-    quantile in the +Inf bucket returns the highest finite bound."""
-    bounds = F.array(*[F.lit(b) for b in LATENCY_BOUNDS])
-    n = len(LATENCY_BOUNDS)
+    bound order): linear interpolation inside the bucket; a quantile in the
+    +Inf bucket returns the highest finite bound."""
+    bounds = F.array(*[F.lit(float(b)) for b in bounds_list])
+    n = len(bounds_list)
     rank = F.lit(q) * F.col(total)
     idx = F.array_min(F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.col(cum)[i] >= rank))
     lower = F.when(idx == 0, F.lit(0.0)).otherwise(bounds[idx - 1])
@@ -74,7 +75,7 @@ def histogram_quantile(q: float, cum: str = "buckets", total: str = "le_inf") ->
     inside = F.col(cum)[idx] - below
     interp = lower + (bounds[idx] - lower) * F.when(inside > 0, (rank - below) / inside).otherwise(F.lit(1.0))
     return (F.when(F.col(total) == 0, F.lit(None).cast("double"))
-            .when(idx.isNull(), F.lit(LATENCY_BOUNDS[-1])).otherwise(interp))
+            .when(idx.isNull(), F.lit(float(bounds_list[-1]))).otherwise(interp))
 
 
 def latency_quantiles(events: DataFrame, window: str = WINDOW, watermark: str = WATERMARK) -> DataFrame:
