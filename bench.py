@@ -3,7 +3,11 @@
 Runs J1, A3, A6, T2, R8 and D3 on `$BENCH_SF_DIR` (default
 /root/testdata/sf0.1) with `local[$BENCH_CPUS]`: one warm-up and three
 timed runs each, median reported. Each run executes the full plan into
-the no-op sink (nothing is collected). Prints one JSON line.
+the no-op sink (nothing is collected). The ratings table is derived from
+lineitem x orders and stored once per application (as the reference loads
+it once); that ingest is timed on its own as `ingest_ratings`. R8 includes
+fitting the model (biases + ALS) on the filtered ratings. Prints one JSON
+line; `value` is the sum of the medians.
 """
 
 from __future__ import annotations
@@ -36,6 +40,18 @@ def main() -> None:
 
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=cpus)
     timings = {}
+    # Ingest: derive the ratings table from lineitem x orders and store it
+    # (done once per application by the queries below; timed separately).
+    from reelrank.session import scratch_path
+    from reelrank.sources.driver import model, write_ratings
+    m = model(spark, sf_dir)
+    samples = []
+    for i in range(runs + 1):
+        t0 = time.perf_counter()
+        write_ratings(m.derive_ratings(), scratch_path(spark, "bench-ratings"))
+        if i > 0:
+            samples.append(time.perf_counter() - t0)
+    timings["ingest_ratings"] = round(statistics.median(samples), 3)
     for key in HEADLINE:
         fn = QUERIES[key]
         samples = []

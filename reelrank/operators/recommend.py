@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from reelrank.config import validate_top_n
 from reelrank.functions.columns import RATING_MAX, RATING_MIN, clip_to_scale, rating_double
 
 # Block sizing of the top-N product (rows per side of one cogroup).
 USERS_PER_CHUNK = 20_000
 ITEMS_PER_BLOCK = 50_000
 SCORE_BATCH = 512
+MIN_USERS_PER_CHUNK = 500
 
 
 @dataclass
@@ -134,19 +136,38 @@ def _topn_group(n: int, mu: float):
                 hit = ids[pos_c] == flat
                 s[rows[hit], pos_c[hit]] = -np.inf
             uid = chunk["user_id"].to_numpy()
-            for row in range(len(chunk)):
-                sr = s[row]
-                kth = np.partition(sr, len(sr) - k)[len(sr) - k]
-                cand = np.nonzero(sr >= kth)[0]
-                cand = cand[np.isfinite(sr[cand])]
-                best = cand[np.lexsort((ids[cand], -sr[cand]))][:k]
-                cols["user_id"].extend([uid[row]] * len(best))
-                cols["item_id"].extend(ids[best].tolist())
-                cols["score"].extend(sr[best].tolist())
+            # k-th best value per row; every entry >= it is a candidate (ties
+            # included), then one lexsort orders candidates by (row, -score,
+            # item id) and the first k per row are kept.
+            kth = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k]
+            rr, cc = np.nonzero((s >= kth[:, None]) & np.isfinite(s))
+            vals = s[rr, cc]
+            order = np.lexsort((ids[cc], -vals, rr))
+            rr, cc, vals = rr[order], cc[order], vals[order]
+            first = np.searchsorted(rr, np.arange(len(chunk)))
+            keep = (np.arange(len(rr)) - first[rr]) < k
+            cols["user_id"].extend(uid[rr[keep]].tolist())
+            cols["item_id"].extend(ids[cc[keep]].tolist())
+            cols["score"].extend(vals[keep].tolist())
         return pd.DataFrame(cols, columns=["user_id", "item_id", "score"])
     return score
 
 
+def grid_size(n_users: int, n_items: int, parallelism: int) -> tuple[int, int]:
+    """(user chunks, item blocks) of the blocked product.
+
+    Memory bounds every group (at most USERS_PER_CHUNK x ITEMS_PER_BLOCK);
+    beyond that, users are cut into more chunks until there are about two
+    groups per core, but never below MIN_USERS_PER_CHUNK users per chunk,
+    so the replicated item side stays a small fraction of the scoring work.
+    """
+    blocks = max(1, -(-n_items // ITEMS_PER_BLOCK))
+    chunks = max(1, -(-n_users // USERS_PER_CHUNK))
+    by_cores = -(-2 * parallelism // blocks)
+    chunks = max(chunks, min(by_cores, max(1, n_users // MIN_USERS_PER_CHUNK)))
+    return chunks, blocks
+
+
 def recommend_users(model: MFModel, requested: DataFrame, ratings: DataFrame, items: DataFrame,
                     n: int = 5) -> DataFrame:
     """R8 (+J10, J11, U3, T5): top-N unseen items for every requested user.
@@ -155,8 +176,7 @@ def recommend_users(model: MFModel, requested: DataFrame, ratings: DataFrame, it
     list). "Seen" is judged on the full ratings. Items without a title are
     dropped after ranking, so a list may be shorter than N.
     """
-    if not 1 <= n <= 50:
-        raise ValueError("top_n must be within 1..50")
+    validate_top_n(n)
     uf = model.als.userFactors.select(F.col("id").cast("bigint").alias("user_id"), "features")
     itf = model.als.itemFactors.select(F.col("id").cast("bigint").alias("item_id"), "features")
     users = (requested.select("user_id").distinct().join(uf, "user_id").join(model.user_bias, "user_id"))
@@ -166,8 +186,7 @@ def recommend_users(model: MFModel, requested: DataFrame, ratings: DataFrame, it
     item_side = itf.join(model.item_bias, "item_id")
     n_users = users.count()
     n_items = item_side.count()
-    chunks = max(1, -(-n_users // USERS_PER_CHUNK))
-    blocks = max(1, -(-n_items // ITEMS_PER_BLOCK))
+    chunks, blocks = grid_size(n_users, n_items, requested.sparkSession.sparkContext.defaultParallelism)
     u_rep = (users.withColumn("chunk", F.pmod(F.xxhash64("user_id"), F.lit(chunks)))
              .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
     i_rep = (item_side.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))

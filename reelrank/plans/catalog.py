@@ -953,3 +953,53 @@ def baseline_bootstrap(m):
         return current.select(F.lit(False).alias("drift_detected"), F.lit("baseline_created").alias("status"))
     rows = D.detect_drift(current, stored)
     return D.drift_verdict(rows).select("drift_detected", F.lit("compared").alias("status"))
+
+
+# ------------------------------------------------------------ more sinks ----
+@register("append_reco_log", """
+SELECT user_id, method, num_recommendations FROM reco_log""")
+def append_reco_log(m):
+    """Log lines appended in two writes (two halves of the events) and
+    scanned back: row shape of the stored log."""
+    path = scratch_path(m.spark, "reco-log-append")
+    entries = Q.log_entries_from_events(m.events(), m.items())
+    mid = m.events().select(F.median("event_id")).scalar()
+    Q.append_reco_log(entries.filter(F.col("event_id") < mid), path)
+    Q.append_reco_log(entries.filter(F.col("event_id") >= mid), path)
+    return Q.scan_reco_log(m.spark, path).select("user_id", "method", "num_recommendations")
+
+
+@register("load_if_empty", "SELECT count(*) AS num_ratings, 1 AS loads FROM ratings")
+def load_if_empty(m):
+    """The load runs for an empty target only: a second attempt is skipped."""
+    spark = m.spark
+    target = scratch_path(spark, "load-if-empty")
+    loads = 0
+    for _ in range(2):
+        loads += W.load_if_empty(target, lambda p: m.ratings().write.mode("append").parquet(p), spark)
+    return spark.read.parquet(target).agg(F.count(F.lit(1)).alias("num_ratings")).withColumn("loads", F.lit(loads))
+
+
+@register("save_baseline_stats", _STATS_SQL.format(extra=", '2000-01-01T00:00:00.000000' AS \"timestamp\"", where=""))
+def save_baseline_stats(m):
+    path = scratch_path(m.spark, "baseline-stats-save")
+    W.save_baseline_stats(A.data_statistics(m.ratings()), path, "2000-01-01T00:00:00.000000")
+    return m.spark.read.schema(S.BASELINE_STATS).json(path)
+
+
+@register("save_baseline_rows", """
+SELECT user_id, item_id, rating, "timestamp" FROM ratings ORDER BY "timestamp" DESC, user_id ASC, item_id ASC LIMIT 10000""")
+def save_baseline_rows(m):
+    """The current sample (latest 10,000 ratings) stored as baseline rows."""
+    path = scratch_path(m.spark, "baseline-rows-save")
+    W.save_baseline_rows(A.latest_rows(m.ratings(), 10000), path)
+    return W.load_baseline_rows(m.spark, path)
+
+
+@register("write_drift_report", _DRIFT_SQL + """
+SELECT metric, baseline, current, round(raw, 2) AS change_pct,
+       CASE WHEN raw > 10.0 THEN 'drift_detected' ELSE 'normal' END AS status FROM rows""")
+def write_drift_report(m):
+    path = scratch_path(m.spark, "drift-report")
+    W.write_drift_report(_drift_rows(m), path)
+    return m.spark.read.schema("metric string, baseline double, current double, change_pct double, status string").json(path)

@@ -182,3 +182,12 @@ def load_model(m):
     R.save_model(_fit(m), path)
     model = R.load_model(m.spark, path)
     return R.predict_pairs(model, _train(m).select("user_id", "item_id", "rating"))
+
+
+@register("write_topn_csv")
+def write_topn_csv(m):
+    """One CSV folder per user (movie, score), read back with the user column."""
+    lists = R.recommend_users(_fit(m), _requested_users(m), m.ratings(), m.items(), TOP_N)
+    path = scratch_path(m.spark, "topn-csv-out")
+    W.write_topn_csv(lists, path)
+    return m.spark.read.option("header", True).schema("movie string, score double, user_id bigint").csv(path)

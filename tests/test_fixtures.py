@@ -166,3 +166,22 @@ def test_column_functions(spark):
     assert [r[0] for r in e.select(C.normalise_epoch("t")).collect()] == [1700000000, 1700000000]
     c = spark.createDataFrame([(-1.0,), (3.0,), (7.0,)], "x double")
     assert [r[0] for r in c.select(C.clip_to_scale("x")).collect()] == [0.5, 3.0, 5.0]
+
+
+def test_p26_validate_top_n():
+    from reelrank.config import JobConfig, validate_top_n
+    assert validate_top_n(5) == 5 and validate_top_n(50) == 50
+    for bad in (0, 51, 100, -1, 2.5, True):
+        with pytest.raises(ValueError):
+            validate_top_n(bad)
+    cfg = JobConfig()
+    assert (cfg.min_ratings_user, cfg.min_ratings_movie, cfg.top_n, cfg.predict_sample_size) == (50, 100, 5, 2_000_000)
+    assert cfg.with_overrides(top_n=10).top_n == 10
+
+
+def test_d6_schema_drift(spark):
+    a = spark.createDataFrame([(1, 2.0)], "user_id long, rating double")
+    b = spark.createDataFrame([(1, "x", 2)], "user_id long, extra string, rating long")
+    out = D.schema_drift(a, b)
+    assert out["drift_detected"] and out["added"] == ["extra"] and out["type_changed"] == ["rating"]
+    assert not D.schema_drift(a, a)["drift_detected"]
