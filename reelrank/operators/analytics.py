@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from reelrank.operators.topk import top_k
 from reelrank.functions.columns import (DAMPING, bucket_rank, count_bucket, damped_score,
                                         epoch_to_date, rating_double)
 
@@ -78,6 +79,12 @@ def top_popular(ratings: DataFrame, items: DataFrame, n: int = 10, min_count: in
     return popularity_stats(ratings, items, min_count).orderBy(*_popular_order()).limit(n)
 
 
+def genre_names(genres: DataFrame) -> DataFrame:
+    """The genre table for joins: a vocabulary (tens to thousands of names),
+    broadcast so the item side always streams in its own partitioning."""
+    return F.broadcast(genres.select("genre_id", "name"))
+
+
 def popularity_by_genre(ratings: DataFrame, items: DataFrame, item_genres: DataFrame, genres: DataFrame,
                         genre: str | None = None, min_count: int = 10) -> DataFrame:
     """A4 + J3: popularity per (genre, item). `genre=None` keeps all genres.
@@ -86,7 +93,7 @@ def popularity_by_genre(ratings: DataFrame, items: DataFrame, item_genres: DataF
     item's genres, instead of joining ratings to genres first (which would
     multiply the big side by the genres per item).
     """
-    ig = item_genres.join(genres, "genre_id")
+    ig = item_genres.join(genre_names(genres), "genre_id")
     if genre is not None:
         ig = ig.filter(F.col("name") == genre)
     pop = popularity_stats(ratings, items, min_count)
@@ -109,7 +116,7 @@ def top_genre_popular(ratings: DataFrame, items: DataFrame, item_genres: DataFra
 
 def preferred_genres(ratings: DataFrame, item_genres: DataFrame, genres: DataFrame) -> DataFrame:
     """A5 + J4: per user and genre, average rating and count."""
-    ig = item_genres.join(genres, "genre_id").select("item_id", F.col("name").alias("genre"))
+    ig = item_genres.join(genre_names(genres), "genre_id").select("item_id", F.col("name").alias("genre"))
     r = rating_double()
     return (ratings.select("user_id", "item_id", r.alias("rating")).join(ig, "item_id")
             .groupBy("user_id", "genre")
@@ -250,9 +257,14 @@ def user_top_score(lists: DataFrame, users: DataFrame) -> DataFrame:
 
 # -- top-k reports ----------------------------------------------------------
 def latest_rows(ratings: DataFrame, n: int = 10000) -> DataFrame:
-    """The n most recent ratings (ties by user, item)."""
-    return (ratings.orderBy(F.col("timestamp").desc(), F.col("user_id").asc(), F.col("item_id").asc())
-            .limit(n))
+    """The n most recent ratings (ties by user, item); exact threshold
+    top-k, so no single task merges partitions x n rows."""
+    return top_k(ratings, n, "timestamp", True, ("user_id", "item_id"))
+
+
+def oldest_rows(ratings: DataFrame, n: int = 10000) -> DataFrame:
+    """The n oldest ratings (ties by user, item)."""
+    return top_k(ratings, n, "timestamp", False, ("user_id", "item_id"))
 
 
 def top_titles_by_count(ratings: DataFrame, items: DataFrame, min_count: int = 100, n: int = 100) -> DataFrame:

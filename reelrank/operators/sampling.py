@@ -9,40 +9,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from reelrank.functions.columns import hash_order, random_rating
+from reelrank.operators.topk import top_k
 
-# Above this many requested rows the exact sample first keeps a hash range
+# Inputs larger than PREFILTER_RATIO x n are first cut to a hash range
 # slightly larger than needed, so the final ordered take only merges about
 # n rows instead of n rows from every partition.
-PREFILTER_MIN_N = 50_000
+PREFILTER_RATIO = 4
 HASH_SPAN = 1 << 62
 
 
 def sample_n(df: DataFrame, n: int, keys: list[str], seed: int = 0) -> DataFrame:
     """M1/M2/M5: exactly min(n, rows) rows without replacement, reproducible.
 
-    Small n: ordered take on the hash (each partition forwards its own best
-    n). Large n: rows whose hash falls in the lowest ~(n/rows * 1.05 + margin)
-    share of the hash space are kept first (pure map-side filter), then the
-    exact n are taken from that superset; if the superset falls short the
-    range is widened, so the result is always exact.
+    The rows are the n smallest by hash. When the input is much larger than
+    n, rows whose hash falls in the lowest ~(n/rows * 1.05 + margin) share of
+    the hash space are kept first (a pure map-side filter), and the exact n
+    are taken from that superset; if it falls short the range is widened.
+    So the final ordered take merges about n rows, not n per partition.
     """
     h = hash_order(keys, seed)
-    ordered = df.withColumn("_h", h)
-    if n < PREFILTER_MIN_N:
-        return ordered.orderBy("_h", *keys).limit(n).drop("_h")
+    ordered = df.withColumn("_h", F.pmod(h, F.lit(HASH_SPAN)))
     total = df.count()
     if n >= total:
         return df
+    if total <= PREFILTER_RATIO * n:
+        return ordered.orderBy("_h", *keys).limit(n).drop("_h")
     frac = min(1.0, n / total * 1.05 + 1000.0 / total)
     while True:
-        bound = int(frac * HASH_SPAN)
-        kept = ordered.filter(F.pmod(F.col("_h"), F.lit(HASH_SPAN)) < F.lit(bound))
+        kept = ordered.filter(F.col("_h") < F.lit(int(frac * HASH_SPAN)))
         if frac >= 1.0 or kept.count() >= n:
             break
         frac = min(1.0, frac * 1.5)
-    return kept.orderBy(F.pmod(F.col("_h"), F.lit(HASH_SPAN)), "_h", *keys).limit(n).drop("_h")
+    return kept.orderBy("_h", *keys).limit(n).drop("_h")
 
 
 def kfold(df: DataFrame, keys: list[str], k: int = 3, seed: int = 0) -> DataFrame:
@@ -81,10 +82,10 @@ def generate_ratings(users: DataFrame, items: DataFrame, ratings: DataFrame, cou
     seconds (`as_of`, default now). Returns the rows to append; their real
     count is the number inserted.
     """
-    u = random_ids(users, "user_id", pool, seed).withColumn("_ur", F.row_number().over(
-        _w_order(["user_id"])) - 1)
+    u = random_ids(users, "user_id", pool, seed)
+    # ranks 0..pool-1 of the sampled items (an ordered window over <= pool rows)
     i = random_ids(items, "item_id", pool, seed + 1).withColumn("_ir", F.row_number().over(
-        _w_order(["item_id"])) - 1)
+        Window.orderBy("item_id")) - 1)
     per_user = -(-count // max(pool, 1)) * 2 + 8  # draws per user, slack for rated/duplicate draws
     draws = u.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(per_user - 1))).alias("_d"))
     draws = draws.withColumn("_ir", F.pmod(F.xxhash64("user_id", "_d", F.lit(seed)), F.lit(pool)))
@@ -95,11 +96,7 @@ def generate_ratings(users: DataFrame, items: DataFrame, ratings: DataFrame, cou
     return picked.select("user_id", "item_id", random_rating(seed).alias("rating"), ts.cast("bigint").alias("timestamp"))
 
 
-def _w_order(cols):
-    from pyspark.sql.window import Window
-    return Window.orderBy(*cols)
-
-
 def limit_rows(df: DataFrame, n: int, order: list[str]) -> DataFrame:
-    """LIMIT n with a deterministic order."""
-    return df.orderBy(*order).limit(n)
+    """LIMIT n with a deterministic order (first column integral; exact
+    threshold top-k, see operators.topk)."""
+    return top_k(df, n, order[0], False, tuple(order[1:]))

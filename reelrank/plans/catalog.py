@@ -241,7 +241,7 @@ def filter_by_id(m):
 SELECT ig.item_id, g.name AS genre FROM item_genres ig JOIN genres g ON ig.genre_id = g.genre_id WHERE g.name = 'PROMO'""")
 def filter_by_genre(m):
     g = m.genres().filter(F.col("name") == "PROMO")
-    return m.item_genres().join(g, "genre_id").select("item_id", F.col("name").alias("genre"))
+    return m.item_genres().join(A.genre_names(g), "genre_id").select("item_id", F.col("name").alias("genre"))
 
 
 @register("recent_days_filter", f"""
@@ -450,7 +450,7 @@ def popularity_by_genre(m):
 SELECT r.user_id, r.item_id, g.name AS genre FROM ratings r JOIN item_genres ig ON r.item_id = ig.item_id
 JOIN genres g ON ig.genre_id = g.genre_id""")
 def ratings_genres(m):
-    ig = m.item_genres().join(m.genres(), "genre_id")
+    ig = m.item_genres().join(A.genre_names(m.genres()), "genre_id")
     return m.ratings().join(ig, "item_id").select("user_id", "item_id", F.col("name").alias("genre"))
 
 
@@ -893,7 +893,7 @@ def detect_drift(m):
 
 def _ks_samples(m):
     r = m.ratings()
-    oldest = r.orderBy(F.col("timestamp").asc(), F.col("user_id").asc(), F.col("item_id").asc()).limit(10000)
+    oldest = A.oldest_rows(r, 10000)
     latest = A.latest_rows(r, 10000)
     return oldest, latest
 

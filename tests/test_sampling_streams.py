@@ -19,14 +19,15 @@ def test_sample_n_exact_and_reproducible(spark):
     b = M.sample_n(df.repartition(13), 1234, ["user_id", "item_id"], 5)
     assert a.count() == 1234
     assert sorted(r.user_id for r in a.collect()) == sorted(r.user_id for r in b.collect())
-    big = M.sample_n(df, 15000, ["user_id", "item_id"], 5)
-    monkey = M.PREFILTER_MIN_N
+    # small input (ordered take) and large input (hash-range pre-filter) give the same rows
+    monkey = M.PREFILTER_RATIO
     try:
-        M.PREFILTER_MIN_N = 10
-        assert M.sample_n(df, 15000, ["user_id", "item_id"], 5).count() == 15000
+        M.PREFILTER_RATIO = 10 ** 9
+        direct = sorted(r.user_id for r in M.sample_n(df, 1234, ["user_id", "item_id"], 5).collect())
     finally:
-        M.PREFILTER_MIN_N = monkey
-    assert big.count() == 15000
+        M.PREFILTER_RATIO = monkey
+    assert direct == sorted(r.user_id for r in a.collect())
+    assert M.sample_n(df, 15000, ["user_id", "item_id"], 5).count() == 15000
     assert M.sample_n(df, 10 ** 6, ["user_id"], 1).count() == 20000
 
 
@@ -84,3 +85,16 @@ def test_f11_late_data(spark, tmp_path):
         "w", S.histogram_quantile(0.5, "buckets", "n", [2, 4, 8]).alias("p50")).collect()
     p50 = {r.w: r.p50 for r in qs}
     assert p50["00:00"] == 2.0 and p50["00:05"] == 8.0
+
+
+def test_top_k_threshold_equals_ordered_take(spark):
+    from reelrank.operators import topk
+    df = (spark.range(0, 50000).withColumn("ts", (F.col("id") * 7919) % 100003)
+          .withColumn("ts", F.when(F.col("id") % 5 == 0, F.lit(99999)).otherwise(F.col("ts"))))
+    for desc in (True, False):
+        want = [r.id for r in df.orderBy(F.col("ts").desc() if desc else F.col("ts").asc(), "id").limit(3000).collect()]
+        got = [r.id for r in topk.top_k(df, 3000, "ts", desc, ("id",)).collect()]
+        assert got == want
+    # a value holding more than 4k rows (ties on the key) still gives the exact rows
+    got = [r.id for r in topk.top_k(df, 1500, "ts", True, ("id",)).collect()]
+    assert got == [r.id for r in df.orderBy(F.col("ts").desc(), "id").limit(1500).collect()]
