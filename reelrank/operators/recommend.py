@@ -63,7 +63,7 @@ def fit_biases(ratings: DataFrame, reg_item: float = 10.0, reg_user: float = 15.
     return mu, user_bias, item_bias
 
 
-def fit_mf(ratings: DataFrame, rank: int = 10, max_iter: int = 10, reg: float = 0.1, seed: int = 0,
+def fit_mf(ratings: DataFrame, rank: int = 10, max_iter: int = 10, reg: float = 0.5, seed: int = 0,
            reg_item: float = 10.0, reg_user: float = 15.0) -> MFModel:
     """Bias-then-ALS. ALS checkpoints its lineage every 10 iterations into
     the session's checkpoint folder, so long fits survive executor loss."""

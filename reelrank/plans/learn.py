@@ -41,6 +41,17 @@ def fit_mf(m):
     return model.item_bias.join(f, "item_id").withColumn("mu", F.lit(model.mu))
 
 
+@register("fit_knn")
+def fit_knn(m):
+    """R2: user kNN (MSD similarity, k = 40) predictions for one held-out fold."""
+    from reelrank.operators import knn as K
+    from reelrank.operators.sampling import kfold
+    data = kfold(_train(m).select("user_id", "item_id", "rating"), ["user_id", "item_id"], 3, SEED)
+    train = data.filter("fold != 0").drop("fold")
+    test = data.filter("fold = 0").drop("fold")
+    return K.predict_knn(K.fit_knn(train), test)
+
+
 @register("fit_normal")
 def fit_normal(m):
     """Mean and deviation of the training ratings, with sample predictions."""
@@ -72,18 +83,18 @@ def rmse_mae(m):
 
 @register("cross_validate")
 def cross_validate(m):
-    """3-fold RMSE/MAE of MF and the normal predictor on the same data."""
-    return E.cross_validate(_train(m), ("mf", "normal"), 3, SEED)
+    """3-fold RMSE/MAE of MF, kNN and the normal predictor on the same data."""
+    return E.cross_validate(_train(m), ("mf", "knn", "normal"), 3, SEED)
 
 
 @register("cv_mean")
 def cv_mean(m):
-    return E.cv_mean(E.cross_validate(_train(m), ("mf", "normal"), 3, SEED))
+    return E.cv_mean(E.cross_validate(_train(m), ("mf", "knn", "normal"), 3, SEED))
 
 
 @register("best_of")
 def best_of(m):
-    return E.best_of(E.cv_mean(E.cross_validate(_train(m), ("mf", "normal"), 3, SEED)))
+    return E.best_of(E.cv_mean(E.cross_validate(_train(m), ("mf", "knn", "normal"), 3, SEED)))
 
 
 @register("recommend_users")
@@ -98,7 +109,7 @@ def recommend_batch(m):
     lists = R.recommend_users(_fit(m), _requested_users(m), m.ratings(), m.items(), TOP_N)
     path = scratch_path(m.spark, "topn-csv")
     W.write_topn_csv(lists, path)
-    return m.spark.read.option("header", True).schema("movie string, score double, user_id bigint").csv(path)
+    return W.read_topn_csv(m.spark, path)
 
 
 @register("recommend_routed")
@@ -118,11 +129,12 @@ def user_top_score_lists(m):
 def _runs_with_history(m):
     """A runs table holding one training run per CV model plus a prediction run."""
     path = scratch_path(m.spark, "runs")
-    folds = E.cross_validate(_train(m), ("mf", "normal"), 3, SEED)
+    folds = E.cross_validate(_train(m), ("mf", "knn", "normal"), 3, SEED)
     means = {r.model: r.mean_rmse for r in E.cv_mean(folds).collect()}  # one row per model
     t0 = dt.datetime(2024, 1, 1)
     RU.log_run(m.spark, path, "train", "train_1", {"min_ratings_user": MIN_USER},
-               {"svd_rmse": means["mf"], "dummy_rmse": means["normal"], "best_rmse": min(means.values())}, t0)
+               {"svd_rmse": means["mf"], "knn_rmse": means["knn"], "dummy_rmse": means["normal"],
+                "best_rmse": min(means.values())}, t0)
     RU.log_run(m.spark, path, "predict", "Prediction_User_1", {"top_n": TOP_N}, {"top_score": 4.5},
                t0 + dt.timedelta(hours=1))
     return path
@@ -157,7 +169,7 @@ def select_and_promote(m):
     runs_path = scratch_path(spark, "runs")
     model_path = scratch_path(spark, "model")
     train = _train(m)
-    means = E.cv_mean(E.cross_validate(train, ("mf", "normal"), 3, SEED))
+    means = E.cv_mean(E.cross_validate(train, ("mf", "knn", "normal"), 3, SEED))
     best = E.best_of(means).first()
     prev = RU.best_run(RU.read_runs(spark, runs_path)).first()
     do_train, is_best = E.should_train_final(prev.best_rmse if prev else None, False, False, best.best_rmse)
@@ -190,4 +202,4 @@ def write_topn_csv(m):
     lists = R.recommend_users(_fit(m), _requested_users(m), m.ratings(), m.items(), TOP_N)
     path = scratch_path(m.spark, "topn-csv-out")
     W.write_topn_csv(lists, path)
-    return m.spark.read.option("header", True).schema("movie string, score double, user_id bigint").csv(path)
+    return W.read_topn_csv(m.spark, path)

@@ -49,11 +49,33 @@ def load_if_empty(target_path: str, loader, spark: SparkSession) -> bool:
     return empty
 
 
-def write_topn_csv(lists: DataFrame, path: str) -> None:
-    """write_topn_csv: one CSV folder per user (`user_id=<id>/`), columns movie, score."""
-    (lists.select("user_id", "rank", "movie", "score").repartition("user_id")
-     .sortWithinPartitions("user_id", "rank").drop("rank")
-     .write.mode("overwrite").partitionBy("user_id").option("header", True).csv(path))
+MAX_USER_FOLDERS = 1000
+
+
+def write_topn_csv(lists: DataFrame, path: str, max_user_folders: int = MAX_USER_FOLDERS) -> None:
+    """write_topn_csv: top-N lists as CSV (movie, score in rank order).
+
+    Up to `max_user_folders` users, one folder per user (`user_id=<id>/`,
+    the reference's one-file-per-user layout). Beyond that, a folder per
+    user would mean millions of tiny files, so the lists are written as one
+    CSV dataset with a user_id column, clustered by user (each user's rows
+    in one file, in rank order).
+    """
+    rows = lists.select("user_id", "rank", "movie", "score").persist()
+    n_users = rows.select("user_id").distinct().count()
+    clustered = rows.repartition("user_id").sortWithinPartitions("user_id", "rank")
+    if n_users <= max_user_folders:
+        (clustered.select("movie", "score", "user_id")
+         .write.mode("overwrite").partitionBy("user_id").option("header", True).csv(path))
+    else:
+        # same column order as the per-user layout read back (movie, score, user_id)
+        clustered.select("movie", "score", "user_id").write.mode("overwrite").option("header", True).csv(path)
+    rows.unpersist()
+
+
+def read_topn_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Both layouts of write_topn_csv read back as (movie, score, user_id)."""
+    return spark.read.option("header", True).schema("movie string, score double, user_id bigint").csv(path)
 
 
 def write_predict_metrics(top_scores: DataFrame, path: str) -> None:

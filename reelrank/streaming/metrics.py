@@ -127,14 +127,29 @@ def ingest_dedup(batches: DataFrame, keys: list[str], watermark: str = "30 days"
     return batches.withWatermark(event_col, watermark).dropDuplicatesWithinWatermark(keys)
 
 
-def append_new_keys(target_path: str, keys: list[str]):
-    """foreachBatch sink of S7: left-anti against the target, then append."""
+def append_new_keys(target_path: str, keys: list[str], max_batch_keys: int = 5_000_000):
+    """foreachBatch sink of S7: append the batch rows whose key is not stored.
+
+    A micro-batch is bounded by the source's maxFilesPerTrigger, so its key
+    set is broadcast (size checked) and the stored table is only scanned on
+    its key columns with a map-side semi-join: the target is never shuffled.
+    The (small) set of clashing keys then removes rows from the batch.
+    """
     def run(batch: DataFrame, batch_id: int) -> None:
         spark: SparkSession = batch.sparkSession
+        batch = batch.persist()
         try:
             target = spark.read.parquet(target_path).select(*keys)
-            fresh = batch.join(target, keys, "left_anti")
         except Exception:  # noqa: BLE001 - first batch, no target yet
+            target = None
+        if target is None:
             fresh = batch
+        else:
+            bkeys = batch.select(*keys).distinct()
+            if bkeys.count() <= max_batch_keys:
+                bkeys = F.broadcast(bkeys)
+            clashes = target.join(bkeys, keys, "left_semi")
+            fresh = batch.join(clashes, keys, "left_anti")
         fresh.write.mode("append").parquet(target_path)
+        batch.unpersist()
     return run

@@ -25,10 +25,11 @@ def planted(spark):
     return df.withColumn("rating", F.col("rating").cast("decimal(2,1)"))
 
 
-def test_f10_mf_beats_random(planted):
-    folds = E.cross_validate(planted, ("mf", "normal"), 3, 1, mf_params={"rank": 2, "max_iter": 15, "reg": 0.05})
+def test_f10_mf_and_knn_beat_random(planted):
+    folds = E.cross_validate(planted, ("mf", "knn", "normal"), 3, 1,
+                             mf_params={"rank": 2, "max_iter": 15, "reg": 0.05})
     means = {r.model: r.mean_rmse for r in E.cv_mean(folds).collect()}
-    assert means["mf"] < means["normal"]
+    assert means["mf"] < means["normal"] and means["knn"] < means["normal"]
     assert E.best_of(E.cv_mean(folds)).first().best_model == "mf"
 
 
@@ -80,3 +81,43 @@ def test_predict_pairs_fallback(spark, planted):
     est = {(r.user_id, r.item_id): r.est for r in R.predict_pairs(model, pairs).collect()}
     assert est[(999, 999)] == pytest.approx(model.mu)
     assert 0.5 <= est[(0, 100)] <= 5.0
+
+
+def _knn_brute(train_rows, queries, k, mu):
+    by_user = {}
+    for u, i, r in train_rows:
+        by_user.setdefault(u, {})[i] = r
+    out = {}
+    for u, i in queries:
+        cands = []
+        for v, items in by_user.items():
+            if v == u or i not in items:
+                continue
+            common = set(by_user.get(u, {})) & set(items)
+            if not common:
+                continue
+            msd = sum((by_user[u][j] - items[j]) ** 2 for j in common) / len(common)
+            cands.append((-(1 / (1 + msd)), v, items[i]))
+        top = sorted(cands)[:k]
+        if top:
+            est = sum(-s * r for s, _, r in top) / sum(-s for s, _, _ in top)
+        else:
+            est = mu
+        out[(u, i)] = min(5.0, max(0.5, est))
+    return out
+
+
+def test_knn_matches_brute_force(spark, planted, monkeypatch):
+    from reelrank.operators import knn as K
+    train = planted.filter("timestamp % 3 != 0")
+    test = planted.filter("timestamp % 3 = 0").select("user_id", "item_id")
+    extra = spark.createDataFrame([(12345, 100), (0, 99999)], "user_id bigint, item_id bigint")
+    q = test.unionByName(extra)
+    rows = [(r.user_id, r.item_id, float(r.rating)) for r in train.collect()]
+    monkeypatch.setattr(K, "USERS_PER_CHUNK", 17)  # several chunks
+    model = K.fit_knn(train, k=5)
+    got = {(r.user_id, r.item_id): r.est for r in K.predict_knn(model, q).collect()}
+    want = _knn_brute(rows, [(r.user_id, r.item_id) for r in q.collect()], 5, model.mu)
+    assert set(got) == set(want)
+    for key, v in want.items():
+        assert got[key] == pytest.approx(v, abs=1e-9), key
