@@ -32,6 +32,7 @@ from reelrank.functions.columns import RATING_MAX, RATING_MIN, clip_to_scale, ra
 USERS_PER_CHUNK = 20_000
 ITEMS_PER_BLOCK = 50_000
 SCORE_BATCH = 512
+ALS_MAX_BLOCKS = 4096
 MIN_USERS_PER_CHUNK = 500
 
 
@@ -74,9 +75,12 @@ def fit_mf(ratings: DataFrame, rank: int = 10, max_iter: int = 10, reg: float =
              .join(item_bias, "item_id").join(user_bias, "user_id")
              .select(F.col("user_id").cast("int").alias("user_id"), F.col("item_id").cast("int").alias("item_id"),
                      (F.col("r") - mu - F.col("b_i") - F.col("b_u")).alias("residual")))
+    # one ALS block per core of the session (the library default of 10 blocks
+    # would leave a large cluster idle), bounded for very large sessions
+    blocks = max(2, min(ALS_MAX_BLOCKS, ratings.sparkSession.sparkContext.defaultParallelism))
     als = ALS(rank=rank, maxIter=max_iter, regParam=reg, userCol="user_id", itemCol="item_id",
               ratingCol="residual", coldStartStrategy="nan", nonnegative=False, seed=seed,
-              checkpointInterval=10)
+              checkpointInterval=10, numUserBlocks=blocks, numItemBlocks=blocks)
     return MFModel(mu, user_bias, item_bias, als.fit(resid), rank)
 
 
