@@ -1003,3 +1003,43 @@ def write_drift_report(m):
     path = scratch_path(m.spark, "drift-report")
     W.write_drift_report(_drift_rows(m), path)
     return m.spark.read.schema("metric string, baseline double, current double, change_pct double, status string").json(path)
+
+
+# ----------------------------------------------------- pair-free join keys ----
+@register("candidate_pairs", """
+SELECT u.user_id, (SELECT count(*) FROM items) - count(r.item_id) AS candidates
+FROM users u LEFT JOIN ratings r ON u.user_id = r.user_id GROUP BY u.user_id""")
+def candidate_pairs(m):
+    """J11 size per user: unseen items = catalogue size - rated items. The
+    pairs themselves are never materialised (R8 scores them in blocks)."""
+    n_items = m.items().select(F.count(F.lit(1))).scalar()
+    rated = m.ratings().groupBy("user_id").agg(F.count(F.lit(1)).alias("_rated"))
+    return (m.users().join(rated, "user_id", "left")
+            .select("user_id", (n_items - F.coalesce("_rated", F.lit(0))).alias("candidates")))
+
+
+@register("cross_user_item")
+def cross_user_item(m):
+    """J6 + J7 as counts: of the 500 sampled users x 500 sampled items, how many
+    pairs are unrated (grid size minus the rated pairs inside the grid, found by
+    two semi-joins), without building the grid."""
+    u = M.random_ids(m.users(), "user_id", 500, 0)
+    i = M.random_ids(m.items(), "item_id", 500, 1)
+    inside = m.ratings().join(u, "user_id", "left_semi").join(F.broadcast(i), "item_id", "left_semi")
+    nu = u.select(F.count(F.lit(1))).scalar()
+    ni = i.select(F.count(F.lit(1))).scalar()
+    return inside.agg(F.count(F.lit(1)).alias("rated_in_grid")).select(
+        nu.alias("sampled_users"), ni.alias("sampled_items"), "rated_in_grid",
+        (nu * ni - F.col("rated_in_grid")).alias("unrated_pairs"))
+
+
+@register("schema_drift")
+def schema_drift(m):
+    """Column names/types of the stored baseline rows against the current
+    sample (metadata comparison), as one row."""
+    path = scratch_path(m.spark, "baseline-rows-schema")
+    W.save_baseline_rows(A.oldest_rows(m.ratings(), 10000), path)
+    out = D.schema_drift(W.load_baseline_rows(m.spark, path), A.latest_rows(m.ratings(), 10000))
+    return m.ratings().limit(1).select(
+        F.lit(out["baseline_columns"]).alias("baseline_columns"), F.lit(out["current_columns"]).alias("current_columns"),
+        F.lit(",".join(out["type_changed"])).alias("type_changed"), F.lit(out["drift_detected"]).alias("drift_detected"))

@@ -53,15 +53,24 @@ def latency_histogram(m):
     return out.withColumn("duration_sum", F.round("duration_sum", 6))
 
 
-@register("request_rate", _LABELS + """
+_RATE_SQL = _LABELS + """
 , w AS (SELECT date_trunc('minute', ts) - to_minutes(k) AS ws, endpoint FROM lab, (SELECT unnest(range(0, 5)) AS k) r)
 SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, endpoint, count(*) AS requests, count(*) / 300 AS rate
 FROM w GROUP BY ws, endpoint
-HAVING ws + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
-def request_rate(m):
+HAVING ws + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"""
+
+
+@register("rate_5m", _RATE_SQL)
+def rate_5m(m):
+    """S3: per-second request rate over 5-minute windows sliding by 1 minute."""
     return run_append(S.request_rate(_event_stream(m)), "s3", m.spark)
 
 
+@register("request_rate", _RATE_SQL)
+def request_rate(m):
+    return rate_5m(m)
+
+
 def _quantile_sql(q: float, name: str) -> str:
     i = f"i_{name}"
     prev_c = f"(CASE WHEN {i} = 1 THEN 0 ELSE cum[{i} - 1] END)"
@@ -77,7 +86,7 @@ _BND = "[" + ", ".join(repr(b) for b in S.LATENCY_BOUNDS) + "]"
 _CUM = "[" + ", ".join(S.bucket_name(b) for b in S.LATENCY_BOUNDS) + "]"
 
 
-@register("latency_quantiles", _LABELS + f"""
+_QUANTILE_SQL = _LABELS + f"""
 , t AS (SELECT date_trunc('minute', ts) - to_minutes(minute(ts) % 5) AS ws, endpoint, duration FROM lab),
   agg AS (SELECT ws, endpoint, {_bucket_sql()} FROM t GROUP BY ws, endpoint
           HAVING ws + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE),
@@ -87,11 +96,20 @@ _CUM = "[" + ", ".join(S.bucket_name(b) for b in S.LATENCY_BOUNDS) + "]"
                  min(i) FILTER (WHERE c >= 0.5 * le_inf) AS i_p50, min(i) FILTER (WHERE c >= 0.95 * le_inf) AS i_p95
           FROM b GROUP BY ws, endpoint, le_inf)
 SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, endpoint, le_inf, {_quantile_sql(0.5, 'p50')},
-       {_quantile_sql(0.95, 'p95')} FROM idx""")
-def latency_quantiles(m):
+       {_quantile_sql(0.95, 'p95')} FROM idx"""
+
+
+@register("quantile_5m", _QUANTILE_SQL)
+def quantile_5m(m):
+    """p50/p95 latency per 5-minute window from histogram buckets."""
     return run_append(S.latency_quantiles(_event_stream(m)), "s4", m.spark)
 
 
+@register("latency_quantiles", _QUANTILE_SQL)
+def latency_quantiles(m):
+    return quantile_5m(m)
+
+
 @register("gauges", """
 SELECT event_type AS metric, arg_max(value, ts) AS last_value, round(sum(value), 6) AS total, count(*) AS updates
 FROM events GROUP BY 1""")
