@@ -751,8 +751,8 @@ def top_popular(m):
 
 
 @register("top_genre_popular", _POP_GENRE_SQL + """
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY genre ORDER BY popularity_score DESC, num_ratings DESC, item_id ASC)
-               AS rank FROM by_genre) s WHERE rank <= 10""")
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY genre ORDER BY popularity_score DESC, num_ratings DESC,
+               item_id ASC) AS INTEGER) AS rank FROM by_genre) s WHERE rank <= 10""")
 def top_genre_popular(m):
     return A.top_genre_popular(m.ratings(), m.items(), m.item_genres(), m.genres(), 10)
 
@@ -761,8 +761,8 @@ _USER_GENRES_SQL = """
 , pg AS (SELECT r.user_id, g.name AS genre, avg(r.rating) AS avg_rating, count(r.rating) AS num_ratings
          FROM ratings r JOIN item_genres ig ON r.item_id = ig.item_id JOIN genres g ON ig.genre_id = g.genre_id
          GROUP BY r.user_id, g.name),
-  tug AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY avg_rating DESC, num_ratings DESC, genre ASC)
-                         AS genre_rank FROM pg) s WHERE genre_rank <= 3)
+  tug AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY avg_rating DESC, num_ratings DESC,
+                         genre ASC) AS INTEGER) AS genre_rank FROM pg) s WHERE genre_rank <= 3)
 """
 
 
@@ -781,10 +781,11 @@ _COLD_SQL = _POP_GENRE_SQL + _USER_GENRES_SQL + f"""
   merged AS (SELECT p.user_id, p.genre_rank, l.genre_pos, l.item_id, l.movie, l.score FROM prefs p JOIN glists l
              ON p.genre = l.genre WHERE l.genre_pos <= p.quota),
   genre_rows AS (SELECT user_id, rank, item_id, movie, score, 'genres' AS method FROM (
-                 SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, genre_rank ASC, genre_pos ASC) AS rank
+                 SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, genre_rank ASC, genre_pos ASC)
+                        AS INTEGER) AS rank
                  FROM merged) s WHERE rank <= 5),
   top AS (SELECT item_id, title AS movie, popularity_score AS score,
-                 row_number() OVER (ORDER BY popularity_score DESC, num_ratings DESC, item_id ASC) AS rank
+                 CAST(row_number() OVER (ORDER BY popularity_score DESC, num_ratings DESC, item_id ASC) AS INTEGER) AS rank
           FROM pop QUALIFY rank <= 5),
   pop_rows AS (SELECT q.user_id, t.rank, t.item_id, t.movie, t.score, 'popular' AS method
                FROM req q JOIN top t ON true WHERE q.user_id NOT IN (SELECT user_id FROM prefs))
@@ -811,8 +812,8 @@ def union_all_lists(m):
 
 
 @register("topn_per_user", """
-SELECT user_id, item_id, rating, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id
-       ORDER BY rating DESC, "timestamp" DESC, item_id ASC) AS rank FROM ratings) s WHERE rank <= 5""")
+SELECT user_id, item_id, rating, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id
+       ORDER BY rating DESC, "timestamp" DESC, item_id ASC) AS INTEGER) AS rank FROM ratings) s WHERE rank <= 5""")
 def topn_per_user(m):
     """T5 on a fixed score table: each user's five best-rated items."""
     w = Window.partitionBy("user_id").orderBy(F.col("rating").desc(), F.col("timestamp").desc(), F.col("item_id").asc())
@@ -821,8 +822,8 @@ def topn_per_user(m):
 
 
 @register("title_lookup", """
-SELECT s.user_id, s.rank, s.item_id, m.title AS movie FROM (SELECT *, row_number() OVER (PARTITION BY user_id
-       ORDER BY rating DESC, "timestamp" DESC, item_id ASC) AS rank FROM ratings) s JOIN items m ON s.item_id = m.item_id
+SELECT s.user_id, s.rank, s.item_id, m.title AS movie FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id
+       ORDER BY rating DESC, "timestamp" DESC, item_id ASC) AS INTEGER) AS rank FROM ratings) s JOIN items m ON s.item_id = m.item_id
 WHERE s.rank <= 5""")
 def title_lookup(m):
     """Titles joined after the per-user rank filter."""
