@@ -81,7 +81,12 @@ def fit_mf(ratings: DataFrame, rank: int = 10, max_iter: int = 10, reg: float =
     als = ALS(rank=rank, maxIter=max_iter, regParam=reg, userCol="user_id", itemCol="item_id",
               ratingCol="residual", coldStartStrategy="nan", nonnegative=False, seed=seed,
               checkpointInterval=10, numUserBlocks=blocks, numItemBlocks=blocks)
-    return MFModel(mu, user_bias, item_bias, als.fit(resid), rank)
+    resid = resid.persist()  # ALS reads its input more than once
+    try:
+        fitted = als.fit(resid)
+    finally:
+        resid.unpersist()
+    return MFModel(mu, user_bias, item_bias, fitted, rank)
 
 
 def fit_normal(ratings: DataFrame) -> NormalModel:
