@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from reelrank.operators.topk import top_k
 from reelrank.functions.columns import (DAMPING, bucket_rank, count_bucket, damped_score,
                                         epoch_to_date, rating_double)
+from reelrank.operators.joins import broadcast_if_bounded
+from reelrank.operators.topk import top_k
 
 
 # -- activity / popularity ----------------------------------------------------
@@ -81,8 +82,9 @@ def top_popular(ratings: DataFrame, items: DataFrame, n: int = 10, min_count: in
 
 def genre_names(genres: DataFrame) -> DataFrame:
     """The genre table for joins: a vocabulary (tens to thousands of names),
-    broadcast so the item side always streams in its own partitioning."""
-    return F.broadcast(genres.select("genre_id", "name"))
+    broadcast after a size check so the item side always streams in its own
+    partitioning."""
+    return broadcast_if_bounded(genres.select("genre_id", "name"))
 
 
 def popularity_by_genre(ratings: DataFrame, items: DataFrame, item_genres: DataFrame, genres: DataFrame,

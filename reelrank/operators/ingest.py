@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from reelrank.functions.columns import RATING_MAX, RATING_MIN, extract_year, normalise_epoch, split_genres
 from reelrank.sources.schemas import RENAMES
+from reelrank.operators.joins import broadcast_if_bounded
 
 
 def rename_columns(df: DataFrame, table: str) -> DataFrame:
@@ -53,7 +54,8 @@ def item_genres_from_items(raw_items: DataFrame, genres: DataFrame) -> DataFrame
     """(item, genre name) joined to the genre table on name; the genre table
     is bounded by the genre vocabulary, so it is broadcast."""
     pairs = explode_genres(raw_items)
-    return (pairs.join(F.broadcast(genres), pairs.genre == genres.name)
+    g = broadcast_if_bounded(genres)
+    return (pairs.join(g, pairs.genre == g.name)
             .select("item_id", "genre_id").distinct())
 
 

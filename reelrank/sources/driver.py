@@ -27,6 +27,7 @@ from pyspark.sql.window import Window
 
 from reelrank.functions.columns import ntz_to_epoch
 from reelrank.session import scratch_path
+from reelrank.operators.joins import broadcast_if_bounded
 
 # Fixed values of the derived model.
 TITLE_YEAR_BASE = 1980
@@ -118,7 +119,7 @@ class DriverModel:
     def raw_genome_scores(self) -> DataFrame:
         # One score per (item, word of its name); broadcast of the tag table is
         # bounded by the vocabulary of names.
-        tags = F.broadcast(self.raw_genome_tags())
+        tags = broadcast_if_bounded(self.raw_genome_tags())
         return (self._name_words().join(tags, "tag")
                 .select(F.col("p_partkey").alias("movieId"), "tagId",
                         (F.pmod(F.col("p_partkey") * 31 + F.col("tagId") * 7, F.lit(1000)) / 1000)
