@@ -69,3 +69,10 @@ def require_utc(spark: SparkSession) -> None:
     tz = spark.conf.get("spark.sql.session.timeZone")
     if tz not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check through the Hadoop FileSystem API (any cluster file system)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

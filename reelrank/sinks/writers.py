@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelrank.operators.ingest import append_new_rows
+from reelrank.session import path_exists
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -26,9 +27,9 @@ def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
 def append_table(batch: DataFrame, target_path: str, keys: list[str], spark: SparkSession) -> DataFrame:
     """append_table: append the clash-free rows of `batch` to the parquet table
     at `target_path` (created when absent); returns the appended rows."""
-    try:
+    if path_exists(spark, target_path):
         target = spark.read.parquet(target_path)
-    except Exception:  # noqa: BLE001 - absent table
+    else:
         target = spark.createDataFrame([], batch.schema)
     new_rows = append_new_rows(batch, target, keys)
     new_rows.write.mode("append").parquet(target_path)
@@ -40,10 +41,7 @@ def load_if_empty(target_path: str, loader, spark: SparkSession) -> bool:
 
     Returns True when a load ran. The check reads at most one row.
     """
-    try:
-        empty = spark.read.parquet(target_path).isEmpty()
-    except Exception:  # noqa: BLE001 - absent or unreadable target counts as empty
-        empty = True
+    empty = not path_exists(spark, target_path) or spark.read.parquet(target_path).isEmpty()
     if empty:
         loader(target_path)
     return empty
@@ -96,10 +94,9 @@ def save_baseline_stats(stats: DataFrame, path: str, as_of_iso: str | None = Non
 def load_baseline_stats(spark: SparkSession, path: str):
     """load_baseline_stats: the saved record, or None when absent."""
     from reelrank.sources.schemas import BASELINE_STATS
-    try:
-        df = spark.read.schema(BASELINE_STATS).json(path)
-    except Exception:  # noqa: BLE001
+    if not path_exists(spark, path):
         return None
+    df = spark.read.schema(BASELINE_STATS).json(path)
     return None if df.isEmpty() else df
 
 
@@ -110,11 +107,11 @@ def save_baseline_rows(rows: DataFrame, path: str) -> None:
 
 def load_baseline_rows(spark: SparkSession, path: str):
     """load_baseline_rows: stored rows, or None when absent/unreadable."""
+    if not path_exists(spark, path):
+        return None
     try:
-        df = spark.read.parquet(path)
-        df.schema  # noqa: B018 - forces the footer read
-        return df
-    except Exception:  # noqa: BLE001
+        return spark.read.parquet(path)
+    except Exception:  # noqa: BLE001 - unreadable baseline counts as absent
         return None
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelrank.functions.columns import default_method, mean_of_units, parse_iso_ts, units
+from reelrank.session import path_exists
 
 # Default latency histogram bounds of the metrics client
 # library (seconds), and the request label rules.
@@ -138,13 +139,10 @@ def append_new_keys(target_path: str, keys: list[str], max_batch_keys: int = 5_0
     def run(batch: DataFrame, batch_id: int) -> None:
         spark: SparkSession = batch.sparkSession
         batch = batch.persist()
-        try:
-            target = spark.read.parquet(target_path).select(*keys)
-        except Exception:  # noqa: BLE001 - first batch, no target yet
-            target = None
-        if target is None:
+        if not path_exists(spark, target_path):  # first batch: no target yet
             fresh = batch
         else:
+            target = spark.read.parquet(target_path).select(*keys)
             bkeys = batch.select(*keys).distinct()
             if bkeys.count() <= max_batch_keys:
                 bkeys = F.broadcast(bkeys)
