@@ -185,3 +185,23 @@ def test_d6_schema_drift(spark):
     out = D.schema_drift(a, b)
     assert out["drift_detected"] and out["added"] == ["extra"] and out["type_changed"] == ["rating"]
     assert not D.schema_drift(a, a)["drift_detected"]
+
+
+def test_list_metrics_properties(spark):
+    """Random lists: diversity and novelty in [0, 1] and equal to a direct
+    implementation of the definitions (duplicates count for novelty)."""
+    import random
+    rng = random.Random(11)
+    titles = [f"t{i}" for i in range(12)]
+    popular = set(titles[:4])
+    lists = [[(rng.choice(titles), round(rng.uniform(0, 5), 4)) for _ in range(rng.randint(0, 8))] for _ in range(300)]
+    log = _log_df(spark, lists)
+    pop_df = spark.createDataFrame([(t,) for t in sorted(popular)], "title string")
+    got = {r.user_id: r for r in Q.list_metrics(log, pop_df).collect()}
+    for i, lst in enumerate(lists):
+        names = [t for t, _ in lst]
+        div = round(len(set(names)) / len(names), 4) if names else 0.0
+        nov = round(sum(t not in popular for t in names) / len(names), 4) if names else 0.0
+        assert 0.0 <= got[i].diversity <= 1.0 and 0.0 <= got[i].novelty <= 1.0
+        assert got[i].diversity == pytest.approx(div) and got[i].novelty == pytest.approx(nov)
+        assert got[i].list_size == len(names)
