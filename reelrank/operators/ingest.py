@@ -44,10 +44,35 @@ def distinct_genres(raw_items: DataFrame) -> DataFrame:
     return explode_genres(raw_items).select(F.col("genre").alias("name")).distinct()
 
 
+# Largest vocabulary whose ids are assigned in one task (a window without
+# partition); beyond it ids come from a global sort + zipWithIndex.
+MAX_SINGLE_TASK_VOCABULARY = 1_000_000
+
+
+def dense_ids(names: DataFrame, name_col: str, id_col: str) -> DataFrame:
+    """1-based consecutive ids in sorted order of the distinct `name_col`
+    values (= dense_rank over the sorted names), reproducible run to run.
+
+    A vocabulary up to MAX_SINGLE_TASK_VOCABULARY names is ranked by a window
+    in one task (checked with a limited count); a larger one is sorted
+    globally (range partitioned) and numbered with zipWithIndex, which only
+    collects one count per partition.
+    """
+    distinct = names.select(name_col).distinct()
+    n = distinct.limit(MAX_SINGLE_TASK_VOCABULARY + 1).count()
+    if n <= MAX_SINGLE_TASK_VOCABULARY:
+        return distinct.select(F.dense_rank().over(Window.orderBy(name_col)).cast("bigint").alias(id_col), name_col)
+    ordered = distinct.orderBy(name_col)
+    spark = names.sparkSession
+    rdd = ordered.rdd.zipWithIndex().map(lambda p: (p[1] + 1, p[0][0]))
+    field = ordered.schema[name_col]
+    schema = f"{id_col} bigint, {name_col} {field.dataType.simpleString()}"
+    return spark.createDataFrame(rdd, schema)
+
+
 def genres_from_items(raw_items: DataFrame) -> DataFrame:
-    """genres table with reproducible ids (the distinct set is small)."""
-    names = distinct_genres(raw_items)
-    return names.select(F.dense_rank().over(Window.orderBy("name")).cast("bigint").alias("genre_id"), "name")
+    """genres table with reproducible ids."""
+    return dense_ids(distinct_genres(raw_items), "name", "genre_id")
 
 
 def item_genres_from_items(raw_items: DataFrame, genres: DataFrame) -> DataFrame:
@@ -71,8 +96,7 @@ def distinct_tags(raw_tags: DataFrame) -> DataFrame:
 
 def tags_from_raw(raw_tags: DataFrame) -> DataFrame:
     """tags table with reproducible ids."""
-    return distinct_tags(raw_tags).select(
-        F.dense_rank().over(Window.orderBy("tag")).cast("bigint").alias("tag_id"), "tag")
+    return dense_ids(distinct_tags(raw_tags), "tag", "tag_id")
 
 
 def filter_known_tags(raw_tags: DataFrame, tags: DataFrame) -> DataFrame:

@@ -23,7 +23,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from reelrank.functions.columns import ntz_to_epoch
 from reelrank.session import scratch_path
@@ -113,8 +112,8 @@ class DriverModel:
     def raw_genome_tags(self) -> DataFrame:
         # Genome tags are the distinct words of the item names; ids by name order
         # over the small distinct set.
-        words = self._name_words().select("tag").distinct()
-        return words.select(F.dense_rank().over(Window.orderBy("tag")).cast("bigint").alias("tagId"), "tag")
+        from reelrank.operators.ingest import dense_ids
+        return dense_ids(self._name_words().select("tag"), "tag", "tagId")
 
     def raw_genome_scores(self) -> DataFrame:
         # One score per (item, word of its name); broadcast of the tag table is

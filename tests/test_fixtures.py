@@ -205,3 +205,11 @@ def test_list_metrics_properties(spark):
         assert 0.0 <= got[i].diversity <= 1.0 and 0.0 <= got[i].novelty <= 1.0
         assert got[i].diversity == pytest.approx(div) and got[i].novelty == pytest.approx(nov)
         assert got[i].list_size == len(names)
+
+
+def test_dense_ids_both_paths(spark, monkeypatch):
+    names = spark.createDataFrame([(w,) for w in ["b", "a", "c", "a", "d", "b"]], "name string")
+    small = {r.name: r.gid for r in I.dense_ids(names, "name", "gid").collect()}
+    monkeypatch.setattr(I, "MAX_SINGLE_TASK_VOCABULARY", 2)
+    big = {r.name: r.gid for r in I.dense_ids(names.repartition(3), "name", "gid").collect()}
+    assert small == big == {"a": 1, "b": 2, "c": 3, "d": 4}
