@@ -16,7 +16,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SMALL_K = 1000          # partitions x 1000 rows is cheap for the final merge
+MAX_MERGE_ROWS = 2_000_000  # ordered take is used while partitions x k stays below this
 BUCKETS = 1024
 CANDIDATE_FACTOR = 4    # stop refining when the candidates are <= 4k rows
 
@@ -34,7 +34,7 @@ def top_k(df: DataFrame, k: int, key: str, descending: bool = True, tiebreak: tu
     value's rows and the tiebreak order is taken on them directly.
     """
     order = _order(key, descending, tiebreak)
-    if k <= SMALL_K:
+    if k * df.rdd.getNumPartitions() <= MAX_MERGE_ROWS:
         return df.orderBy(*order).limit(k)
     row = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n")).first()
     if row.n <= CANDIDATE_FACTOR * k or row.lo is None:

@@ -94,8 +94,9 @@ def test_f11_late_data(spark, tmp_path):
     assert p50["00:00"] == 2.0 and p50["00:05"] == 8.0
 
 
-def test_top_k_threshold_equals_ordered_take(spark):
+def test_top_k_threshold_equals_ordered_take(spark, monkeypatch):
     from reelrank.operators import topk
+    monkeypatch.setattr(topk, "MAX_MERGE_ROWS", 10)  # force the threshold path
     df = (spark.range(0, 50000).withColumn("ts", (F.col("id") * 7919) % 100003)
           .withColumn("ts", F.when(F.col("id") % 5 == 0, F.lit(99999)).otherwise(F.col("ts"))))
     for desc in (True, False):
