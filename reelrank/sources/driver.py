@@ -54,10 +54,10 @@ def _fingerprint(spark: SparkSession, paths: list[str]) -> tuple:
 class DriverModel:
     """Lazy view of the ratings model for one scale-factor directory.
 
-    With `store=True` (default) the derived ratings table is written once
-    per application into the shared checkpoint folder and every later query
-    scans that table, as the reference loads its ratings table once and
-    queries it many times. The written table also cuts the lineage of
+    With `store=True` (default) the derived ratings, items, genres and
+    item_genres tables are written once per application into the shared
+    checkpoint folder and every later query scans them, as the reference
+    loads its tables once and queries them many times. The written table also cuts the lineage of
     downstream jobs. The key includes the size and modification time of the
     source files, so changed inputs are derived again.
     """
@@ -128,17 +128,21 @@ class DriverModel:
     def users(self) -> DataFrame:
         return self.table("customer").select(F.col("c_custkey").alias("user_id"))
 
-    def ratings(self) -> DataFrame:
+    def _stored(self, name: str, sources: list[str], derive, write) -> DataFrame:
+        """Derive once per application and input fingerprint, then scan the stored table."""
         if not self.store:
-            return self.derive_ratings()
-        src = [f"{self.sf_dir}/lineitem.parquet", f"{self.sf_dir}/orders.parquet"]
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, _fingerprint(self.spark, src))
+            return derive()
+        src = [f"{self.sf_dir}/{t}.parquet" for t in sources]
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name, _fingerprint(self.spark, src))
         path = _STORED.get(key)
         if path is None:
-            path = write_ratings(self.derive_ratings(), scratch_path(self.spark, "ratings"))
+            path = write(derive(), scratch_path(self.spark, name))
             _STORED[key] = path
         return self.spark.read.parquet(path)
 
+    def ratings(self) -> DataFrame:
+        return self._stored("ratings", ["lineitem", "orders"], self.derive_ratings, write_ratings)
+
     def derive_ratings(self) -> DataFrame:
         """ratings from lineitem JOIN orders (one row per user and item)."""
         li = self.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
@@ -156,15 +160,16 @@ class DriverModel:
 
     def items(self) -> DataFrame:
         from reelrank.operators.ingest import normalise_items
-        return normalise_items(self.raw_items())
+        return self._stored("items", ["part"], lambda: normalise_items(self.raw_items()), _write)
 
     def genres(self) -> DataFrame:
         from reelrank.operators.ingest import genres_from_items
-        return genres_from_items(self.raw_items())
+        return self._stored("genres", ["part"], lambda: genres_from_items(self.raw_items()), _write)
 
     def item_genres(self) -> DataFrame:
         from reelrank.operators.ingest import item_genres_from_items
-        return item_genres_from_items(self.raw_items(), self.genres())
+        return self._stored("item_genres", ["part"],
+                            lambda: item_genres_from_items(self.raw_items(), self.genres()), _write)
 
     def tags(self) -> DataFrame:
         from reelrank.operators.ingest import tags_from_raw
@@ -191,6 +196,11 @@ class DriverModel:
         return self.table("events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _write(df: DataFrame, path: str) -> str:
+    df.write.mode("overwrite").parquet(path)
+    return path
+
+
 def write_ratings(ratings: DataFrame, path: str) -> str:
     """Store a ratings table: files sorted by (user, item) inside, so
     per-user filters skip row groups by their min/max statistics."""
