@@ -1044,3 +1044,10 @@ def schema_drift(m):
     return m.ratings().limit(1).select(
         F.lit(out["baseline_columns"]).alias("baseline_columns"), F.lit(out["current_columns"]).alias("current_columns"),
         F.lit(",".join(out["type_changed"])).alias("type_changed"), F.lit(out["drift_detected"]).alias("drift_detected"))
+
+
+@register("data_statistics_approx")
+def data_statistics_approx(m):
+    """A6 with HyperLogLog distinct counts (no shuffle of user/item keys);
+    approximate, so checked on rows only."""
+    return A.data_statistics(m.ratings(), approx=True)

@@ -121,3 +121,15 @@ def test_knn_matches_brute_force(spark, planted, monkeypatch):
     assert set(got) == set(want)
     for key, v in want.items():
         assert got[key] == pytest.approx(v, abs=1e-9), key
+
+
+def test_grid_size_bounds():
+    # memory bound: no group above USERS_PER_CHUNK x ITEMS_PER_BLOCK
+    c, b = R.grid_size(10_000_000, 1_000_000, 4000)
+    assert -(-10_000_000 // c) <= R.USERS_PER_CHUNK and -(-1_000_000 // b) <= R.ITEMS_PER_BLOCK
+    # parallelism: about two groups per core, never below MIN_USERS_PER_CHUNK users per chunk
+    c, b = R.grid_size(15_000, 20_000, 8)
+    assert (c, b) == (16, 1)
+    c, b = R.grid_size(1_000, 20_000, 64)
+    assert c == 2 and b == 1
+    assert R.grid_size(1, 1, 8) == (1, 1)
