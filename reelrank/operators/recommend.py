@@ -44,6 +44,13 @@ class MFModel:
     als: ALSModel
     rank: int
 
+    def unpersist(self) -> None:
+        """Release the cached bias tables and factors."""
+        self.user_bias.unpersist()
+        self.item_bias.unpersist()
+        self.als.userFactors.unpersist()
+        self.als.itemFactors.unpersist()
+
 
 @dataclass
 class NormalModel:
@@ -54,9 +61,12 @@ class NormalModel:
 def fit_biases(ratings: DataFrame, reg_item: float = 10.0, reg_user: float = 15.0):
     """Global mean and regularised item/user biases (two partial aggregates)."""
     r = ratings.select("user_id", "item_id", rating_double().alias("r"))
-    mu = r.select(F.avg("r")).first()[0] or 0.0
-    item_bias = (r.groupBy("item_id").agg(F.sum(F.col("r") - mu).alias("s"), F.count(F.lit(1)).alias("n"))
-                 .select("item_id", (F.col("s") / (F.col("n") + reg_item)).alias("b_i")))
+    # one pass over the ratings: per-item sums and counts; the global mean is
+    # read from that (catalogue-sized) aggregate, not from a second scan
+    per_item = r.groupBy("item_id").agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("n")).persist()
+    tot = per_item.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
+    mu = float(tot.s) / tot.n if tot.n else 0.0
+    item_bias = per_item.select("item_id", ((F.col("s") - F.col("n") * mu) / (F.col("n") + reg_item)).alias("b_i"))
     ub = r.join(item_bias, "item_id")
     user_bias = (ub.groupBy("user_id").agg(F.sum(F.col("r") - mu - F.col("b_i")).alias("s"),
                                             F.count(F.lit(1)).alias("n"))
