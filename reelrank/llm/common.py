@@ -219,3 +219,25 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     for i in range(k):
         h += words[i: len(words) - k + 1 + i] * _SHINGLE_ODD[i]
     return mix64(h)
+
+
+def text_bytes(docs: DataFrame, text: str) -> int:
+    """UTF-8 bytes of all texts."""
+    return int(docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0)
+
+
+def parts_for(total: int, each: int) -> int:
+    return max(1, -(-int(total) // each))
+
+
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Even split of 64-bit hashes into shards by their upper half."""
+    return (((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
+
+
+def by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, int, int]]:
+    """(shard, first, last + 1) of sorted keys; shard_of rises with the key."""
+    s = shard_of(keys, shards)
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(s)) + 1, [len(s)]]) if len(s) else np.zeros(1, int)
+    for i, j in zip(cut[:-1], cut[1:]):
+        yield int(s[i]), int(i), int(j)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import STEP_BYTES, CodeTable, bounded_batches, flat, map_batches
+from .common import STEP_BYTES, CodeTable, bounded_batches, flat, map_batches, row_blocks
 
 ORDER = 3
 # Fit on about this many labelled documents of each language (all, where there are fewer), chosen by a hash of doc_id.
@@ -48,11 +48,13 @@ def _ngrams(buf: np.ndarray, pos: np.ndarray, order: int, lo: int, hi: int) -> l
 
 
 def _steps(buf: np.ndarray, off: np.ndarray):
-    """(lo, hi) ranges of bounded length over the buffer, with the document number and in-document offset of each byte."""
-    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    pos = np.arange(len(buf)) - off[doc]
-    for lo in range(0, len(buf), STEP_BYTES):
-        yield lo, min(len(buf), lo + STEP_BYTES), doc, pos
+    """(bytes, document number and in-document offset of each byte, lo, hi) for ranges of bounded length."""
+    for i, j in row_blocks(off):
+        part, o = buf[off[i]: off[j]], off[i: j + 1] - off[i]
+        doc = np.repeat(np.arange(i, j, dtype=np.int32), np.diff(o))
+        pos = np.arange(len(part)) - o[doc - i]
+        for lo in range(0, len(part), STEP_BYTES):
+            yield _FOLD[part], doc, pos, lo, min(len(part), lo + STEP_BYTES)
 
 
 def context_counts(docs: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER) -> DataFrame:
@@ -65,9 +67,7 @@ def context_counts(docs: DataFrame, text: str = "text", lang: str = "lang", orde
             langs = b.column(0).to_pylist()
             for name in sorted(set(langs)):
                 pick = pa.array([i for i, x in enumerate(langs) if x == name])
-                buf, off = flat(b.column(1).take(pick))
-                buf = _FOLD[buf]
-                for lo, hi, _, pos in _steps(buf, off):
+                for buf, _, pos, lo, hi in _steps(*flat(b.column(1).take(pick))):
                     for k, code in enumerate(_ngrams(buf, pos, order, lo, hi)):
                         u, n = np.unique(code[code != _SHORT], return_counts=True)
                         yield pa.RecordBatch.from_arrays(
@@ -138,10 +138,9 @@ class PPMModel:
 
     def code_lengths(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Bits of each document under each language, shape (documents, languages); buf holds raw lower-cased bytes."""
-        buf = _FOLD[buf]
         bits = np.zeros((len(off) - 1, len(self.langs)))
-        for lo, hi, doc, pos in _steps(buf, off):
-            row = self.log2_rows(buf, pos, lo, hi)
+        for part, doc, pos, lo, hi in _steps(buf, off):
+            row = self.log2_rows(part, pos, lo, hi)
             at = doc[lo:hi]
             first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
             bits[at[first]] -= np.add.reduceat(row, first, axis=0, dtype=np.float64)

@@ -188,7 +188,6 @@ class CRF:
             n = len(ids)
             X[i, :n], Y[i, :n], mask[i, :n] = self._with_neighbours(ids), [LABELS.index(y) for y in labels], True
         self.w, self.t = np.zeros((len(self.index), _L)), np.zeros((_L, _L))
-        block = np.where(ALLOWED, 0.0, -1e9)
         start = np.where([y.startswith("I-") for y in LABELS], -1e9, 0.0)
         seen_t = np.zeros_like(self.t)
         cells = X[mask]
@@ -201,28 +200,22 @@ class CRF:
         pair = mask[:, 1:]
         np.add.at(seen_t, (Y[:, :-1][pair], Y[:, 1:][pair]), 1)
         gw, gt = np.full_like(self.w, 1e-6), np.full_like(self.t, 1e-6)
-        for _ in range(steps):  # Adagrad on the log-likelihood; expectations by forward-backward
+        for _ in range(steps):  # Adagrad on the log-likelihood; expectations by scaled forward-backward passes
             E = self.w[X].sum(axis=2)
-            E[~mask] = 0
-            trans = self.t + block
-            A, B = np.zeros((S, size, _L)), np.zeros((S, size, _L))
-            A[:, 0] = E[:, 0] + start
-            for k in range(1, size):
-                x = A[:, k - 1, :, None] + trans
-                top = x.max(axis=1)
-                new = top + np.log(np.exp(x - top[:, None]).sum(axis=1)) + E[:, k]
-                A[:, k] = np.where(mask[:, k, None], new, A[:, k - 1])
+            P = np.where(mask[..., None], np.exp(E - E.max(axis=2, keepdims=True)), 1.0)
+            M = np.where(ALLOWED, np.exp(self.t), 0.0)
+            A, B, c = np.zeros((S, size, _L)), np.ones((S, size, _L)), np.ones((S, size))
+            A[:, 0] = P[:, 0] * np.exp(start)
+            for k in range(size):
+                if k:
+                    A[:, k] = np.where(mask[:, k, None], (A[:, k - 1] @ M) * P[:, k], A[:, k - 1])
+                c[:, k] = A[:, k].sum(axis=1)
+                A[:, k] /= c[:, k, None]
             for k in range(size - 2, -1, -1):
-                x = trans + (E[:, k + 1] + B[:, k + 1])[:, None, :]
-                top = x.max(axis=2)
-                new = top + np.log(np.exp(x - top[..., None]).sum(axis=2))
-                B[:, k] = np.where(mask[:, k + 1, None], new, 0)
-            top = A[:, -1].max(axis=1)
-            z = top + np.log(np.exp(A[:, -1] - top[:, None]).sum(axis=1))
-            p = np.exp(A + B - z[:, None, None])
-            exp_w = gather(p[mask])
-            x = A[:, :-1, :, None] + trans + (E + B)[:, 1:, None, :] - z[:, None, None, None]
-            exp_t = np.exp(np.where(pair[..., None, None], x, -np.inf)).sum(axis=(0, 1))
+                B[:, k] = np.where(mask[:, k + 1, None], ((P[:, k + 1] * B[:, k + 1]) @ M.T) / c[:, k + 1, None], 1.0)
+            exp_w = gather((A * B)[mask])
+            after = (P * B / c[..., None])[:, 1:][pair]
+            exp_t = (A[:, :-1][pair].T @ after) * M
             for weights, grad, hist in ((self.w, seen_w - exp_w, gw), (self.t, seen_t - exp_t, gt)):
                 grad = grad / S - l2 * weights
                 hist += grad**2

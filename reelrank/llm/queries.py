@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, neardup, packing, pii_crf
+from . import ctw, decontam, langid, neardup, packing, pii_crf, rule_ledger
 from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,43 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_crf.find_pii(table(spark, sf_dir, "documents"), pii_crf.fit(), keep=["doc_id"])
+
+
+@register
+def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ledger of all rules, with the base rules' outcome and the verdict of the current quality policy."""
+    rows = rule_ledger.ledger(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    rows = rows.withColumn("base_failed", ~rule_ledger.passes(rule_ledger.BASE))
+    rows = rule_ledger.apply_policy(rows, rule_ledger.QUALITY)
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "fail_bits")
+
+
+ORACLES["op9_rule_ledger"] = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, list_filter(regexp_split_to_array(text, '[ \t\n\v\f\r]+'), x -> x <> '') AS words FROM d),
+p AS (SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+t AS (SELECT rid, i, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o AS tri FROM p WINDOW o AS (PARTITION BY rid ORDER BY i)),
+r AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, tri) AS n FROM t WHERE tri IS NOT NULL),
+c AS (SELECT rid, count(DISTINCT i + k) AS n_repeat_words FROM r, (VALUES (0), (1), (2)) v(k) WHERE n > 1 GROUP BY rid),
+l AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d),
+ll AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '[^ \t\n\v\f\r]') GROUP BY rid),
+m AS (SELECT d.doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, x -> length(x))), 0) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words,
+    length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^A-Za-z\x{C0}-\x{10FFFF}]', '', 'g')) AS n_letters,
+    length(regexp_replace(text, '[^0-9]', '', 'g')) AS n_digits
+  FROM d JOIN w USING (rid) LEFT JOIN ll USING (rid) LEFT JOIN c USING (rid)),
+b AS (SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT
+    + 8 * (100 * n_dup_lines > 30 * n_lines)::BIGINT + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 14 * n_words)::BIGINT
+    + 64 * (100 * n_upper > 60 * n_letters)::BIGINT + 128 * (100 * n_digits > 30 * word_chars)::BIGINT + 256 * (n_words > 100000)::BIGINT AS fail_bits FROM m)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+  n_repeat_words::BIGINT AS n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 63) = 0 AS kept, n_lines::BIGINT AS n_lines, fail_bits
+FROM b
+"""
+
+
+@register
+def op10_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CTW and unigram scores of every document; the rows whose crc32(doc_id) mod 10 is 0 are held out of the training."""
+    rows = ctw.score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 10) != 0)
+    return rows.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
