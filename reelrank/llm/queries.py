@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontam, langid, neardup, packing, pii_crf, rule_ledger
+from . import ctw, decontam, langid, neardup, packing, pii_crf, rule_ledger, suffix_dedup
 from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,12 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4, threshold_pct=80)
 
 
+@register
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated 400-byte strings."""
+    return suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 @register
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_crf.find_pii(table(spark, sf_dir, "documents"), pii_crf.fit(), keep=["doc_id"])
@@ -66,14 +72,14 @@ def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op9_rule_ledger"] = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT rid, list_filter(regexp_split_to_array(text, '[ \t\n\v\f\r]+'), x -> x <> '') AS words FROM d),
+w AS (SELECT rid, list_filter(regexp_split_to_array(text, '[ \t\n\v\f\r]+'), lambda x: x <> '') AS words FROM d),
 p AS (SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
 t AS (SELECT rid, i, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o AS tri FROM p WINDOW o AS (PARTITION BY rid ORDER BY i)),
 r AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, tri) AS n FROM t WHERE tri IS NOT NULL),
 c AS (SELECT rid, count(DISTINCT i + k) AS n_repeat_words FROM r, (VALUES (0), (1), (2)) v(k) WHERE n > 1 GROUP BY rid),
 l AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d),
 ll AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '[^ \t\n\v\f\r]') GROUP BY rid),
-m AS (SELECT d.doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, x -> length(x))), 0) AS word_chars,
+m AS (SELECT d.doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines,
     coalesce(n_repeat_words, 0) AS n_repeat_words,
     length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^A-Za-z\x{C0}-\x{10FFFF}]', '', 'g')) AS n_letters,
