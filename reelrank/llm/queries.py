@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontam, langid, neardup, packing, pii_crf, rule_ledger, suffix_dedup
+from . import ctw, decontam, langid, license_scan, neardup, packing, pii_crf, rule_ledger, suffix_dedup, warc_revisit
 from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,12 @@ def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@register
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per license text found in a document."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 @register
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document; fitted on the rows whose crc32(doc_id) mod 3 is not 1."""
@@ -61,6 +67,61 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_crf.find_pii(table(spark, sf_dir, "documents"), pii_crf.fit(), keep=["doc_id"])
 
 
+def archive_records(pages: DataFrame) -> DataFrame:
+    """WARC records of a crawl of the pages: every page is one full response, ten seconds after the page before it; each is
+    asked for again a day and a quarter later by a conditional request, answered 304 and recorded as a revisit. By page_id
+    modulo 7 the revisit carries the page's entity tag (also in its weak form), only its date, a stale tag, or no
+    validator."""
+    at = (F.lit(1_600_000_000) + F.col("page_id") * 10).cast("long")
+    tag = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit("")).cast("binary")), F.lit('"'))
+    text = F.coalesce("html", F.lit(""))
+    modified = F.concat(F.lit("day "), F.floor((at - 86400) / 86400).cast("string"))
+    k = F.col("page_id") % 7
+    sent = F.when(k < 2, tag).when(k == 2, F.concat(F.lit("W/"), tag)).when(k == 3, F.lit('"stale"'))
+    response = pages.select(
+        (F.col("page_id") * 2).alias("record_id"), F.lit("response").alias("warc_type"), F.col("url").alias("target_uri"), F.timestamp_seconds(at).alias("warc_date"),
+        F.lit(200).alias("status"), F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("Content-Length"), F.octet_length(text).cast("string"), F.lit("ETag"), tag,
+                                                 F.lit("Last-Modified"), modified, F.lit("Cache-Control"), F.lit("max-age=60")).alias("headers"), F.col("html").alias("payload"))
+    again = F.map_filter(F.create_map(F.lit("ETag"), sent, F.lit("Last-Modified"), F.when(k == 4, modified), F.lit("Cache-Control"), F.concat(F.lit("max-age="), F.col("page_id").cast("string")),
+                                      F.lit("Content-Length"), F.lit("0")), lambda _, v: v.isNotNull())
+    revisit = pages.select((F.col("page_id") * 2 + 1).alias("record_id"), F.lit("revisit").alias("warc_type"), F.col("url").alias("target_uri"),
+                           F.timestamp_seconds(at + 108_000).alias("warc_date"), F.lit(304).alias("status"), again.alias("headers"), F.lit(None).cast("string").alias("payload"))
+    return response.unionByName(revisit)
+
+
+@register
+def op8_not_modified_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every revisit record of the pages' archive with its response, outcome, merged headers and payload digest."""
+    got = warc_revisit.resolve_revisits(archive_records(table(spark, sf_dir, "pages")))
+    h = F.col("headers")
+    return got.select("record_id", "canonical_url", "response_id", "outcome", h["etag"].alias("etag"), h["cache-control"].alias("cache_control"),
+                      h["content-type"].alias("content_type"), h["content-length"].alias("content_length"),
+                      F.md5(F.col("payload").cast("binary")).alias("payload_md5"))
+
+
+ORACLES["op8_not_modified_revisits"] = r"""
+WITH u AS (SELECT page_id, html, regexp_replace(trim(url), '#.*$', '') AS url FROM pages),
+p AS (SELECT page_id, html, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1) AS head, url FROM u),
+q AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(lower(head), '://[^@]*@', '://'), '^(http://.*):80$', ''), '^(https://.*):443$', '') AS head,
+    substr(url, length(head) + 1) AS tail FROM p),
+c AS (SELECT page_id, html, CASE WHEN html IS NULL AND head IS NULL THEN NULL WHEN tail LIKE '/%' THEN head || tail ELSE head || '/' || tail END AS canonical_url,
+    1600000000 + page_id * 10 AS ts, '"' || md5(coalesce(html, '')) || '"' AS tag, 'day ' || floor((1600000000 + page_id * 10 - 86400) / 86400)::BIGINT AS modified FROM q),
+r AS (SELECT page_id, canonical_url, ts + 108000 AS ts, page_id % 7 AS k, tag, modified FROM c),
+j AS (SELECT r.page_id, r.canonical_url, r.k, r.tag AS own_tag, r.modified AS own_modified, c.page_id AS found, c.tag, c.modified, c.html
+  FROM r ASOF LEFT JOIN c ON r.canonical_url = c.canonical_url AND r.ts > c.ts),
+o AS (SELECT *, CASE WHEN found IS NULL THEN 'orphan'
+    WHEN k < 3 THEN CASE WHEN own_tag = tag THEN 'verified' ELSE 'mismatch' END WHEN k = 3 THEN 'mismatch'
+    WHEN k = 4 THEN CASE WHEN own_modified = modified THEN 'verified' ELSE 'mismatch' END ELSE 'unverified' END AS outcome FROM j)
+SELECT page_id * 2 + 1 AS record_id, canonical_url, found * 2 AS response_id, outcome,
+  CASE WHEN outcome IN ('verified', 'unverified') THEN CASE WHEN k < 2 THEN own_tag WHEN k = 2 THEN 'W/' || own_tag ELSE tag END END AS etag,
+  CASE WHEN outcome IN ('verified', 'unverified') THEN 'max-age=' || page_id END AS cache_control,
+  CASE WHEN outcome IN ('verified', 'unverified') THEN 'text/html' END AS content_type,
+  CASE WHEN outcome IN ('verified', 'unverified') THEN octet_length(encode(coalesce(html, '')))::VARCHAR END AS content_length,
+  CASE WHEN outcome IN ('verified', 'unverified') THEN md5(html) END AS payload_md5
+FROM o
+"""
+
+
 @register
 def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger of all rules, with the base rules' outcome and the verdict of the current quality policy."""
