@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelrank.session import scratch_path
+from reelrank.session import scratch_path, ship_package
 
 # Upper bound on one Arrow batch sent to a Python worker; a single longer row still travels whole.
 BATCH_BYTES = 16 * 1024 * 1024
@@ -24,7 +24,8 @@ STEP_BYTES = 1 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes, so that long documents cannot fill a worker."""
+    """Bound Arrow batches by bytes, so that long documents cannot fill a worker; let workers import this package."""
+    ship_package(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", str(2**31 - 1))) > BATCH_BYTES:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
