@@ -8,10 +8,12 @@ that no other document has fill the front of that prefix and need no posting; th
 skipped. Collisions over the whole signature are then counted, and pairs that reach `match` are confirmed on their
 full shingle sets.
 
-No list is expanded into all its pairs at once. Equal sets are one class from the start. Round one confirms each list's
-documents against the list's first one and contracts the linked ones; round two compares, in blocks of bounded size,
-only the pairs of a list that are still in different components. No pair that reaches `match` goes unchecked unless its
-two sides are already connected.
+No list is expanded into all its pairs as rows. Equal sets are one class from the start. Round one confirms each list's
+documents against its most central one (the one whose pairs are the most common) and contracts the linked ones. Round
+two takes the lists that still hold several components, in blocks of bounded size with the documents' sets: pairs that
+reach `match` and are not connected yet are confirmed on the spot, each in one list only (that of its first common
+posted coordinate), and a block returns a spanning forest of the links it found. No pair that reaches `match` goes
+unchecked unless its two sides are already connected.
 
 Words are runs of bytes other than ASCII white space, A-Z lower-cased. Null and wordless texts have an empty set and are
 linked with nothing; texts with fewer words than a shingle have their whole sequence as one. Repeated rows get equal
@@ -36,7 +38,7 @@ THRESHOLD_PCT = 80
 COORDINATES = 64
 MISS = 1e-6
 # Documents of one block of a posting list; longer lists are compared block against block, each in its own group.
-BLOCK = 4096
+BLOCK = 2048
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, (2, 512), dtype=np.uint64)
 
 
@@ -94,25 +96,29 @@ def signatures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shin
 
 
 def postings(classes: DataFrame, k: int, match: int) -> DataFrame:
-    """(pair, node, size): prefix postings of the classes, size = documents posted under the pair."""
+    """(pair, node, posted, size, first): prefix postings of the classes. `posted` has a bit for each posted coordinate of
+    the node, size counts the documents posted under the pair, first is the most central of them."""
+    if k > 64:
+        raise ValueError("at most 64 coordinates")
     spread = classes.select("node", F.posexplode("sig").alias("i", "v")).select(
-        "node", (F.shiftleft(F.col("i").cast("long"), 32) + F.col("v").cast("long") + 2**31).alias("pair"))
+        "node", (F.shiftleft(F.col("i").cast("long"), 32) + F.col("v").cast("long") + 2**31).alias("pair"), F.expr("shiftleft(1L, i)").alias("bit"))
     shared = spread.groupBy("pair").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = spread.join(shared, "pair").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "pair"))).alias("p"))
+    ranked = spread.join(shared, "pair").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "pair", "bit"))).alias("p"))
     front = ranked.where(F.size("p") >= match).select(
-        "node", F.explode(F.slice("p", 1, F.size("p") - match + 1)).alias("p")).select("node", F.col("p.pair").alias("pair"))
-    posted = store(front, "postings")
-    return posted.join(posted.groupBy("pair").agg(F.count("*").alias("size"), F.min("node").alias("first")).where("size > 1"), "pair")
+        "node", F.slice("p", 1, F.size("p") - match + 1).alias("front"), F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["df"]).alias("weight"))
+    bits = F.aggregate("front", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x["bit"]))
+    made = store(front.select("node", "weight", bits.alias("posted"), F.explode("front").alias("p")).select("node", "weight", "posted", F.col("p.pair").alias("pair")), "postings")
+    lists = made.groupBy("pair").agg(F.count("*").alias("size"), F.max_by("node", F.struct("weight", "node")).alias("first")).where("size > 1")
+    return made.drop("weight").join(lists, "pair")
 
 
 def _matches(x: str, y: str):
     return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, e: s + e)
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, doc_id: str, shingle_words: int, pct: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose full shingle sets reach the threshold."""
-    pairs = store(pairs, "pairs")
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes, "node").select("node", "set_key", F.col("doc_id").alias("_id"))
+def full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, text: str, doc_id: str, shingle_words: int) -> DataFrame:
+    """(node, s): the whole shingle set of each node, from the text of one of its documents."""
+    need = nodes.distinct().join(classes, "node").select("node", "set_key", F.col("doc_id").alias("_id"))
     texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").cast("binary").alias("body"))
     found = need.join(texts, need["_id"].eqNullSafe(texts["_id"])).select("node", "set_key", "body")
 
@@ -124,7 +130,11 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, do
                     keep.append(i), out.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(out, pa.binary())], names=["node", "s"])
 
-    full = store(found.mapInArrow(sets, "node long, s binary").groupBy("node").agg(F.first("s").alias("s")), "sets")
+    return store(found.mapInArrow(sets, "node long, s binary").groupBy("node").agg(F.first("s").alias("s")), "sets")
+
+
+def confirm(pairs: DataFrame, full: DataFrame, pct: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose full shingle sets reach the threshold."""
 
     def check(batches):
         for b in batches:
@@ -140,28 +150,44 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, do
     return store(joined.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "links")
 
 
-def _block_pairs(k: int, match: int, pct: int):
-    """Pairs of one block pair of a list that collide often enough and are not connected yet."""
+def _block_links(k: int, match: int, pct: int):
+    """Confirmed links between the components of one block pair of a list: a spanning forest."""
+    coordinate = np.arange(k, dtype=np.uint64)
+
+    def forest(c: int, idx: np.ndarray, col: dict, sig: np.ndarray, sets: list):
+        same = col["lo"][idx[0]] == col["hi"][idx[0]]
+        node, block, size = (col[x][idx] for x in ("node", "block", "n"))
+        own = sig[idx]
+        posted = (col["posted"][idx].astype(np.uint64)[:, None] >> coordinate & np.uint64(1)).astype(bool)
+        _, label = np.unique(col["root"][idx], return_inverse=True)  # component of each document, contracted as links are found
+        for t in range(len(idx) - 1):
+            rest = np.arange(t + 1, len(idx))
+            near = (label[rest] != label[t]) & (100 * np.minimum(size[rest], size[t]) >= pct * np.maximum(size[rest], size[t]))
+            rest = rest[near & (same | (block[rest] != block[t]))]
+            equal = own[rest] == own[t]
+            hit = (equal.sum(axis=1) >= match) & ((equal & posted[rest] & posted[t]).argmax(axis=1) == c)  # this list is the pair's own
+            rest = rest[hit]
+            for part in np.split(rest, range(256, len(rest), 256)) if len(rest) else []:
+                each = [sets[idx[r]] for r in part]
+                flat_sets, mine = np.concatenate(each), sets[idx[t]]
+                at = np.minimum(np.searchsorted(mine, flat_sets), len(mine) - 1)
+                first = np.concatenate([[0], np.cumsum([len(x) for x in each])[:-1]])
+                both = np.add.reduceat((mine[at] == flat_sets).astype(np.int64), first)
+                for r in part[100 * both >= pct * (len(mine) + size[part] - both)]:
+                    if label[r] != label[t]:
+                        label[label == label[r]] = label[t]
+                        yield int(node[t]), int(node[r])
 
     def run(group: pa.Table) -> pa.Table:
-        col = {c: group[c].to_numpy() for c in ("pair", "lo", "hi", "block", "node", "root", "n")}
-        sig = np.frombuffer(pa.concat_arrays(group["sig"].chunks).flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.int32).reshape(-1, k)
+        col = {c: group[c].to_numpy() for c in ("pair", "lo", "hi", "block", "node", "root", "n", "posted")}
+        sig = pa.concat_arrays(group["sig"].chunks).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["s"]]
         order = np.lexsort((col["node"], col["hi"], col["lo"], col["pair"]))
         key = np.stack([col["pair"], col["lo"], col["hi"]])[:, order]
         cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-        a, b = [], []
-        for idx in np.split(order, cut):
-            same = col["lo"][idx[0]] == col["hi"][idx[0]]
-            for t, i in enumerate(idx):
-                rest = idx[t + 1:]
-                near = (col["root"][rest] != col["root"][i]) & (100 * np.minimum(col["n"][rest], col["n"][i]) >= pct * np.maximum(col["n"][rest], col["n"][i]))
-                if not same:
-                    near &= col["block"][rest] != col["block"][i]
-                rest = rest[near]
-                rest = rest[(sig[rest] == sig[i]).sum(axis=1) >= match]
-                a.append(np.minimum(col["node"][rest], col["node"][i])), b.append(np.maximum(col["node"][rest], col["node"][i]))
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        links = [x for idx in np.split(order, cut) for x in forest(int(col["pair"][idx[0]] >> 32), idx, col, sig, sets)]
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -172,35 +198,40 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     match = match_threshold(k, threshold_pct, miss)
     rows = store(signatures(docs, text, doc_id, shingle_words, k), "signatures")
     made = rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
-    classes = store(made, "classes")
-    classes = store(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    classes = store(made.withColumn("node", F.monotonically_increasing_id()), "classes")
     posted = store(postings(classes.select("node", "sig"), k, match), "lists")
 
-    # Round one: each list's documents against its first one.
+    # Round one: each list's documents against its most central one.
     sig = classes.select("node", "n", "sig")
     star = posted.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     star = star.join(sig.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a").join(
         sig.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
-    near = star.where((100 * F.least("na", "nb") >= threshold_pct * F.greatest("na", "nb")) & (_matches("sa", "sb") >= match)).select("a", "b")
-    links = confirm(near, classes, docs, text, doc_id, shingle_words, threshold_pct)
-    root = store(components(links), "components")
+    near = store(star.where((100 * F.least("na", "nb") >= threshold_pct * F.greatest("na", "nb")) & (_matches("sa", "sb") >= match)).select("a", "b"), "pairs")
+    ends = near.select(F.col("a").alias("node")).union(near.select("b"))
+    root = store(components(confirm(near, full_sets(ends, classes, docs, text, doc_id, shingle_words), threshold_pct)), "components")
 
     # Round two: what is left of the longer lists, block against block.
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    left = posted.where("size > 2").join(root, "node", "left").select("pair", "node", F.coalesce("root", "node").alias("root"), blocks.alias("blocks"))
+    left = posted.where("size > 2").join(root, "node", "left").select("pair", "node", "posted", F.coalesce("root", "node").alias("root"), blocks.alias("blocks"))
     open_lists = left.groupBy("pair").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("pair")
     left = store(left.join(open_lists, "pair", "left_semi"), "open")
     n_left = left.count()
     if n_left:
+        full = full_sets(left.select("node"), classes, docs, text, doc_id, shingle_words)
         left = left.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn(
-            "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sig, "node")
+            "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sig, "node").join(full, "node")
         left = left.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-        groups = left.withColumn("_g", F.pmod(F.xxhash64("pair", "lo", "hi"), F.lit(1 + n_left // 20_000)))
-        more = groups.select("_g", "pair", "lo", "hi", "block", "node", "root", "n", "sig").groupBy("_g").applyInArrow(
-            _block_pairs(k, match, threshold_pct), "a long, b long").distinct()
-        more = more.join(near, ["a", "b"], "left_anti")
-        found = confirm(more, classes, docs, text, doc_id, shingle_words, threshold_pct)
-        root = store(components(links.union(found)), "components")
+        groups = left.withColumn("_g", F.pmod(F.xxhash64("pair", "lo", "hi"), F.lit(1 + n_left // 4000)))
+        found = store(groups.select("_g", "pair", "lo", "hi", "block", "node", "root", "n", "posted", "sig", "s").groupBy("_g").applyInArrow(
+            _block_links(k, match, threshold_pct), "a long, b long"), "links")
+        if not found.isEmpty():
+            # the found links between roots; then every node follows its root
+            of = lambda x: F.coalesce(F.col(f"root_{x}"), F.col(x)).alias(x)
+            ra, rb = (root.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+            top = store(components(found.join(ra, "a", "left").join(rb, "b", "left").select(of("a"), of("b"))), "components")
+            up = top.select(F.col("node").alias("root"), F.col("root").alias("top"))
+            moved = root.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+            root = store(moved.union(top.join(root, "node", "left_anti").select("node", "root")), "components")
 
     # Smallest doc_id of each component, over all classes in it; nulls last.
     member = classes.select("set_key", "node", "doc_id").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
