@@ -35,7 +35,7 @@ from .common import BYTE_VALUE, bounded_batches, flat, mix64, parts_for, prefix_
 LENGTH = 400
 ANCHOR = 24
 ANCHOR_EVERY = 32
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 64 << 20  # text behind one bucket of ranks
 _SECOND = mix64(BYTE_VALUE)
 
@@ -287,7 +287,7 @@ def repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         for b in batches:
             buf, off = flat(b.column(1))
             chunk = b.column(0).to_numpy()
-            for i, j in row_blocks(off, 4 << 20):
+            for i, j in row_blocks(off):
                 at, h, k, g = plan.places(buf[off[i]: off[j]], off[i: j + 1] - off[i])
                 where = np.concatenate([at, k])
                 h = np.concatenate([h, g])
@@ -306,7 +306,7 @@ def repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         buf, off = flat(left["body"])
         ids = left["doc_id"].to_pylist()
         known = _known_ranks(right)
-        for i, j in row_blocks(off, 4 << 20):
+        for i, j in row_blocks(off):
             part, o = buf[off[i]: off[j]], off[i: j + 1] - off[i]
             at, h, k, g = plan.places(part, o)
             hot = at[_find(known, _ranked(plan, h)) >= 0]
