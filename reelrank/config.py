@@ -36,9 +36,13 @@ class JobConfig:
     # model
     mf_rank: int = 10
     mf_max_iter: int = 10
-    mf_reg: float = 0.5  # chosen by 3-fold CV on the driver ratings (0.1 overfits noise)
+    mf_reg: float = 0.1
+    mf_blocks: int = 10
     extra: dict = field(default_factory=dict)
 
+    def mf_params(self) -> dict:
+        return {"rank": self.mf_rank, "max_iter": self.mf_max_iter, "reg": self.mf_reg, "blocks": self.mf_blocks}
+
     def with_overrides(self, **kw) -> "JobConfig":
         return replace(self, **kw)
 

@@ -90,9 +90,9 @@ def null_to_zero(x, integral: bool = False) -> Column:
     return F.coalesce(_c(x), F.lit(0 if integral else 0.0))
 
 
-def random_rating(seed: int) -> Column:
-    """Uniform on 0.5, 1.0, ..., 5.0."""
-    return ((F.floor(F.rand(seed) * 10) + 1) * 0.5).cast("decimal(2,1)")
+def random_rating(seed: int, cols: tuple[str, ...] = ("user_id", "item_id")) -> Column:
+    """Uniform on 0.5, 1.0, ..., 5.0, drawn by a hash of the row's keys."""
+    return ((F.pmod(hash_order(list(cols), seed), F.lit(10)) + 1) * 0.5).cast("decimal(2,1)")
 
 
 def clip_to_scale(est, lo: float = RATING_MIN, hi: float = RATING_MAX) -> Column:
@@ -113,8 +113,12 @@ def default_method(method) -> Column:
 
 
 def hash_order(cols: list[str], seed: int) -> Column:
-    """Reproducible pseudo-random order key (M1): independent of partitioning."""
-    return F.xxhash64(*[F.col(c) for c in cols], F.lit(seed))
+    """Reproducible pseudo-random order key (M1): the first 60 bits of md5("key|key|...|seed").
+
+    Depends on the row's keys alone, not on partitioning, and any SQL engine with md5 can repeat it.
+    """
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("bigint")
 
 
 def rating_double(col: str = "rating") -> Column:
@@ -127,6 +131,11 @@ def units(x, digits: int = 4) -> Column:
     return F.round(_c(x) * (10 ** digits)).cast("long")
 
 
+def rounded_mean(total: str, count: str, digits: int = 4) -> Column:
+    """Mean of raw values from their sum, rounded once; 0 without values."""
+    return F.when(F.col(count) > 0, F.round(F.col(total) / F.col(count), digits)).otherwise(F.lit(0.0))
+
+
 def mean_of_units(total_units: str, count: str, digits: int = 4) -> Column:
     """Mean of values given as integer units, rounded half up to `digits`
     with exact integer division (no binary rounding ties)."""

@@ -3,8 +3,8 @@ P21-P24, J12, A20-A24, U4).
 
 A list is an ARRAY<STRUCT<movie, score>> column; per-list metrics are
 higher-order functions on that array inside one row, so no explode and no
-regroup is needed. The popular-title set used by novelty is a top-100
-report (bounded by its limit, size checked) and travels as an array literal.
+regroup is needed. The popular-title set used by novelty is a top-n report
+(bounded by its limit) and reaches the lists as one array value.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelrank.functions.columns import default_method, mean_of_units, parse_iso_ts, units
+from reelrank.functions.columns import default_method, mean_of_units, parse_iso_ts, rounded_mean, units
 from reelrank.sources.schemas import RECO_LOG_WITH_CORRUPT
 
 ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
@@ -23,15 +23,15 @@ ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 EVENT_METHODS = {"view": "collaborative_filtering", "click": "cold_start", "purchase": "cold_start_fallback"}
 MALFORMED_EVENT = "error"
 LIST_MAX = 5
-MAX_POPULAR_TITLES = 10_000
 
 
 def log_entries_from_events(events: DataFrame, items: DataFrame) -> DataFrame:
     """Log rows derived from request events (one list per event).
 
     Entry i (0-based, up to 1 + event_id % 5 entries) recommends item
-    (event_id + (i % 3) * 11) % |items| with score value / 100 - i / 10, so
-    lists longer than three repeat titles. The list is regrouped per event
+    (event_id + (i % 3) * 11) % |items| with score value / 100 - i / 10 plus
+    (event_id % 9973) / 30,000,000 (so scores have many decimals); lists longer
+    than three repeat titles. The list is regrouped per event
     (at most five rows per group).
     """
     n_items = items.select(F.count(F.lit(1))).scalar()
@@ -42,7 +42,7 @@ def log_entries_from_events(events: DataFrame, items: DataFrame) -> DataFrame:
     entries = entries.join(items.select("item_id", F.col("title").alias("movie")), "item_id")
     lists = (entries.groupBy("event_id")
              .agg(F.sort_array(F.collect_list(F.struct(
-                 "pos", "movie", F.round(F.col("value") / 100 - F.col("pos") / 10, 4).alias("score")))).alias("l")))
+                 "pos", "movie", (F.col("value") / 100 - F.col("pos") / 10 + F.pmod(F.col("event_id"), F.lit(9973)) / 30000000).alias("score")))).alias("l")))
     lists = lists.select("event_id", F.transform("l", lambda x: F.struct(x["movie"].alias("movie"),
                                                                       x["score"].alias("score"))).alias("recs"))
     method = F.lit(None).cast("string")
@@ -100,57 +100,49 @@ def popular_titles(ratings: DataFrame, items: DataFrame, min_count: int = 100, n
     return top_titles_by_count(ratings, items, min_count, n).select("title")
 
 
-def popular_array(popular: DataFrame, max_titles: int = MAX_POPULAR_TITLES):
-    """The popular-title set as an array literal.
-
-    The set is a top-n report, so its size is bounded by its limit; the
-    bound is checked before the (small) collect. Spark does not allow a
-    subquery inside a higher-order function, hence a literal.
-    """
-    rows = popular.select("title").distinct().limit(max_titles + 1).collect()
-    if len(rows) > max_titles:
-        raise ValueError(f"popular set exceeds {max_titles} titles")
-    return F.array(*[F.lit(r.title) for r in rows]).cast("array<string>")
+def popular_array(popular: DataFrame):
+    """The popular titles (a top-n report, bounded by its limit) as one array column, computed inside the query."""
+    return popular.agg(F.collect_set("title").alias("titles")).select("titles").scalar()
 
 
-def list_metrics(log: DataFrame, popular: DataFrame, digits: int = 4) -> DataFrame:
-    """A20, A21, A23 (+P22, P24): per-list diversity, novelty and score stats.
+def list_metrics(log: DataFrame, popular: DataFrame | None = None, digits: int = 4) -> DataFrame:
+    """A20, A21, A23 (+P22, P24): per-list diversity, novelty (with a popular set) and score stats.
 
-    Novelty counts duplicates (an `array_except` would drop them).
+    Scores are averaged raw and rounded once. Novelty counts duplicates (an `array_except` would drop them).
     """
-    pop = popular_array(popular)
     titles = F.transform("recommendations", lambda r: r["movie"])
     scores = F.transform("recommendations", lambda r: r["score"])
     n = F.size("recommendations")
-    novel = F.size(F.filter(titles, lambda t: ~F.array_contains(pop, t)))
-    total = F.aggregate(scores, F.lit(0).cast("long"), lambda acc, s: acc + units(s, digits))
+    total = F.aggregate(scores, F.lit(0.0), lambda acc, s: acc + F.coalesce(s, F.lit(0.0)))
     out = log.select(
         "*",
         F.when(n > 0, F.round(F.size(F.array_distinct(titles)) / n, digits)).otherwise(0.0).alias("diversity"),
-        F.when(n > 0, F.round(novel / n, digits)).otherwise(0.0).alias("novelty"),
         F.coalesce(F.round(F.array_max(scores), digits), F.lit(0.0)).alias("max_score"),
         F.coalesce(F.round(F.array_min(scores), digits), F.lit(0.0)).alias("min_score"),
         n.alias("list_size"),
-        total.alias("_score_units"))
-    return out.withColumn("avg_score", mean_of_units("_score_units", "list_size", digits))
+        total.alias("_score_total"))
+    if popular is not None:
+        out = out.withColumn("_popular", popular_array(popular))
+        novel = F.size(F.filter(titles, lambda t: ~F.array_contains("_popular", t)))
+        out = out.withColumn("novelty", F.when(n > 0, F.round(novel / n, digits)).otherwise(0.0)).drop("_popular")
+    return out.withColumn("avg_score", rounded_mean("_score_total", "list_size", digits))
 
 
 def reco_statistics(metrics: DataFrame, days: int = 7, digits: int = 4) -> DataFrame:
-    """Lists, mean (rounded) diversity and novelty, mean over all scores,
-    count per method; zeros when empty. One global aggregate; the method
-    counts come from a small pre-aggregate folded into a sorted text map."""
+    """Lists, mean (rounded) diversity and novelty, mean over all raw scores,
+    MAP<STRING,INT> of lists per method; zeros when empty. One global aggregate;
+    the method counts come from a small pre-aggregate."""
     m = metrics.withColumn("method", default_method("method"))
-    by_method = m.groupBy("method").agg(F.count(F.lit(1)).alias("n"))
-    methods = by_method.select(F.coalesce(F.array_join(F.array_sort(F.collect_list(
-        F.concat("method", F.lit(":"), F.col("n").cast("string")))), ","), F.lit(""))).scalar()
+    by_method = m.groupBy("method").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    methods = by_method.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("method", "n")))).alias("m")).select("m").scalar()
     agg = m.agg(F.count(F.lit(1)).alias("total_recommendations"),
                 F.sum(units("diversity", digits)).alias("d"), F.sum(units("novelty", digits)).alias("v"),
-                F.sum("_score_units").alias("s"), F.sum("list_size").alias("k"))
+                F.sum("_score_total").alias("s"), F.sum("list_size").alias("k"))
     return agg.select(
         "total_recommendations", F.lit(days).alias("period_days"),
         mean_of_units("d", "total_recommendations", digits).alias("avg_diversity"),
         mean_of_units("v", "total_recommendations", digits).alias("avg_novelty"),
-        F.coalesce(mean_of_units("s", "k", digits), F.lit(0.0)).alias("avg_score"),
+        F.coalesce(rounded_mean("s", "k", digits), F.lit(0.0)).alias("avg_score"),
         methods.alias("methods_used"))
 
 

@@ -16,6 +16,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,13 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from reelrank.config import validate_top_n
-from reelrank.functions.columns import RATING_MAX, RATING_MIN, clip_to_scale, rating_double
+from reelrank.functions.columns import RATING_MAX, RATING_MIN, clip_to_scale, hash_order, rating_double
 
 # Block sizing of the top-N product (rows per side of one cogroup).
 USERS_PER_CHUNK = 20_000
 ITEMS_PER_BLOCK = 50_000
 SCORE_BATCH = 512
-ALS_MAX_BLOCKS = 4096
+ALS_BLOCKS = 10        # part of the model: results must not depend on the cluster's size
 MIN_USERS_PER_CHUNK = 500
 
 
@@ -61,9 +62,8 @@ class NormalModel:
 def fit_biases(ratings: DataFrame, reg_item: float = 10.0, reg_user: float = 15.0):
     """Global mean and regularised item/user biases (two partial aggregates)."""
     r = ratings.select("user_id", "item_id", rating_double().alias("r"))
-    # one pass over the ratings: per-item sums and counts; the global mean is
-    # read from that (catalogue-sized) aggregate, not from a second scan
-    per_item = r.groupBy("item_id").agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("n")).persist()
+    per_item = r.groupBy("item_id").agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("n"))
+    # the global mean is read from the per-item aggregate; nothing stays cached
     tot = per_item.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
     mu = float(tot.s) / tot.n if tot.n else 0.0
     item_bias = per_item.select("item_id", ((F.col("s") - F.col("n") * mu) / (F.col("n") + reg_item)).alias("b_i"))
@@ -74,8 +74,8 @@ def fit_biases(ratings: DataFrame, reg_item: float = 10.0, reg_user: float = 15.
     return mu, user_bias, item_bias
 
 
-def fit_mf(ratings: DataFrame, rank: int = 10, max_iter: int = 10, reg: float = 0.5, seed: int = 0,
-           reg_item: float = 10.0, reg_user: float = 15.0) -> MFModel:
+def fit_mf(ratings: DataFrame, rank: int = 10, max_iter: int = 10, reg: float = 0.1, seed: int = 0,
+           reg_item: float = 10.0, reg_user: float = 15.0, blocks: int = ALS_BLOCKS) -> MFModel:
     """Bias-then-ALS. ALS checkpoints its lineage every 10 iterations into
     the session's checkpoint folder, so long fits survive executor loss."""
     mu, user_bias, item_bias = fit_biases(ratings, reg_item, reg_user)
@@ -85,9 +85,6 @@ def fit_mf(ratings: DataFrame, rank: int = 10, max_iter: int = 10, reg: float =
              .join(item_bias, "item_id").join(user_bias, "user_id")
              .select(F.col("user_id").cast("int").alias("user_id"), F.col("item_id").cast("int").alias("item_id"),
                      (F.col("r") - mu - F.col("b_i") - F.col("b_u")).alias("residual")))
-    # one ALS block per core of the session (the library default of 10 blocks
-    # would leave a large cluster idle), bounded for very large sessions
-    blocks = max(2, min(ALS_MAX_BLOCKS, ratings.sparkSession.sparkContext.defaultParallelism))
     als = ALS(rank=rank, maxIter=max_iter, regParam=reg, userCol="user_id", itemCol="item_id",
               ratingCol="residual", coldStartStrategy="nan", nonnegative=False, seed=seed,
               checkpointInterval=10, numUserBlocks=blocks, numItemBlocks=blocks)
@@ -106,8 +103,12 @@ def fit_normal(ratings: DataFrame) -> NormalModel:
 
 
 def predict_normal(model: NormalModel, pairs: DataFrame, seed: int = 0) -> DataFrame:
-    """R3 predictions: randn * sigma + mu, clipped (P20)."""
-    return pairs.withColumn("est", clip_to_scale(F.randn(seed) * model.sigma + model.mu))
+    """R3 predictions: normal draws with the model's mean and deviation, clipped (P20). The draw of a pair comes from two
+    keyed hashes by the Box-Muller transform, so it is the same on every run and in any SQL engine."""
+    u = (hash_order(["user_id", "item_id"], seed) + 1) / float(2**60)
+    v = hash_order(["user_id", "item_id"], seed + 1) / float(2**60)
+    draw = F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v)
+    return pairs.withColumn("est", clip_to_scale(draw * model.sigma + model.mu))
 
 
 def predict_pairs(model: MFModel, pairs: DataFrame) -> DataFrame:

@@ -1,42 +1,35 @@
 """Sampling, folds and synthetic rating generation.
 
-Random choices are hash-based: the order key is xxhash64(keys, seed), so a
-sample is the same for any partitioning and survives task retries (an
-executor lost mid-job recomputes exactly the same rows).
+Random choices are hash-based: the order key is a 60-bit md5 prefix of the
+keys and the seed, so a sample is the same for any partitioning, survives task
+retries (an executor lost mid-job recomputes exactly the same rows) and can be
+repeated by any SQL engine.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from reelrank.functions.columns import hash_order, random_rating
 from reelrank.operators.topk import top_k
 
-# Inputs larger than PREFILTER_RATIO x n are first cut to a hash range
-# slightly larger than needed, so the final ordered take only merges about
-# n rows instead of n rows from every partition.
-PREFILTER_RATIO = 4
-HASH_SPAN = 1 << 62
+HASH_SPAN = 1 << 60
 
 
 def sample_n(df: DataFrame, n: int, keys: list[str], seed: int = 0) -> DataFrame:
     """M1/M2/M5: exactly min(n, rows) rows without replacement, reproducible.
 
-    The rows are the n smallest by hash. When the input is much larger than
-    n, rows whose hash falls in the lowest ~(n/rows * 1.05 + margin) share of
-    the hash space are kept first (a pure map-side filter), and the exact n
-    are taken from that superset; if it falls short the range is widened.
-    So the final ordered take merges about n rows, not n per partition.
+    The rows are the n smallest by hash. Rows whose hash falls in the lowest
+    ~(n/rows * 1.05 + margin) share of the hash space are kept first (a
+    map-side filter), and the exact n are taken from them; if they fall short
+    the range is widened. So the final ordered take merges about n rows, not n
+    per partition.
     """
-    h = hash_order(keys, seed)
-    ordered = df.withColumn("_h", F.pmod(h, F.lit(HASH_SPAN)))
     total = df.count()
     if n >= total:
         return df
-    if total <= PREFILTER_RATIO * n:
-        return ordered.orderBy("_h", *keys).limit(n).drop("_h")
+    ordered = df.withColumn("_h", hash_order(keys, seed))
     frac = min(1.0, n / total * 1.05 + 1000.0 / total)
     while True:
         kept = ordered.filter(F.col("_h") < F.lit(int(frac * HASH_SPAN)))
@@ -72,27 +65,19 @@ def unrated_pairs(pairs: DataFrame, ratings: DataFrame) -> DataFrame:
 
 def generate_ratings(users: DataFrame, items: DataFrame, ratings: DataFrame, count: int = 10000,
                      seed: int = 0, pool: int = 500, as_of: int | None = None) -> DataFrame:
-    """M6 (+ M3, J7, P19, T9): up to `count` new random ratings on unrated pairs.
-
-    The reference crosses 500 random users with 500 random items and keeps
-    the unrated pairs. Here each pool user draws its share of candidate
-    items by hash from the pool's item ranks (an equi-join on the drawn
-    rank), so only about `count` candidate rows are built instead of the
-    whole grid. Ratings are uniform on 0.5..5.0; timestamps are epoch
-    seconds (`as_of`, default now). Returns the rows to append; their real
-    count is the number inserted.
+    """M6 (+ M3, J7, P19, T9): min(count, unrated pairs of the grid) new random ratings.
+
+    The grid is `pool` random users by `pool` random items. Both samples are bounded by the parameter; the item ids
+    travel as one array to the sampled users, so the grid is a generator over at most `pool` rows, not a join of
+    tables. Rated pairs leave by an anti-join and the `count` smallest by hash stay. Ratings are uniform on 0.5..5.0;
+    timestamps are epoch seconds (`as_of`, default now). Returns the rows to append; their real count is the number
+    inserted.
     """
     u = random_ids(users, "user_id", pool, seed)
-    # ranks 0..pool-1 of the sampled items (an ordered window over <= pool rows)
-    i = random_ids(items, "item_id", pool, seed + 1).withColumn("_ir", F.row_number().over(
-        Window.orderBy("item_id")) - 1)
-    per_user = -(-count // max(pool, 1)) * 2 + 8  # draws per user, slack for rated/duplicate draws
-    draws = u.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(per_user - 1))).alias("_d"))
-    draws = draws.withColumn("_ir", F.pmod(F.xxhash64("user_id", "_d", F.lit(seed)), F.lit(pool)))
-    cand = draws.join(F.broadcast(i), "_ir").select("user_id", "item_id").distinct()
-    fresh = unrated_pairs(cand, ratings)
+    ids = random_ids(items, "item_id", pool, seed + 1).agg(F.collect_list("item_id").alias("ids")).select("ids").scalar()
+    fresh = unrated_pairs(u.select("user_id", F.explode(ids).alias("item_id")), ratings)
     ts = F.lit(as_of) if as_of is not None else F.unix_timestamp()
-    picked = fresh.withColumn("_h", hash_order(["user_id", "item_id"], seed)).orderBy("_h").limit(count).drop("_h")
+    picked = fresh.withColumn("_h", hash_order(["user_id", "item_id"], seed)).orderBy("_h", "user_id", "item_id").limit(count).drop("_h")
     return picked.select("user_id", "item_id", random_rating(seed).alias("rating"), ts.cast("bigint").alias("timestamp"))
 
 

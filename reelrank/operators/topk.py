@@ -6,7 +6,8 @@ partition forwards up to k rows to one final task, i.e. partitions x k rows
 finds a threshold on the leading key from a small histogram (<= BUCKETS
 counts, partial aggregate, collected), refining inside the boundary bucket
 while it is too full, then filters map-side and orders only about k rows.
-Exact: every row that can be in the answer passes the threshold.
+Exact: every row that can be in the answer passes the threshold. NULL keys
+sort as in orderBy: first when ascending, last when descending.
 """
 
 from __future__ import annotations
@@ -36,11 +37,14 @@ def top_k(df: DataFrame, k: int, key: str, descending: bool = True, tiebreak: tu
     order = _order(key, descending, tiebreak)
     if k * df.rdd.getNumPartitions() <= MAX_MERGE_ROWS:
         return df.orderBy(*order).limit(k)
-    row = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    if row.n <= CANDIDATE_FACTOR * k or row.lo is None:
-        return df.orderBy(*order).limit(k)
-    lo, hi, need = int(row.lo), int(row.hi), k
+    row = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(key).alias("n"), F.count(F.lit(1)).alias("rows")).first()
     c = F.col(key)
+    need = k if descending else k - (row.rows - row.n)
+    if need <= 0:  # ascending, and the NULL keys alone fill the answer
+        return df.filter(c.isNull()).orderBy(*order).limit(k)
+    if row.n <= CANDIDATE_FACTOR * need:
+        return df.orderBy(*order).limit(k)
+    lo, hi = int(row.lo), int(row.hi)
     while True:
         width = max(1, math.ceil((hi - lo + 1) / BUCKETS))
         bucket = F.floor((c - F.lit(lo)) / F.lit(width)).cast("long")
@@ -54,7 +58,7 @@ def top_k(df: DataFrame, k: int, key: str, descending: bool = True, tiebreak: tu
             cum += n
         b_lo, b_hi = lo + b * width, min(hi, lo + (b + 1) * width - 1)
         if cum + n <= CANDIDATE_FACTOR * need or width == 1:
-            cond = c >= F.lit(b_lo) if descending else c <= F.lit(b_hi)
+            cond = c >= F.lit(b_lo) if descending else (c <= F.lit(b_hi)) | c.isNull()
             return df.filter(cond).orderBy(*order).limit(k)
         need -= cum
         lo, hi = b_lo, b_hi

@@ -64,6 +64,11 @@ def register(key: str, sql: str | None = None):
     return deco
 
 
+def _hash_sql(cols: str, seed: int) -> str:
+    """hash_order in DuckDB: the first 60 bits of md5("key|...|seed")."""
+    return f"CAST('0x' || substr(md5(concat_ws('|', {cols}, '{seed}')), 1, 15) AS BIGINT)"
+
+
 def _max_ts(m: DriverModel):
     return m.ratings().select(F.max("timestamp")).scalar()
 
@@ -74,11 +79,17 @@ def _roundtrip_csv(m: DriverModel, df: DataFrame, name: str, schema) -> DataFram
     return W.read_csv(m.spark, path, schema)
 
 
+_LOGS: dict[tuple[str, str], str] = {}
+
+
 def _log(m: DriverModel) -> DataFrame:
-    """Derived recommendation log written as JSON lines and scanned back."""
-    path = scratch_path(m.spark, "reco-log")
-    Q.append_reco_log(Q.log_entries_from_events(m.events(), m.items()), path)
-    return Q.scan_reco_log(m.spark, path)
+    """Derived recommendation log, written as JSON lines once per application and table set, and scanned back."""
+    key = (m.spark.sparkContext.applicationId, m.sf_dir)
+    if key not in _LOGS:
+        path = scratch_path(m.spark, "reco-log")
+        Q.append_reco_log(Q.log_entries_from_events(m.events(), m.items()), path)
+        _LOGS[key] = path
+    return Q.scan_reco_log(m.spark, _LOGS[key])
 
 
 def _requested_users(m: DriverModel) -> DataFrame:
@@ -140,14 +151,7 @@ def scan_reco_log(m):
                                           lambda a, s: a + s), 4).alias("score_total"))
 
 
-@register("load_baseline_stats")
-def load_baseline_stats(m):
-    path = scratch_path(m.spark, "baseline-stats")
-    W.save_baseline_stats(A.data_statistics(m.ratings()), path, "2000-01-01T00:00:00.000000")
-    return W.load_baseline_stats(m.spark, path)
-
-
-@register("load_baseline_rows")
+@register("load_baseline_rows", f"""SELECT user_id, item_id, rating, "timestamp" FROM ratings ORDER BY {_hash_sql("user_id, item_id", 42)}, user_id, item_id LIMIT 10000""")
 def load_baseline_rows(m):
     path = scratch_path(m.spark, "baseline-rows")
     W.save_baseline_rows(M.sample_n(m.ratings(), 10000, ["user_id", "item_id"], 42), path)
@@ -335,14 +339,15 @@ def status_label(m):
 
 
 @register("null_to_zero", """
-SELECT CAST(count(DISTINCT user_id) AS BIGINT) AS num_users, CAST(count(DISTINCT item_id) AS BIGINT) AS num_movies,
-       count(*) AS num_ratings, coalesce(avg(rating), 0.0) AS avg_rating, coalesce(round(stddev_samp(rating), 6), 0.0) AS std_rating,
-       coalesce(min(rating), 0.0) AS min_rating, coalesce(max(rating), 0.0) AS max_rating,
-       CAST(count(DISTINCT CAST(to_timestamp("timestamp") AS DATE)) AS BIGINT) AS num_days
-FROM ratings WHERE "timestamp" > (SELECT max("timestamp") FROM ratings)""")
+SELECT u.user_id, CAST(coalesce(n, 0) AS BIGINT) AS num_ratings, coalesce(a, 0.0) AS avg_rating, coalesce(lo, 0.0) AS min_rating
+FROM users u LEFT JOIN (SELECT user_id, count(*) AS n, round(avg(rating), 6) AS a, min(rating) AS lo FROM ratings GROUP BY user_id) r
+  ON u.user_id = r.user_id""")
 def null_to_zero(m):
-    """Statistics of an empty period: every aggregate falls back to 0."""
-    return A.data_statistics(m.ratings().filter(F.col("timestamp") > _max_ts(m)))
+    """Statistics of every user; those without ratings have no group, so their NULLs fall back to 0."""
+    per = m.ratings().groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("rating").cast("double")), 6).alias("a"),
+                                             F.min(F.col("rating").cast("double")).alias("lo"))
+    return m.users().join(per, "user_id", "left").select(
+        "user_id", C.null_to_zero("n", integral=True).alias("num_ratings"), C.null_to_zero("a").alias("avg_rating"), C.null_to_zero("lo").alias("min_rating"))
 
 
 @register("rating_domain_check", """
@@ -486,13 +491,15 @@ def tag_id_lookup(m):
     return m.item_tags()
 
 
-@register("referential_check", """
+@register("referential_check", f"""
 SELECT "userId" AS user_id, count(*) AS num_rows FROM raw_tags t
-WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.user_id = t."userId") GROUP BY 1""")
+WHERE NOT EXISTS (SELECT 1 FROM (SELECT user_id FROM ratings GROUP BY user_id HAVING count(*) >= {MIN_USER}) a WHERE a.user_id = t."userId") GROUP BY 1""")
 def referential_check(m):
-    """Tag rows whose user is missing from the user table, per user."""
+    """Tag rows whose user is missing from the table of active users, per user (against the full user table the
+    driver data has no violation)."""
     t = m.raw_tags().withColumnRenamed("userId", "user_id")
-    return I.referential_check(t, m.users(), "user_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("num_rows"))
+    active = A.user_activity(m.ratings(), MIN_USER).select("user_id")
+    return I.referential_check(t, active, "user_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("num_rows"))
 
 
 # ----------------------------------------------------------- aggregations ----
@@ -661,19 +668,15 @@ _POPULAR_TITLES_SQL = f"""
   metrics AS (
     SELECT l.*, CASE WHEN len(titles) > 0 THEN round(len(list_distinct(titles)) / len(titles), 4) ELSE 0.0 END AS diversity,
            CASE WHEN len(titles) > 0 THEN round(coalesce(n.novel, 0) / len(titles), 4) ELSE 0.0 END AS novelty,
-           CASE WHEN len(scores) > 0 THEN ((2 * list_sum(list_transform(scores, lambda x: CAST(round(x * 10000) AS BIGINT)))
-                + len(scores)) // (2 * len(scores))) / 10000.0 ELSE 0.0 END AS avg_score,
-           list_sum(list_transform(scores, lambda x: CAST(round(x * 10000) AS BIGINT))) AS score_units,
+           CASE WHEN len(scores) > 0 THEN round(list_sum(scores) / len(scores), 4) ELSE 0.0 END AS avg_score, list_sum(scores) AS score_total,
            coalesce(round(list_max(scores), 4), 0.0) AS max_score, coalesce(round(list_min(scores), 4), 0.0) AS min_score,
            CAST(len(titles) AS INTEGER) AS list_size
     FROM reco_log l LEFT JOIN nov n ON l.event_id = n.event_id)
 """
 
 
-def _metrics(m):
-    log = _log(m)
-    pop = Q.popular_titles(m.ratings(), m.items(), POPULAR_MIN, 100)
-    return Q.list_metrics(log, pop)
+def _metrics(m, novelty: bool = True):
+    return Q.list_metrics(_log(m), Q.popular_titles(m.ratings(), m.items(), POPULAR_MIN, 100) if novelty else None)
 
 
 @register("top_titles_by_count", f"""
@@ -685,7 +688,7 @@ def top_titles_by_count(m):
 
 @register("diversity", _POPULAR_TITLES_SQL + 'SELECT "timestamp", user_id, diversity FROM metrics')
 def diversity(m):
-    return _metrics(m).select("timestamp", "user_id", "diversity")
+    return _metrics(m, novelty=False).select("timestamp", "user_id", "diversity")
 
 
 @register("novelty", _POPULAR_TITLES_SQL + 'SELECT "timestamp", user_id, novelty FROM metrics')
@@ -712,7 +715,7 @@ def list_metrics(m):
 
 @register("round_metrics", _POPULAR_TITLES_SQL + 'SELECT "timestamp", user_id, avg_score FROM metrics')
 def round_metrics(m):
-    return _metrics(m).select("timestamp", "user_id", "avg_score")
+    return _metrics(m, novelty=False).select("timestamp", "user_id", "avg_score")
 
 
 @register("coverage", """
@@ -733,7 +736,7 @@ def set_of_recommended(m):
 SELECT count(*) AS total_recommendations, {LOG_DAYS} AS period_days,
        coalesce(((2 * sum(CAST(round(diversity * 10000) AS BIGINT)) + count(*)) // (2 * count(*))) / 10000.0, 0.0) AS avg_diversity,
        coalesce(((2 * sum(CAST(round(novelty * 10000) AS BIGINT)) + count(*)) // (2 * count(*))) / 10000.0, 0.0) AS avg_novelty,
-       coalesce(((2 * sum(score_units) + sum(list_size)) // (2 * sum(list_size))) / 10000.0, 0.0) AS avg_score,
+       coalesce(round(sum(score_total) / sum(list_size), 4), 0.0) AS avg_score,
        coalesce((SELECT string_agg(method || ':' || CAST(n AS VARCHAR), ',' ORDER BY method || ':' || CAST(n AS VARCHAR)) FROM meth), '') AS methods_used
 FROM recent""")
 def reco_statistics(m):
@@ -741,7 +744,10 @@ def reco_statistics(m):
     as_of = log.select(F.max(C.parse_iso_ts("timestamp"))).scalar()
     recent = Q.recent_log(log, LOG_DAYS, as_of)
     pop = Q.popular_titles(m.ratings(), m.items(), POPULAR_MIN, 100)
-    return Q.reco_statistics(Q.list_metrics(recent, pop), LOG_DAYS)
+    out = Q.reco_statistics(Q.list_metrics(recent, pop), LOG_DAYS)
+    # the method counts are a map; the query shows them as sorted text
+    text = F.array_join(F.transform(F.array_sort(F.map_entries("methods_used")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+    return out.withColumn("methods_used", F.coalesce(text, F.lit("")))
 
 
 # ---------------------------------------------------------- top-k reports ----
@@ -838,48 +844,59 @@ def latest_rows(m):
     return A.latest_rows(m.ratings(), 10000)
 
 
-@register("random_rows")
+@register("random_rows", f"""
+SELECT r.user_id, r.item_id, r.rating, r."timestamp", i.title FROM (SELECT * FROM ratings ORDER BY {_hash_sql("user_id, item_id", 42)}, user_id, item_id LIMIT 10) r
+JOIN items i ON r.item_id = i.item_id""")
 def random_rows(m):
     return M.random_rows(m.ratings(), m.items(), 10, 42)
 
 
-@register("limit_rows")
+@register("limit_rows", 'SELECT user_id, item_id, rating, "timestamp" FROM ratings ORDER BY user_id, item_id LIMIT 10000')
 def limit_rows(m):
     return M.limit_rows(m.ratings(), 10000, ["user_id", "item_id"])
 
 
 # --------------------------------------------------------------- sampling ----
-@register("sample_n")
+@register("sample_n", f"""SELECT user_id, item_id, rating, "timestamp" FROM ratings ORDER BY {_hash_sql("user_id, item_id", 0)}, user_id, item_id LIMIT 5000""")
 def sample_n(m):
-    return M.sample_n(m.ratings(), 100000, ["user_id", "item_id"], 0)
+    """M1: 5,000 rows (the reference's 100,000 is more than sf0.01 holds, so nothing would be sampled)."""
+    return M.sample_n(m.ratings(), 5000, ["user_id", "item_id"], 0)
 
 
-@register("sample_n_seeded")
+@register("sample_n_seeded", f"""SELECT user_id, item_id, rating, "timestamp" FROM ratings ORDER BY {_hash_sql("user_id, item_id", 42)}, user_id, item_id LIMIT 4000""")
 def sample_n_seeded(m):
-    return M.sample_n(m.ratings(), 2_000_000, ["user_id", "item_id"], 42)
+    """M2: 4,000 rows with seed 42 (the reference's 2,000,000 would keep everything here)."""
+    return M.sample_n(m.ratings(), 4000, ["user_id", "item_id"], 42)
 
 
-@register("random_ids")
+@register("random_ids", f"SELECT user_id FROM users ORDER BY {_hash_sql('user_id', 0)}, user_id LIMIT 500")
 def random_ids(m):
     return M.random_ids(m.users(), "user_id", 500, 0)
 
 
-@register("kfold")
+@register("kfold", f"SELECT CAST({_hash_sql("user_id, item_id", 0)} % 3 AS INTEGER) AS fold, user_id, item_id, rating FROM ratings")
 def kfold(m):
-    return M.kfold(m.ratings(), ["user_id", "item_id"], 3, 0).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+    return M.kfold(m.ratings(), ["user_id", "item_id"], 3, 0).select("fold", "user_id", "item_id", "rating")
 
 
-@register("cap_sample")
+@register("cap_sample", f"""SELECT user_id, item_id, rating, "timestamp" FROM ratings ORDER BY {_hash_sql("user_id, item_id", 7)}, user_id, item_id LIMIT 10000""")
 def cap_sample(m):
     return M.sample_n(m.ratings(), 10000, ["user_id", "item_id"], 7)
 
 
-@register("generate_ratings")
+@register("generate_ratings", f"""
+, gu AS (SELECT user_id FROM users ORDER BY {_hash_sql('user_id', 0)}, user_id LIMIT 500),
+  gi AS (SELECT item_id FROM items ORDER BY {_hash_sql('item_id', 1)}, item_id LIMIT 500),
+  fresh AS (SELECT gu.user_id, gi.item_id FROM gu, gi WHERE NOT EXISTS (
+              SELECT 1 FROM ratings r WHERE r.user_id = gu.user_id AND r.item_id = gi.item_id))
+SELECT user_id, item_id, ({_hash_sql('user_id, item_id', 0)} % 10 + 1) * 0.5::DOUBLE AS rating,
+       (SELECT max("timestamp") FROM ratings) + 86400 AS "timestamp"
+FROM fresh ORDER BY {_hash_sql('user_id, item_id', 0)}, user_id, item_id LIMIT 10000""")
 def generate_ratings(m):
     return M.generate_ratings(m.users(), m.items(), m.ratings(), 10000, 0, 500, _max_ts(m) + 86400)
 
 
-@register("random_rating")
+@register("random_rating", f"SELECT user_id, item_id, ({_hash_sql("user_id, item_id", 3)} % 10 + 1) * 0.5::DOUBLE AS rating FROM ratings")
 def random_rating(m):
     return m.ratings().select("user_id", "item_id", C.random_rating(3).alias("rating"))
 
@@ -981,6 +998,13 @@ def load_if_empty(m):
     return spark.read.parquet(target).agg(F.count(F.lit(1)).alias("num_ratings")).withColumn("loads", F.lit(loads))
 
 
+@register("load_baseline_stats", _STATS_SQL.format(extra=", '2000-01-01T00:00:00.000000' AS \"timestamp\"", where=""))
+def load_baseline_stats(m):
+    path = scratch_path(m.spark, "baseline-stats")
+    W.save_baseline_stats(A.data_statistics(m.ratings()), path, "2000-01-01T00:00:00.000000")
+    return W.load_baseline_stats(m.spark, path)
+
+
 @register("save_baseline_stats", _STATS_SQL.format(extra=", '2000-01-01T00:00:00.000000' AS \"timestamp\"", where=""))
 def save_baseline_stats(m):
     path = scratch_path(m.spark, "baseline-stats-save")
@@ -1019,7 +1043,12 @@ def candidate_pairs(m):
             .select("user_id", (n_items - F.coalesce("_rated", F.lit(0))).alias("candidates")))
 
 
-@register("cross_user_item")
+@register("cross_user_item", f"""
+, gu AS (SELECT user_id FROM users ORDER BY {_hash_sql('user_id', 0)}, user_id LIMIT 500),
+  gi AS (SELECT item_id FROM items ORDER BY {_hash_sql('item_id', 1)}, item_id LIMIT 500),
+  n AS (SELECT count(*) AS rated FROM ratings r WHERE r.user_id IN (SELECT user_id FROM gu) AND r.item_id IN (SELECT item_id FROM gi))
+SELECT (SELECT count(*) FROM gu) AS sampled_users, (SELECT count(*) FROM gi) AS sampled_items, rated AS rated_in_grid,
+       (SELECT count(*) FROM gu) * (SELECT count(*) FROM gi) - rated AS unrated_pairs FROM n""")
 def cross_user_item(m):
     """J6 + J7 as counts: of the 500 sampled users x 500 sampled items, how many
     pairs are unrated (grid size minus the rated pairs inside the grid, found by

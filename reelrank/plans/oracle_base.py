@@ -60,7 +60,7 @@ genome_scores AS (
 reco_pos AS (
   SELECT event_id, value, unnest(range(0, event_id % 5 + 1)) AS pos FROM events),
 reco_items AS (
-  SELECT r.event_id, r.pos, i.title AS movie, round(r.value / 100 - r.pos / 10, 4) AS score
+  SELECT r.event_id, r.pos, i.title AS movie, r.value / 100 - r.pos / 10 + r.event_id % 9973 / 30000000 AS score
   FROM reco_pos r JOIN items i ON i.item_id = (r.event_id + (r.pos % 3) * 11) % (SELECT n FROM n_part)),
 reco_lists AS (
   SELECT event_id, list(movie ORDER BY pos) AS titles, list(score ORDER BY pos) AS scores, count(*) AS k

@@ -66,11 +66,6 @@ def rate_5m(m):
     return run_append(S.request_rate(_event_stream(m)), "s3", m.spark)
 
 
-@register("request_rate", _RATE_SQL)
-def request_rate(m):
-    return rate_5m(m)
-
-
 def _quantile_sql(q: float, name: str) -> str:
     i = f"i_{name}"
     prev_c = f"(CASE WHEN {i} = 1 THEN 0 ELSE cum[{i} - 1] END)"
@@ -105,11 +100,6 @@ def quantile_5m(m):
     return run_append(S.latency_quantiles(_event_stream(m)), "s4", m.spark)
 
 
-@register("latency_quantiles", _QUANTILE_SQL)
-def latency_quantiles(m):
-    return quantile_5m(m)
-
-
 @register("gauges", """
 SELECT event_type AS metric, arg_max(value, ts) AS last_value, round(sum(value), 6) AS total, count(*) AS updates
 FROM events GROUP BY 1""")
@@ -121,9 +111,8 @@ def gauges(m):
 SELECT strftime(d, '%Y-%m-%d') AS day, method, count(*) AS lists,
        ((2 * sum(CAST(round(diversity * 10000) AS BIGINT)) + count(*)) // (2 * count(*))) / 10000.0 AS avg_diversity,
        ((2 * sum(CAST(round(novelty * 10000) AS BIGINT)) + count(*)) // (2 * count(*))) / 10000.0 AS avg_novelty,
-       CASE WHEN sum(list_size) > 0 THEN ((2 * sum(score_units) + sum(list_size)) // (2 * sum(list_size))) / 10000.0
-            ELSE 0.0 END AS avg_score
-FROM (SELECT CAST(ts AS DATE) AS d, coalesce(method, 'unknown') AS method, diversity, novelty, list_size, score_units
+       CASE WHEN sum(list_size) > 0 THEN round(sum(score_total) / sum(list_size), 4) ELSE 0.0 END AS avg_score
+FROM (SELECT CAST(ts AS DATE) AS d, coalesce(method, 'unknown') AS method, diversity, novelty, list_size, score_total
       FROM metrics) x
 GROUP BY d, method
 HAVING CAST(d AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) FROM reco_log) - INTERVAL 1 HOUR""")
@@ -134,7 +123,8 @@ def reco_log_stream(m):
     raw = spark.readStream.schema(RECO_LOG_WITH_CORRUPT).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
     log = raw.filter(F.col("_corrupt_record").isNull() & F.col("recommendations").isNotNull()
                      & F.col("timestamp").isNotNull())
-    pop = Q.popular_array(Q.popular_titles(m.ratings(), m.items(), POPULAR_MIN, 100))
+    # a streaming plan takes the top-100 report as a literal (bounded by its limit)
+    pop = F.array(*[F.lit(r.title) for r in Q.popular_titles(m.ratings(), m.items(), POPULAR_MIN, 100).collect()]).cast("array<string>")
     return run_append(S.reco_log_daily(log, pop), "s6", spark)
 
 

@@ -47,33 +47,19 @@ def load_if_empty(target_path: str, loader, spark: SparkSession) -> bool:
     return empty
 
 
-MAX_USER_FOLDERS = 1000
+def write_topn_csv(lists: DataFrame, path: str) -> None:
+    """write_topn_csv: top-N lists as one CSV dataset (user_id, rank, movie, score).
 
-
-def write_topn_csv(lists: DataFrame, path: str, max_user_folders: int = MAX_USER_FOLDERS) -> None:
-    """write_topn_csv: top-N lists as CSV (movie, score in rank order).
-
-    Up to `max_user_folders` users, one folder per user (`user_id=<id>/`,
-    the reference's one-file-per-user layout). Beyond that, a folder per
-    user would mean millions of tiny files, so the lists are written as one
-    CSV dataset with a user_id column, clustered by user (each user's rows
-    in one file, in rank order).
+    One layout whatever the number of users: a file or folder per user would mean millions of tiny files. Each user's
+    rows stand in one file, in rank order.
     """
-    rows = lists.select("user_id", "rank", "movie", "score").persist()
-    n_users = rows.select("user_id").distinct().count()
-    clustered = rows.repartition("user_id").sortWithinPartitions("user_id", "rank")
-    if n_users <= max_user_folders:
-        (clustered.select("movie", "score", "user_id")
-         .write.mode("overwrite").partitionBy("user_id").option("header", True).csv(path))
-    else:
-        # same column order as the per-user layout read back (movie, score, user_id)
-        clustered.select("movie", "score", "user_id").write.mode("overwrite").option("header", True).csv(path)
-    rows.unpersist()
+    (lists.select("user_id", "rank", "movie", "score").repartition("user_id").sortWithinPartitions("user_id", "rank")
+     .write.mode("overwrite").option("header", True).csv(path))
 
 
 def read_topn_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Both layouts of write_topn_csv read back as (movie, score, user_id)."""
-    return spark.read.option("header", True).schema("movie string, score double, user_id bigint").csv(path)
+    """The lists of write_topn_csv."""
+    return spark.read.option("header", True).schema("user_id bigint, rank int, movie string, score double").csv(path)
 
 
 def write_predict_metrics(top_scores: DataFrame, path: str) -> None:
@@ -106,13 +92,10 @@ def save_baseline_rows(rows: DataFrame, path: str) -> None:
 
 
 def load_baseline_rows(spark: SparkSession, path: str):
-    """load_baseline_rows: stored rows, or None when absent/unreadable."""
+    """load_baseline_rows: stored rows, or None when the folder is absent (other read errors are raised)."""
     if not path_exists(spark, path):
         return None
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - unreadable baseline counts as absent
-        return None
+    return spark.read.parquet(path)
 
 
 def write_drift_report(rows: DataFrame, path: str) -> None:

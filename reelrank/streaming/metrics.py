@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelrank.functions.columns import default_method, mean_of_units, parse_iso_ts, units
+from reelrank.functions.columns import default_method, mean_of_units, parse_iso_ts, rounded_mean, units
 from reelrank.session import path_exists
 
 # Default latency histogram bounds of the metrics client
@@ -110,15 +110,15 @@ def reco_log_daily(log: DataFrame, popular_titles: F.Column, watermark: str = "1
                    F.when(n > 0, F.round(F.size(F.array_distinct(titles)) / n, 4)).otherwise(0.0).alias("diversity"),
                    F.when(n > 0, F.round(F.size(F.filter(titles, lambda t: ~F.array_contains(popular_titles, t))) / n,
                                          4)).otherwise(0.0).alias("novelty"),
-                   F.aggregate(scores, F.lit(0).cast("long"), lambda a, s: a + units(s)).alias("score_units"),
+                   F.aggregate(scores, F.lit(0.0), lambda a, s: a + F.coalesce(s, F.lit(0.0))).alias("score_total"),
                    n.alias("k")))
     agg = (per.withWatermark("ts", watermark).groupBy(F.window("ts", "1 day"), "method")
            .agg(F.count(F.lit(1)).alias("lists"), F.sum(units("diversity")).alias("d"),
-                F.sum(units("novelty")).alias("v"), F.sum("score_units").alias("s"), F.sum("k").alias("k")))
+                F.sum(units("novelty")).alias("v"), F.sum("score_total").alias("s"), F.sum("k").alias("k")))
     return agg.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "method", "lists",
                       mean_of_units("d", "lists").alias("avg_diversity"),
                       mean_of_units("v", "lists").alias("avg_novelty"),
-                      mean_of_units("s", "k").alias("avg_score"))
+                      rounded_mean("s", "k").alias("avg_score"))
 
 
 def ingest_dedup(batches: DataFrame, keys: list[str], watermark: str = "30 days",

@@ -133,3 +133,20 @@ def test_grid_size_bounds():
     c, b = R.grid_size(1_000, 20_000, 64)
     assert c == 2 and b == 1
     assert R.grid_size(1, 1, 8) == (1, 1)
+
+
+@pytest.mark.parametrize("kind", ["knn", "normal", "mf"])
+def test_any_winner_is_saved_and_predicts_the_same(spark, tmp_path, kind):
+    from reelrank.operators import evaluate as E
+    from reelrank.operators import knn as K
+    from reelrank.operators import recommend as R
+    rows = [(u, i, float((u * i) % 9 + 1) / 2) for u in range(12) for i in range(10) if (u + i) % 3]
+    train = spark.createDataFrame(rows, "user_id long, item_id long, rating double")
+    E.save_winner(kind, train, str(tmp_path / "w"), 3)
+    name, model = E.load_winner(spark, str(tmp_path / "w"))
+    assert name == kind
+    pairs = train.select("user_id", "item_id", "rating")
+    got = {(r.user_id, r.item_id): r.est for r in E.predict_with(kind, model, pairs, 3).collect()}
+    fresh = {"knn": K.fit_knn, "normal": R.fit_normal, "mf": lambda t: R.fit_mf(t, seed=3)}[kind](train)
+    want = {(r.user_id, r.item_id): r.est for r in E.predict_with(kind, fresh, pairs, 3).collect()}
+    assert len(got) == len(rows) and all(abs(got[k] - want[k]) < 1e-4 for k in want)

@@ -11,7 +11,7 @@ import __spark_entry__ as E
 SF = "/root/testdata/sf0.001"
 TABLES = "customer part orders lineitem events".split()
 SAMPLE = ["scan_ratings_table", "filter_active_popular", "popularity_stats", "data_statistics", "top_genre_popular",
-          "cold_start", "reco_statistics", "ks_drift", "detect_drift", "filter_sweep", "append_table", "request_rate"]
+          "cold_start", "reco_statistics", "ks_drift", "detect_drift", "filter_sweep", "append_table", "rate_5m"]
 
 
 def test_oracles_have_queries():

@@ -19,14 +19,9 @@ def test_sample_n_exact_and_reproducible(spark):
     b = M.sample_n(df.repartition(13), 1234, ["user_id", "item_id"], 5)
     assert a.count() == 1234
     assert sorted(r.user_id for r in a.collect()) == sorted(r.user_id for r in b.collect())
-    # small input (ordered take) and large input (hash-range pre-filter) give the same rows
-    monkey = M.PREFILTER_RATIO
-    try:
-        M.PREFILTER_RATIO = 10 ** 9
-        direct = sorted(r.user_id for r in M.sample_n(df, 1234, ["user_id", "item_id"], 5).collect())
-    finally:
-        M.PREFILTER_RATIO = monkey
-    assert direct == sorted(r.user_id for r in a.collect())
+    # the hash-range pre-filter keeps exactly the n smallest hashes
+    direct = df.orderBy(M.hash_order(["user_id", "item_id"], 5)).limit(1234)
+    assert sorted(r.user_id for r in direct.collect()) == sorted(r.user_id for r in a.collect())
     assert M.sample_n(df, 15000, ["user_id", "item_id"], 5).count() == 15000
     assert M.sample_n(df, 10 ** 6, ["user_id"], 1).count() == 20000
 
@@ -42,9 +37,31 @@ def test_generate_ratings_unrated_only(spark):
     assert vals <= {x / 2 for x in range(1, 11)}
 
 
+def test_generate_ratings_fills_the_grid(spark):
+    """More ratings asked for than the grid has unrated pairs: all of them come."""
+    from reelrank.sources.driver import model
+    m = model(spark, SF)
+    users, items = M.random_ids(m.users(), "user_id", 40, 1), M.random_ids(m.items(), "item_id", 40, 2)
+    rated = m.ratings().join(users, "user_id", "left_semi").join(items, "item_id", "left_semi").count()
+    gen = M.generate_ratings(m.users(), m.items(), m.ratings(), 10_000, 1, 40, 123)
+    assert gen.count() == users.count() * items.count() - rated
+
+
 import pytest
 
 
+@pytest.mark.parametrize("descending", [True, False])
+@pytest.mark.parametrize("k", [3, 10, 600, 5000])
+def test_top_k_keeps_null_keys_on_both_paths(spark, monkeypatch, descending, k):
+    from reelrank.operators import topk
+    df = spark.range(4000).select(F.when(F.col("id") % 7 != 0, F.col("id") % 501).alias("key"), "id").repartition(5)
+    order = [F.col("key").desc() if descending else F.col("key").asc(), F.col("id").asc()]
+    want = [tuple(r) for r in df.orderBy(*order).limit(k).collect()]
+    for bound in (topk.MAX_MERGE_ROWS, 1):
+        monkeypatch.setattr(topk, "MAX_MERGE_ROWS", bound)
+        assert [tuple(r) for r in topk.top_k(df, k, "key", descending, ("id",)).collect()] == want
+
+
 @pytest.mark.parametrize("plan", ["request_counter", "latency_histogram", "gauges"])
 def test_stream_equals_batch(spark, tmp_path, plan):
     ev = spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
