@@ -97,8 +97,10 @@ class Plan:
 
 
 def _blobs(chunk: np.ndarray, bucket: np.ndarray, columns: list[np.ndarray]):
-    """Distinct keys (lists of columns) per (chunk, bucket), packed: rows (bucket, chunk, keys, twice)."""
-    order = np.lexsort((*columns, bucket, chunk))
+    """Distinct keys (lists of columns) per (chunk, bucket), packed by bucket: rows (bucket, owners, keys, twice).
+
+    owners holds the chunk of every key. A bucket gets one row a call, however many chunks the keys come from."""
+    order = np.lexsort((*columns, chunk, bucket))
     chunk, bucket, columns = chunk[order], bucket[order], [c[order] for c in columns]
     if not len(order):
         return []
@@ -106,14 +108,13 @@ def _blobs(chunk: np.ndarray, bucket: np.ndarray, columns: list[np.ndarray]):
     new[1:] = (chunk[1:] != chunk[:-1]) | (bucket[1:] != bucket[:-1]) | np.any([c[1:] != c[:-1] for c in columns], axis=0)
     first = np.flatnonzero(new)
     twice = np.diff(np.append(first, len(order))) > 1
-    chunk, bucket, columns = chunk[first], bucket[first], [c[first] for c in columns]
-    cut = np.flatnonzero((chunk[1:] != chunk[:-1]) | (bucket[1:] != bucket[:-1])) + 1
-    edges = np.concatenate([[0], cut, [len(first)]])
-    return [(int(bucket[i]), int(chunk[i]), b"".join(c[i:j].tobytes() for c in columns), np.packbits(twice[i:j]).tobytes())
+    chunk, bucket, columns = chunk[first].astype(np.uint32), bucket[first], [c[first] for c in columns]
+    edges = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(first)]])
+    return [(int(bucket[i]), chunk[i:j].tobytes(), b"".join(c[i:j].tobytes() for c in columns), np.packbits(twice[i:j]).tobytes())
             for i, j in zip(edges[:-1], edges[1:])]
 
 
-_BLOB = "bucket long, chunk long, keys binary, twice binary"
+_BLOB = "bucket long, owners binary, keys binary, twice binary"
 
 
 def _unpack(blob, kinds: list) -> list[np.ndarray]:
@@ -134,9 +135,9 @@ def _shared(kinds: list):
         size = [len(p[0]) for p in parts]
         cols = [np.concatenate([p[k] for p in parts]) for k in range(len(kinds))]
         twice = np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=n).astype(bool) for x, n in zip(group["twice"], size)])
-        part = np.repeat(np.arange(len(parts), dtype=np.int32), size)
+        owner = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in group["owners"]])
         order = np.lexsort(cols)
-        cols, twice, part = [c[order] for c in cols], twice[order], part[order]
+        cols, twice, owner = [c[order] for c in cols], twice[order], owner[order]
         same = np.ones(max(0, len(order) - 1), bool)
         for c in cols:
             same &= c[1:] == c[:-1]
@@ -147,11 +148,9 @@ def _shared(kinds: list):
         run_of = np.concatenate([[0], np.cumsum(~same)])
         hit |= np.bincount(run_of, twice, run_of[-1] + 1 if len(run_of) else 0)[run_of] > 0
         at = np.flatnonzero(hit)
-        at = at[np.argsort(part[at], kind="stable")]
-        chunk = group["chunk"].to_pylist()
-        rows = []
-        for i, j in zip(*(lambda e: (e[:-1], e[1:]))(np.concatenate([[0], np.flatnonzero(np.diff(part[at])) + 1, [len(at)]]))) if len(at) else []:
-            rows.append((chunk[part[at[i]]], b"".join(c[at[i:j]].tobytes() for c in cols)))
+        at = at[np.argsort(owner[at], kind="stable")]
+        cut = np.flatnonzero(np.diff(owner[at])) + 1
+        rows = [(int(owner[x[0]]), b"".join(c[x].tobytes() for c in cols)) for x in np.split(at, cut) if len(x)]
         return pa.table({"bucket": pa.array([key[0].as_py()] * len(rows), pa.int64()), "chunk": pa.array([r[0] for r in rows], pa.int64()),
                          "keys": pa.array([r[1] for r in rows], pa.binary())})
 
@@ -255,6 +254,7 @@ class _Rows:
         self.rows.append((doc_id, body, known.astype(np.int32).tobytes(), left.tobytes(), None, None, None, None))
 
     def table(self, chunk: int, plan: Plan, blobs: list | None = None) -> pa.Table:
+        """blobs: rows (bucket, owners, keys, twice)."""
         blobs = blobs or []
         if self.keys:
             a, b = (np.concatenate(x) for x in zip(*self.keys))
@@ -266,6 +266,7 @@ class _Rows:
         names = ["doc_id", "body", "known", "left", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
         out = {"chunk": pa.array([chunk] * (n + m), pa.int64())} | {name: pa.array([*c, *none], t) for name, c, t in zip(names, col, types)}
         out["bucket"] = pa.array([None] * n + [x[0] for x in blobs], pa.int64())
+        out["owners"] = pa.array([None] * n + [x[1] for x in blobs], pa.binary())
         out["keys"] = pa.array([None] * n + [x[2] for x in blobs], pa.binary())
         out["twice"] = pa.array([None] * n + [x[3] for x in blobs], pa.binary())
         return pa.table(out)
@@ -286,16 +287,16 @@ def repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     def ranks(batches):
         for b in batches:
             buf, off = flat(b.column(1))
-            chunk = b.column(0).to_numpy()
+            chunk, made = b.column(0).to_numpy(), []
             for i, j in row_blocks(off):
                 at, h, k, g = plan.places(buf[off[i]: off[j]], off[i: j + 1] - off[i])
                 where = np.concatenate([at, k])
-                h = np.concatenate([h, g])
-                own = chunk[i:j][np.searchsorted(off[i: j + 1] - off[i], where, side="right") - 1]
-                rows = _blobs(own, plan.bucket(h), [(h & np.uint64(0xFFFFFFFF)).astype(np.uint32)])
-                cols = list(zip(*rows)) if rows else [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()),
-                                                  pa.array(cols[3], pa.binary())], names=["bucket", "chunk", "keys", "twice"])
+                made.append((chunk[i:j][np.searchsorted(off[i: j + 1] - off[i], where, side="right") - 1], np.concatenate([h, g])))
+            own, h = (np.concatenate(x) for x in zip(*made)) if made else (chunk, np.zeros(0, np.uint64))
+            rows = _blobs(own, plan.bucket(h), [(h & np.uint64(0xFFFFFFFF)).astype(np.uint32)])
+            cols = list(zip(*rows)) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])],
+                                             names=["bucket", "owners", "keys", "twice"])
 
     long_enough = dealt.where(F.octet_length("body") >= length).select("chunk", "body")
     shared = store(_compare(long_enough.mapInArrow(ranks, _BLOB), _RANK), "ranks")
@@ -330,7 +331,7 @@ def repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         return out.table(chunk, plan)
 
     schema = (f"chunk long, doc_id {kind}, body binary, known binary, left binary, n_bytes long, n_removed long, n_spans long, "
-              "kept_sha256 string, bucket long, keys binary, twice binary")
+              "kept_sha256 string, bucket long, owners binary, keys binary, twice binary")
     result = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def ties(key, left, right):
@@ -368,7 +369,7 @@ def repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             lo, hi, rank = np.minimum.reduceat(lo, first_at), np.maximum.reduceat(hi, first_at), rank[first_at]
             own = (rank >> np.uint64(32)).astype(np.int64)
             edges = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1, [len(own)]])
-            blobs = [(int(own[i]), chunk, (rank[i:j] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + lo[i:j].astype(np.uint16).tobytes() + hi[i:j].astype(np.uint16).tobytes(), None)
+            blobs = [(int(own[i]), None, (rank[i:j] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + lo[i:j].astype(np.uint16).tobytes() + hi[i:j].astype(np.uint16).tobytes(), None)
                      for i, j in zip(edges[:-1], edges[1:])]
         return out.table(chunk, plan, blobs)
 
@@ -428,7 +429,7 @@ def repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         return rows.where("body is not null").select(bodies).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(fn, schema)
 
     def blobs(rows: DataFrame) -> DataFrame:
-        return rows.where("keys is not null").select("bucket", "chunk", "keys", "twice")
+        return rows.where("keys is not null").select("bucket", "owners", "keys", "twice")
 
     candidates = store(dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(first, schema), "candidates")
     tied = store(with_answers(candidates, _compare(blobs(candidates), _WHOLE), ties), "ties")
