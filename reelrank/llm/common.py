@@ -46,6 +46,12 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results are stored: its cleaner does so once the driver collects
+    the finished plans, which left alone can be half an hour after (spark.cleaner.periodicGC.interval)."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def crc_mod(col: str | Column, m: int) -> Column:
     """crc32 of the value's text, modulo m; a null id counts as the empty text."""
     c = F.col(col) if isinstance(col, str) else col

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, bounded_batches, flat, mix64, parts_for, prefix_hash, row_blocks, span_hash, store
+from .common import BYTE_VALUE, bounded_batches, flat, mix64, parts_for, prefix_hash, release_shuffles, row_blocks, span_hash, store
 
 LENGTH = 400
 ANCHOR = 24
@@ -432,9 +432,12 @@ def repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         return rows.where("keys is not null").select("bucket", "owners", "keys", "twice")
 
     candidates = store(dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(first, schema), "candidates")
+    release_shuffles(docs.sparkSession)  # the texts were dealt into chunks for this step; what is open is stored
     tied = store(with_answers(candidates, _compare(blobs(candidates), _WHOLE), ties), "ties")
+    release_shuffles(docs.sparkSession)
     asked = blobs(tied).groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(passed_on, "bucket long, chunk long, keys binary")
     rim = store(blobs(with_answers(candidates, asked, rims)), "rims")
+    release_shuffles(docs.sparkSession)
     last = with_answers(tied, _compare(rim, _WHOLE), finish)
     return candidates.where("kept_sha256 is not null").select(result).union(
         tied.where("kept_sha256 is not null").select(result)).union(last.select(result))
