@@ -36,7 +36,7 @@ LENGTH = 400
 ANCHOR = 24
 ANCHOR_EVERY = 32
 CHUNK_BYTES = 8 << 20
-BUCKET_BYTES = 64 << 20  # text behind one bucket of ranks
+BUCKET_BYTES = 32 << 20  # text behind one bucket of ranks
 _SECOND = mix64(BYTE_VALUE)
 
 
@@ -141,12 +141,11 @@ def _shared(kinds: list):
         same = np.ones(max(0, len(order) - 1), bool)
         for c in cols:
             same &= c[1:] == c[:-1]
-        hit = twice.copy()
-        hit[1:] |= same
-        hit[:-1] |= same
-        # a key sent twice by one batch of a chunk marks all of that key's rows
-        run_of = np.concatenate([[0], np.cumsum(~same)])
-        hit |= np.bincount(run_of, twice, run_of[-1] + 1 if len(run_of) else 0)[run_of] > 0
+        # a key that stands in several rows, or that one row says is there twice, is shared: mark all of its rows
+        first_at = np.flatnonzero(np.concatenate([np.ones(min(1, len(order)), bool), ~same]))
+        count = np.diff(np.append(first_at, len(order)))
+        hit = np.repeat((count > 1) | (np.logical_or.reduceat(twice, first_at) if len(first_at) else twice), count)
+        del same, order
         at = np.flatnonzero(hit)
         at = at[np.argsort(owner[at], kind="stable")]
         cut = np.flatnonzero(np.diff(owner[at])) + 1
