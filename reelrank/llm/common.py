@@ -21,6 +21,7 @@ from reelrank.session import scratch_path, ship_package
 BATCH_BYTES = 16 * 1024 * 1024
 # Bytes handled by one vectorised numpy step, whatever the document lengths.
 STEP_BYTES = 1 << 20
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -36,22 +37,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write to a fresh table in the shared checkpoint folder and read it back: a lineage cut that survives lost
-    executors. The table is removed when the application ends."""
+    executors. The write's shuffle files go when it is done, the table when the application ends."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps whose results are stored: its cleaner does so once the driver collects
-    the finished plans, which left alone can be half an hour after (spark.cleaner.periodicGC.interval)."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def crc_mod(col: str | Column, m: int) -> Column:
     """crc32 of the value's text, modulo m; a null id counts as the empty text."""
     c = F.col(col) if isinstance(col, str) else col
