@@ -1,11 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: word-pair seeds with a counting filter, then Smith-Waterman alignment.
 
-Test items are cut into passages of at most `PASSAGE_WORDS` words (half overlapping). A passage's seeds are, from each of
-its words on, the shortest n-gram (`SEED_WORDS` long) that is rare: its expected number of chance occurrences in the
-corpus, from corpus-wide counts of its words, is at most `CHANCE`. Documents that contain a seed are aligned with the
-passage around it (match +2, mismatch -1, gap -1, on words); the score is the best local alignment over that of an exact
-copy, so copies with edited, inserted or missing words still score high. An item's score in a document is its best
-passage's; pairs from `min_score` on are returned.
+Test items are cut into passages of at most `PASSAGE_WORDS` words (half overlapping). Documents are aligned with a passage
+(match +2, mismatch -1, gap -1, on words); the score is the best local alignment over that of an exact copy, so copies with
+edited, inserted or missing words still score high. An item's score in a document is its best passage's; pairs from
+`min_score` on are returned.
+
+What is aligned is chosen without loss. A passage's seeds are its pairs of neighbouring words; a document has a pair where
+the words stand side by side or with one word between them. An alignment that reaches `min_score` has at least
+`needed_pairs` of them, within `span_words` words of the document, so only such spans are aligned. As many of the pairs
+may be missing from the search as are taken off the number needed: half of that number, the most frequent ones by
+corpus-wide word counts. The counts thus order the seeds only; how often an item leaks and how large the corpus is
+changes the time, not the result. (Where `min_score` is so low that no pair is needed, one still is: below 0.5 for
+passages of five words.)
 
 Words are runs of ASCII letters, digits and non-ASCII bytes of the lower-cased text: case and punctuation edits cost
 nothing.
@@ -24,11 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PUNCTUATED, CodeTable, bounded_batches, flat, row_blocks, shingle_hashes, word_hashes
+from .common import PUNCTUATED, CodeTable, bounded_batches, flat, mix64, row_blocks, word_hashes
 
 PASSAGE_WORDS = 64
-SEED_WORDS = (3, 8)
-CHANCE = 0.01
 MIN_WORDS = 5
 MIN_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, 1
@@ -54,25 +58,48 @@ class Passages:
                 self.item.append(n), self.words.append(h[at: at + words])
         self.vocabulary = np.unique(np.concatenate(self.words)) if self.words else np.zeros(0, np.uint64)
 
-    def choose_seeds(self, counts: np.ndarray, total: int, seed_words=SEED_WORDS, chance: float = CHANCE) -> None:
+    def choose_seeds(self, counts: np.ndarray, total: int, min_score: float = MIN_SCORE) -> None:
+        """The rarer pairs of every passage, and how many of them an alignment has within how many words."""
         log_p = np.log((counts + 1) / (total + len(counts) + 1))
-        found: dict[int, list] = {}
+        self.need, self.span, parts = np.ones(len(self.words), np.int64), np.zeros(len(self.words), np.int64), []
         for n, h in enumerate(self.words):
+            need = needed_pairs(len(h), min_score)
+            left_out = need // 2
             p = log_p[np.searchsorted(self.vocabulary, h)]
-            c = np.concatenate([[0], np.cumsum(p)])
-            open_ = np.ones(len(h), bool)
-            for size in range(seed_words[0], min(seed_words[1], len(h)) + 1):
-                at = np.arange(len(h) - size + 1)
-                rare = open_[at] & (c[at + size] - c[at] + np.log(total + 1) <= np.log(chance))
-                open_[at[rare]] = False
-                if rare.any():
-                    found.setdefault(size, []).append((shingle_hashes(h, size)[rare], np.full(rare.sum(), n), at[rare]))
-        self.seeds = {}
-        for size, parts in found.items():
-            h, n, at = (np.concatenate(x) for x in zip(*parts))
-            order = np.argsort(h, kind="stable")
-            keys, first, size_of = np.unique(h[order], return_index=True, return_counts=True)
-            self.seeds[size] = (CodeTable(keys), first, size_of, n[order], at[order])
+            at = np.argsort(p[1:] + p[:-1], kind="stable")[: len(h) - 1 - left_out]
+            self.need[n], self.span[n] = need - left_out, span_words(len(h), min_score)
+            parts.append((np.unique(pair_hashes(h, 1)[at]), n))
+        keys = np.concatenate([x for x, _ in parts]) if parts else np.zeros(0, np.uint64)
+        of = np.repeat([n for _, n in parts], [len(x) for x, _ in parts]).astype(np.int64)
+        order = np.argsort(keys, kind="stable")
+        keys, first, count = np.unique(keys[order], return_index=True, return_counts=True)
+        self.seeds = CodeTable(keys), first, count, of[order]
+
+
+def needed_pairs(words: int, min_score: float) -> int:
+    """Fewest passage pairs (neighbours in the passage; in the document too, or one word apart) of an alignment that scores
+    at least min_score.
+
+    Of the steps between matched words, s lose passage words (one error and one match at least), t insert two or more
+    words; u words are missing at the ends. A score of 2 * words - lost has 3s + 2t + 2u <= lost and words - 1 - 2s - t - u
+    steps that are pairs.
+    """
+    lost = int(MATCH * words * (1 - min_score) + 1e-9)
+    return max(1, words - 1 - 2 * (lost // 3) - (lost % 3 == 2))
+
+
+def span_words(words: int, min_score: float) -> int:
+    """Most document words of such an alignment: all words matched, and every error an insertion."""
+    return words + int(MATCH * words * (1 - min_score) + 1e-9)
+
+
+_PAIR_ODD = np.array([0xD1342543DE82EF95, 0xBF58476D1CE4E5B9], np.uint64)
+
+
+def pair_hashes(h: np.ndarray, apart: int) -> np.ndarray:
+    """Hash of each word with the one `apart` places after it."""
+    n = max(0, len(h) - apart)
+    return mix64(h[:n] * _PAIR_ODD[0] + h[apart: apart + n] * _PAIR_ODD[1])
 
 
 def align(passage: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
@@ -96,11 +123,15 @@ def align(passage: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
     return int(best // one), int(best % one), end
 
 
-def _windows(at: np.ndarray, size: int, n: int):
-    """Windows of the document around sorted seed positions, wide enough for the whole passage on both sides."""
-    cut = np.flatnonzero(np.diff(at) > size) + 1
-    for part in np.split(at, cut):
-        yield max(0, int(part[0]) - size - size // 2), min(n, int(part[-1]) + size + size // 2 + 1)
+def _windows(at: np.ndarray, need: int, span: int, n: int):
+    """Windows of a document of n words, from sorted distinct seed positions: every span with `need` of them, merged."""
+    first, last = at[: len(at) - need + 1], at[need - 1:]
+    near = last - first < span
+    lo, hi = np.maximum(0, last[near] + 1 - span), np.minimum(n, first[near] + span)
+    if len(lo):
+        cut = np.flatnonzero(lo[1:] > hi[:-1]) + 1
+        for i, j in zip([0, *cut], [*cut, len(lo)]):
+            yield int(lo[i]), int(hi[j - 1])
 
 
 def word_counts(docs: DataFrame, vocabulary: np.ndarray, text: str = "text") -> tuple[np.ndarray, int]:
@@ -130,17 +161,30 @@ def _scan(docs: DataFrame, items: list[tuple], passages: Passages, text: str, do
     bc = docs.sparkSession.sparkContext.broadcast((passages, [x[0] for x in items]))
 
     def hits(h: np.ndarray, doc: np.ndarray, p: Passages):
-        """(document, passage, word position) of every seed found."""
+        """(document, passage, word position) of the pairs found, each once, sorted; only where enough are near."""
+        index, first, count, of = p.seeds
         out = []
-        for size, (index, first, count, of, _) in p.seeds.items():
-            if len(h) < size:
-                continue
-            row = index.rows(shingle_hashes(h, size))
-            at = np.flatnonzero((row >= 0) & (doc[: len(row)] == doc[size - 1:]))
+        for apart in (1, 2):
+            row = index.rows(pair_hashes(h, apart))
+            at = np.flatnonzero((row >= 0) & (doc[: len(row)] == doc[apart:])) if len(row) else np.zeros(0, np.int64)
             row = row[at]
             k = np.repeat(first[row] - np.cumsum(count[row]) + count[row], count[row]) + np.arange(count[row].sum())
-            out.append(np.stack([doc[np.repeat(at, count[row])], of[k], np.repeat(at, count[row])]))
-        return np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
+            out.append(of[k] * len(h) + np.repeat(at, count[row]))
+        key = np.unique(np.concatenate(out))
+        q, at = key // max(1, len(h)), key % max(1, len(h))
+        d = doc[at]
+        # a hit stays if some `need` hits around it, of its passage and document, lie within the span
+        keep = np.zeros(len(key), bool)
+        for need in np.unique(p.need[q]):
+            x = np.flatnonzero(p.need[q] == need)
+            i, j = x[: max(0, len(x) - need + 1)], x[need - 1:]
+            good = np.flatnonzero((q[i] == q[j]) & (d[i] == d[j]) & (at[j] - at[i] < p.span[q[i]]))
+            edge = np.zeros(len(x) + 1, np.int64)
+            np.add.at(edge, good, 1)
+            np.add.at(edge, good + need, -1)
+            keep[x[np.cumsum(edge[:-1]) > 0]] = True
+        found = np.stack([d, q, at])[:, keep]
+        return found[:, np.lexsort(found[::-1])]
 
     def run(batches):
         p, ids = bc.value
@@ -153,13 +197,12 @@ def _scan(docs: DataFrame, items: list[tuple], passages: Passages, text: str, do
                 doc = np.repeat(np.arange(j - i), n)
                 first = np.concatenate([[0], np.cumsum(n)])
                 found = hits(h, doc, p)
-                found = found[:, np.lexsort(found[::-1])]
                 cut = np.flatnonzero((found[:2, 1:] != found[:2, :-1]).any(axis=0)) + 1
                 best: dict[tuple[int, int], tuple] = {}
                 for group in np.split(found, cut, axis=1) if found.shape[1] else []:
                     d, q = int(group[0, 0]), int(group[1, 0])
                     words, own = p.words[q], h[first[d]: first[d + 1]]
-                    for lo, hi in _windows(np.unique(group[2]) - first[d], len(words), len(own)):
+                    for lo, hi in _windows(group[2] - first[d], p.need[q], p.span[q], len(own)):
                         score, s, e = align(words, own[lo:hi])
                         x = (score / (MATCH * len(words)), first[d] + lo + s, first[d] + lo + e - 1)
                         if x[0] >= min_score and x > best.get((d, p.item[q]), (0,)):
@@ -195,7 +238,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id
         own = [tuple(r) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).orderBy("i", "t").collect()]  # at most about block_words words
         passages = Passages(own)
         counts, words = word_counts(docs, passages.vocabulary, text)
-        passages.choose_seeds(counts, words)
+        passages.choose_seeds(counts, words, min_score)
         found = _scan(docs, own, passages, text, doc_id, min_score, item_type)
         out = found if out is None else out.unionByName(found)
     return out

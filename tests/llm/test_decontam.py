@@ -71,3 +71,37 @@ def test_edge_rows(spark, edge_docs, no_docs):
     got = D.find_leaks(edge_docs, items, min_score=0.9).collect()
     assert sorted(str(r.doc_id) for r in got) == ["1", "10", "10", "2", "None"]
     assert D.find_leaks(no_docs, items).count() == 0 and D.find_leaks(edge_docs, items.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("size", [60, 4000])
+def test_edited_copies_of_a_hot_item_at_every_corpus_size(spark, size):
+    """Every fifth word replaced (score 0.7); nine documents in ten hold the item, which makes its own words frequent."""
+    r = random.Random(3)
+    prose = lambda n: [r.choice(WORDS) for _ in range(n)]
+    item = prose(30)
+    docs = []
+    for i in range(size):
+        copy = [r.choice(WORDS) if k % 5 == 4 else w for k, w in enumerate(item)]
+        docs.append((i, " ".join(prose(3) + (prose(30) if i % 10 == 0 else copy) + prose(3))))
+    got = D.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == [i for i in range(size) if i % 10]
+    assert all(r.score >= 0.69 for r in got)
+
+
+def test_whatever_reaches_the_score_is_found(spark):
+    """Against plain Smith-Waterman of every item in every document: few words, replaced, dropped and inserted ones."""
+    r = random.Random(4)
+    prose = lambda n: [r.choice(WORDS[:150]) for _ in range(n)]
+    items = [(i, prose(r.randint(5, 40))) for i in range(15)]
+    docs = []
+    for i in range(240):
+        words = list(items[i % 15][1])
+        if i % 4 == 0:
+            words = [x for w in words for x in (w, r.choice(WORDS))]  # a word after each word: half the score, no two side by side
+        else:
+            rate = r.choice([0.2, 0.3, 0.4])
+            words = [x for w in words for x in ([w], [r.choice(WORDS)], [], [w, r.choice(WORDS)])[r.randint(1, 3) if r.random() < rate else 0]]
+        docs.append((i, prose(r.randint(0, 20)) + words + prose(r.randint(0, 20))))
+    want = {(d, i) for d, words in docs for i, item in items if plain_smith_waterman(item, words) >= D.MIN_SCORE * D.MATCH * len(item)}
+    tables = [spark.createDataFrame([(i, " ".join(w)) for i, w in rows], f"{name} long, text string") for rows, name in ((docs, "doc_id"), (items, "item_id"))]
+    assert len(want) > 100 and {(x.doc_id, x.item_id) for x in D.find_leaks(*tables).collect()} == want
