@@ -109,3 +109,58 @@ def test_edge_rows(edge_docs, no_docs, edge_rows):
     assert C.score(no_docs, crc_mod("doc_id", 10) != 0).count() == 0
     none = C.score(edge_docs, F.lit(False)).collect()
     assert {r.base_score for r in none} == {None} and all(abs(r.bits_per_byte - 8) < 1e-3 for r in none if r.doc_id in (1, 6))
+
+
+def deep_brute(train, probe, depth):
+    """log10 P of the probes by the definition, for a tree of `depth` context bytes."""
+    def steps(t):
+        t = b"\0" * depth + t
+        for i in range(depth, len(t)):
+            for k in range(8):
+                yield t[i - depth: i], (1 << k) | (t[i] >> (8 - k)), t[i] >> (7 - k) & 1
+
+    n, kids = collections.defaultdict(lambda: [0, 0]), collections.defaultdict(set)
+    for t in train:
+        for ctx, node, bit in steps(t):
+            for k in range(depth + 1):
+                n[ctx[depth - k:], node][bit] += 1
+                if k:
+                    kids[ctx[depth - k + 1:], node].add(ctx[depth - k:])
+    pe = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+    below = lambda c, node: sum(weighted(x, node) for x in kids[c, node])
+    cache = {}
+
+    def weighted(c, node):
+        if (c, node) not in cache:
+            e = pe(*n[c, node])
+            cache[c, node] = e if len(c) == depth else np.logaddexp(e, below(c, node)) - math.log(2)
+        return cache[c, node]
+
+    def one(ctx, node, k):
+        a, b = n.get((ctx[depth - k:], node), (0, 0))
+        own = (b + 0.5) / (a + b + 1)
+        if k == depth or a + b == 0:
+            return own
+        w = 1 / (1 + math.exp(-max(-700, min(700, pe(a, b) - below(ctx[depth - k:], node)))))
+        return w * own + (1 - w) * one(ctx, node, k + 1)
+
+    return [sum(math.log10(p if bit else 1 - p) for ctx, node, bit in steps(t) for p in [one(ctx, node, 0)]) for t in probe]
+
+
+def test_deep_tree_against_the_definition(spark):
+    r = random.Random(5)
+    texts = ["".join(r.choice(["abc", "cab", "xyz ", "é", "a"]) for _ in range(12)) for _ in range(30)] + ["", "b", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sorted(C.score(docs, F.col("doc_id") % 3 != 0, chunk_bytes=200, shard_bytes=600).collect(), key=lambda x: x.doc_id)
+    raw = [(t or "").encode() for t in texts]
+    want = deep_brute([t for i, t in enumerate(raw) if i % 3], raw, C.DEPTH)
+    assert C.DEPTH >= 6 and np.allclose([x.score for x in rows], want, atol=1e-3)
+
+
+def test_words_longer_than_two_bytes_are_learnt(spark):
+    """Random words from a list: the later bytes of a word follow from its first ones, not from the last two."""
+    r = random.Random(6)
+    words = ["".join(r.choice("ab") for _ in range(12)) + " " for _ in range(12)]
+    docs = spark.createDataFrame([(i, "".join(r.choice(words) for _ in range(80))) for i in range(60)], "doc_id long, text string")
+    held = [x.bits_per_byte for x in C.score(docs, F.col("doc_id") % 6 != 0).collect() if not x.train]
+    assert np.mean(held) < 0.6  # two context bytes leave 1.25
