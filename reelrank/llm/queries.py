@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import ctw, decontam, langid, license_scan, neardup, packing, pii_crf, rule_ledger, suffix_dedup, warc_revisit
+from . import (centroids, ctw, decontam, langid, license_scan, neardup, packing, periodic, pii_crf, rule_ledger, simhash, suffix_dedup,
+               warc_revisit)
 from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +161,72 @@ def op10_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CTW and unigram scores of every document; the rows whose crc32(doc_id) mod 10 is 0 are held out of the training."""
     rows = ctw.score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 10) != 0)
     return rows.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+@register
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster, distance and inertia of every usable embedding, with a digest of its centroid."""
+    rows, about = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.array_join(F.transform("centroid", lambda x: x.cast("string")), ",").cast("binary"), 256)
+    about = about.select("cluster", F.col("size").alias("cluster_size"), "cluster_inertia", F.sum("cluster_inertia").over(Window.partitionBy()).alias("inertia"),
+                         digest.alias("centroid_sha256"))  # one row for each of the k centroids
+    return rows.join(F.broadcast(about), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256", "cluster_size")
+
+
+def _cluster_sql(k: int = centroids.K, rounds: int = centroids.ROUNDS) -> str:
+    """Lloyd rounds on integers: all vectors against the centroids as (cluster, dimension, value) rows."""
+    near = """a{r} AS MATERIALIZED (SELECT vec_id, rid, min(d * 64 + c) AS best FROM (
+  SELECT v.vec_id, v.rid, c.c, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, c{r} c) GROUP BY ALL),
+b{r} AS MATERIALIZED (SELECT vec_id, rid, (best % 64)::INT AS cluster, best // 64 AS distance FROM a{r})"""
+    move = """c{n} AS MATERIALIZED (SELECT c, list(m ORDER BY i) AS x FROM (
+  SELECT c.c, g.i, coalesce(any_value(t.m), any_value(c.x[g.i])) AS m FROM c{r} c, range(1, 65) g(i)
+  LEFT JOIN (SELECT cluster, j, floor(sum(x)::HUGEINT::DOUBLE / count(*))::BIGINT AS m FROM (SELECT b.cluster, unnest(v.x) AS x, generate_subscripts(v.x, 1) AS j FROM b{r} b JOIN v USING (rid)) GROUP BY ALL) t
+    ON t.cluster = c.c AND t.j = g.i GROUP BY ALL) GROUP BY c)"""
+    steps = [near.format(r=0)]
+    for r in range(rounds):
+        steps += [move.format(r=r, n=r + 1), near.format(r=r + 1)]
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, x FROM v ORDER BY sha256('2:' || vec_id) LIMIT {k}),
+{", ".join(steps)},
+i AS (SELECT cluster, sum(distance)::BIGINT AS cluster_inertia, count(*)::BIGINT AS cluster_size FROM b{rounds} GROUP BY cluster)
+SELECT vec_id, b.cluster, b.distance::BIGINT AS distance, cluster_inertia, (SELECT sum(cluster_inertia) FROM i)::BIGINT AS inertia,
+  sha256(array_to_string(c.x, ',')) AS centroid_sha256, cluster_size
+FROM b{rounds} b JOIN i USING (cluster) JOIN c{rounds} c ON c.c = b.cluster
+"""
+
+
+ORACLES["op11_centroid_clusters"] = _cluster_sql()
+
+
+@register
+def op12_simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) where, with h = crc32(doc_id), g = h // 10 and n words, one document in ten (h % 10 = 0) repeats from
+    its word a = g % n on the p = 1 + (n - a) // (3 + g % 8) words that start there."""
+    words = F.array_compact(F.transform(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: F.when(w != "", w)))
+    n, h = F.size(words).cast("long"), crc_mod("doc_id", 1 << 32)
+    g = F.floor(h / 10)
+    a = g % n
+    p = F.floor((n - a) / (g % 8 + 3)) + 1
+    block = F.slice(words, (a + 1).cast("int"), p.cast("int"))
+    again = F.slice(F.flatten(F.array_repeat(block, F.ceil((n - a) / p).cast("int"))), F.lit(1), (n - a).cast("int"))
+    text = F.array_join(F.concat(F.slice(words, F.lit(1), a.cast("int")), again), " ")
+    return docs.select("doc_id", F.when((h % 10 == 0) & (n > 0), text).otherwise(F.col("text")).alias("text"))
+
+
+@register
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest periodic run of every document, digests of all runs and of the text without their repetitions."""
+    found = periodic.find_runs(with_planted_periods(table(spark, sf_dir, "documents")))
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    length, period = top["length"], -top["period"]
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), (-top["start"]).alias("start"), length.alias("length"), period.alias("period"),
+                        F.floor(length * 1000 / period).alias("exponent_milli"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+                        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
