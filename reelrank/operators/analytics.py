@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from reelrank.functions.columns import (DAMPING, bucket_rank, count_bucket, damped_score,
                                         epoch_to_date, rating_double)
-from reelrank.operators.joins import broadcast_if_bounded
+from reelrank.operators.joins import spread_join
 from reelrank.operators.topk import top_k
 
 
@@ -80,11 +80,10 @@ def top_popular(ratings: DataFrame, items: DataFrame, n: int = 10, min_count: in
     return popularity_stats(ratings, items, min_count).orderBy(*_popular_order()).limit(n)
 
 
-def genre_names(genres: DataFrame) -> DataFrame:
-    """The genre table for joins: a vocabulary (tens to thousands of names),
-    broadcast after a size check so the item side always streams in its own
-    partitioning."""
-    return broadcast_if_bounded(genres.select("genre_id", "name"))
+def with_genre_names(item_genres: DataFrame, genres: DataFrame) -> DataFrame:
+    """item_genres with the genre's `name`. A genre of very many items is spread over several tasks; the runtime broadcasts
+    the vocabulary when its bytes allow it."""
+    return spread_join(item_genres, genres.select("genre_id", "name"), "genre_id")
 
 
 def popularity_by_genre(ratings: DataFrame, items: DataFrame, item_genres: DataFrame, genres: DataFrame,
@@ -95,7 +94,7 @@ def popularity_by_genre(ratings: DataFrame, items: DataFrame, item_genres: DataF
     item's genres, instead of joining ratings to genres first (which would
     multiply the big side by the genres per item).
     """
-    ig = item_genres.join(genre_names(genres), "genre_id")
+    ig = with_genre_names(item_genres, genres)
     if genre is not None:
         ig = ig.filter(F.col("name") == genre)
     pop = popularity_stats(ratings, items, min_count)
@@ -118,7 +117,7 @@ def top_genre_popular(ratings: DataFrame, items: DataFrame, item_genres: DataFra
 
 def preferred_genres(ratings: DataFrame, item_genres: DataFrame, genres: DataFrame) -> DataFrame:
     """A5 + J4: per user and genre, average rating and count."""
-    ig = item_genres.join(genre_names(genres), "genre_id").select("item_id", F.col("name").alias("genre"))
+    ig = with_genre_names(item_genres, genres).select("item_id", F.col("name").alias("genre"))
     r = rating_double()
     return (ratings.select("user_id", "item_id", r.alias("rating")).join(ig, "item_id")
             .groupBy("user_id", "genre")

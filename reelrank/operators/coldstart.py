@@ -14,9 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from reelrank.operators.analytics import top_genre_popular, top_popular, top_user_genres
-
-# Largest genre-list table that is broadcast to the user side (rows).
-MAX_BROADCAST_LIST_ROWS = 5_000_000
+from reelrank.operators.joins import spread_join
 
 
 def is_new_user(requested: DataFrame, ratings: DataFrame) -> DataFrame:
@@ -74,10 +72,8 @@ def cold_start(requested: DataFrame, ratings: DataFrame, items: DataFrame, item_
     lists = top_genre_popular(ratings, items, item_genres, genres, max_quota, None, min_count)
     lists = lists.select("genre", F.col("rank").alias("genre_pos"), "item_id",
                          F.col("title").alias("movie"), F.col("popularity_score").alias("score"))
-    n_list_rows = lists.count()
-    if n_list_rows <= MAX_BROADCAST_LIST_ROWS:
-        lists = F.broadcast(lists)
-    merged = (prefs.join(lists, "genre")
+    # a genre that most users prefer is spread; the runtime broadcasts the lists when their bytes allow it
+    merged = (spread_join(prefs, lists, "genre")
               .filter(F.col("genre_pos") <= F.col("quota")))
     if dedupe:
         first = Window.partitionBy("user_id", "item_id").orderBy(F.col("score").desc(), "genre_rank", "genre_pos")

@@ -2,7 +2,7 @@
 
 Each raw source is read once with an explicit schema; the input splits of the
 file scan replace the reference's chunked reads. Surrogate ids of the small
-name tables come from `dense_rank` over the sorted distinct names, so they are
+name tables follow the sorted distinct names, so they are
 reproducible (the reference's SERIAL ids depend on insertion order).
 """
 
@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from reelrank.functions.columns import RATING_MAX, RATING_MIN, extract_year, normalise_epoch, split_genres
 from reelrank.sources.schemas import RENAMES
-from reelrank.operators.joins import broadcast_if_bounded
+from reelrank.operators.joins import spread_join
+from reelrank.operators.prefix import numbered
 
 
 def rename_columns(df: DataFrame, table: str) -> DataFrame:
@@ -44,30 +44,10 @@ def distinct_genres(raw_items: DataFrame) -> DataFrame:
     return explode_genres(raw_items).select(F.col("genre").alias("name")).distinct()
 
 
-# Largest vocabulary whose ids are assigned in one task (a window without
-# partition); beyond it ids come from a global sort + zipWithIndex.
-MAX_SINGLE_TASK_VOCABULARY = 1_000_000
-
-
 def dense_ids(names: DataFrame, name_col: str, id_col: str) -> DataFrame:
-    """1-based consecutive ids in sorted order of the distinct `name_col`
-    values (= dense_rank over the sorted names), reproducible run to run.
-
-    A vocabulary up to MAX_SINGLE_TASK_VOCABULARY names is ranked by a window
-    in one task (checked with a limited count); a larger one is sorted
-    globally (range partitioned) and numbered with zipWithIndex, which only
-    collects one count per partition.
-    """
-    distinct = names.select(name_col).distinct()
-    n = distinct.limit(MAX_SINGLE_TASK_VOCABULARY + 1).count()
-    if n <= MAX_SINGLE_TASK_VOCABULARY:
-        return distinct.select(F.dense_rank().over(Window.orderBy(name_col)).cast("bigint").alias(id_col), name_col)
-    ordered = distinct.orderBy(name_col)
-    spark = names.sparkSession
-    rdd = ordered.rdd.zipWithIndex().map(lambda p: (p[1] + 1, p[0][0]))
-    field = ordered.schema[name_col]
-    schema = f"{id_col} bigint, {name_col} {field.dataType.simpleString()}"
-    return spark.createDataFrame(rdd, schema)
+    """1-based consecutive ids in sorted order of the distinct `name_col` values (= dense_rank over the sorted names),
+    reproducible run to run: range partitions numbered from the row counts of the earlier ones."""
+    return numbered(names.select(name_col).distinct(), [name_col], id_col).select(id_col, name_col)
 
 
 def genres_from_items(raw_items: DataFrame) -> DataFrame:
@@ -76,11 +56,9 @@ def genres_from_items(raw_items: DataFrame) -> DataFrame:
 
 
 def item_genres_from_items(raw_items: DataFrame, genres: DataFrame) -> DataFrame:
-    """(item, genre name) joined to the genre table on name; the genre table
-    is bounded by the genre vocabulary, so it is broadcast."""
+    """(item, genre name) joined to the genre table on name; a frequent name is spread over several tasks."""
     pairs = explode_genres(raw_items)
-    g = broadcast_if_bounded(genres)
-    return (pairs.join(g, pairs.genre == g.name)
+    return (spread_join(pairs, genres.withColumnRenamed("name", "genre"), "genre")
             .select("item_id", "genre_id").distinct())
 
 

@@ -4,14 +4,16 @@
   aggregates (b_i = sum(r - mu) / (lambda + n_i), then b_u = sum(r - mu - b_i)
   / (lambda + n_u)), then `pyspark.ml` ALS on the residuals. Same model family
   as the reference's SGD factorisation, different optimiser, so numbers differ.
+  ALS takes INT ids: the bias tables carry consecutive numbers (a distributed
+  prefix sum) as the id dictionary, so ids of any size work.
 * Normal predictor (R3): N(mu, sigma) of the training ratings, clipped.
 * Top-N for many users (R8): exact scores mu + b_u + b_i + p_u . q_i of every
-  unseen item, computed as a blocked product: users are hashed into chunks,
-  items into blocks, both sides are cogrouped on (chunk, block) and each
-  group scores its users against its items with numpy, masking rated items
-  and keeping the group's top N per user. A final `row_number <= N` per user
-  merges the blocks. No pair table is ever materialised, no group holds more
-  than one chunk x one block, and nothing passes through the driver.
+  unseen item by norm bounds. Items lie in blocks, ordered by bias + norm, and
+  no item of a block scores above mu + b_u + max b_i + |p_u| max |q_i|. Every
+  user first scores its block with the largest bound; its N-th score then rules
+  out all blocks whose (clipped) bound is below it, and only the others are
+  scored. A group is one item block x one chunk of its users, with the users'
+  rated pairs as rows; a `row_number <= N` per user merges the blocks.
 """
 
 from __future__ import annotations
@@ -20,38 +22,34 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.recommendation import ALS, ALSModel
+import pyarrow as pa
+import pyarrow.compute
+from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from reelrank.config import validate_top_n
 from reelrank.functions.columns import RATING_MAX, RATING_MIN, clip_to_scale, hash_order, rating_double
+from reelrank.operators.prefix import numbered
+from reelrank.session import ship_package, stored
 
-# Block sizing of the top-N product (rows per side of one cogroup).
-USERS_PER_CHUNK = 20_000
-ITEMS_PER_BLOCK = 50_000
-SCORE_BATCH = 512
+# Block sizing of the top-N product (rows per side of one group).
+USERS_PER_CHUNK = 2_000
+ITEMS_PER_BLOCK = 4_096
+SCORE_BATCH = 256
 ALS_BLOCKS = 10        # part of the model: results must not depend on the cluster's size
-MIN_USERS_PER_CHUNK = 500
 
 
 @dataclass
 class MFModel:
     mu: float
-    user_bias: DataFrame   # user_id, b_u
-    item_bias: DataFrame   # item_id, b_i
-    als: ALSModel
+    user_bias: DataFrame     # user_id, b_u
+    item_bias: DataFrame     # item_id, b_i
+    user_factors: DataFrame  # user_id, features
+    item_factors: DataFrame  # item_id, features
     rank: int
 
-    def unpersist(self) -> None:
-        """Release the cached bias tables and factors."""
-        self.user_bias.unpersist()
-        self.item_bias.unpersist()
-        self.als.userFactors.unpersist()
-        self.als.itemFactors.unpersist()
-
 
 @dataclass
 class NormalModel:
@@ -76,24 +74,28 @@ def fit_biases(ratings: DataFrame, reg_item: float = 10.0, reg_user: float = 15.
 
 def fit_mf(ratings: DataFrame, rank: int = 10, max_iter: int = 10, reg: float = 0.1, seed: int = 0,
            reg_item: float = 10.0, reg_user: float = 15.0, blocks: int = ALS_BLOCKS) -> MFModel:
-    """Bias-then-ALS. ALS checkpoints its lineage every 10 iterations into
-    the session's checkpoint folder, so long fits survive executor loss."""
+    """Bias-then-ALS. The training set is stored once; ALS checkpoints its
+    lineage every 10 iterations into the session's checkpoint folder, so long
+    fits survive executor loss."""
+    ratings = stored(ratings.select("user_id", "item_id", "rating"), "train")
     mu, user_bias, item_bias = fit_biases(ratings, reg_item, reg_user)
-    user_bias = user_bias.cache()
-    item_bias = item_bias.cache()
+    item_bias = stored(numbered(item_bias, ["item_id"], "i"), "item-bias")
+    user_bias = stored(numbered(user_bias, ["user_id"], "u"), "user-bias")
     resid = (ratings.select("user_id", "item_id", rating_double().alias("r"))
              .join(item_bias, "item_id").join(user_bias, "user_id")
-             .select(F.col("user_id").cast("int").alias("user_id"), F.col("item_id").cast("int").alias("item_id"),
+             .select(F.col("u").cast("int").alias("u"), F.col("i").cast("int").alias("i"),
                      (F.col("r") - mu - F.col("b_i") - F.col("b_u")).alias("residual")))
-    als = ALS(rank=rank, maxIter=max_iter, regParam=reg, userCol="user_id", itemCol="item_id",
+    als = ALS(rank=rank, maxIter=max_iter, regParam=reg, userCol="u", itemCol="i",
               ratingCol="residual", coldStartStrategy="nan", nonnegative=False, seed=seed,
               checkpointInterval=10, numUserBlocks=blocks, numItemBlocks=blocks)
-    resid = resid.persist()  # ALS reads its input more than once
-    try:
-        fitted = als.fit(resid)
-    finally:
-        resid.unpersist()
-    return MFModel(mu, user_bias, item_bias, fitted, rank)
+    fitted = als.fit(resid)  # ALS keeps its own blocks of the input
+    wide = F.col("features").cast("array<double>").alias("features")
+    users = fitted.userFactors.join(user_bias, F.col("id") == F.col("u")).select("user_id", wide)
+    items = fitted.itemFactors.join(item_bias, F.col("id") == F.col("i")).select("item_id", wide)
+    model = MFModel(mu, user_bias.drop("u"), item_bias.drop("i"), stored(users, "user-factors"), stored(items, "item-factors"), rank)
+    fitted.userFactors.unpersist()
+    fitted.itemFactors.unpersist()
+    return model
 
 
 def fit_normal(ratings: DataFrame) -> NormalModel:
@@ -103,24 +105,27 @@ def fit_normal(ratings: DataFrame) -> NormalModel:
 
 
 def predict_normal(model: NormalModel, pairs: DataFrame, seed: int = 0) -> DataFrame:
-    """R3 predictions: normal draws with the model's mean and deviation, clipped (P20). The draw of a pair comes from two
-    keyed hashes by the Box-Muller transform, so it is the same on every run and in any SQL engine."""
+    """R3 predictions: normal draws with the model's mean and deviation, clipped (P20)."""
+    return pairs.withColumn("est", normal_draw(F.lit(model.mu), F.lit(model.sigma), seed))
+
+
+def normal_draw(mu, sigma, seed: int):
+    """The clipped draw of a (user, item) pair comes from two keyed hashes by the Box-Muller transform, so it is the same on
+    every run and in any SQL engine."""
     u = (hash_order(["user_id", "item_id"], seed) + 1) / float(2**60)
     v = hash_order(["user_id", "item_id"], seed + 1) / float(2**60)
-    draw = F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v)
-    return pairs.withColumn("est", clip_to_scale(draw * model.sigma + model.mu))
+    return clip_to_scale(F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v) * sigma + mu)
 
 
 def predict_pairs(model: MFModel, pairs: DataFrame) -> DataFrame:
     """Estimate for (user, item); unknown users/items fall back to the
     parts that exist (biases or the mean); clipped to the rating scale."""
-    scored = model.als.transform(pairs).withColumnRenamed("prediction", "_dot")
-    out = (scored.join(model.user_bias, "user_id", "left").join(model.item_bias, "item_id", "left")
-           .withColumn("est", clip_to_scale(F.lit(model.mu) + F.coalesce("b_u", F.lit(0.0))
-                                            + F.coalesce("b_i", F.lit(0.0))
-                                            + F.when(F.isnan("_dot") | F.col("_dot").isNull(), 0.0)
-                                            .otherwise(F.col("_dot")))))
-    return out.drop("_dot", "b_u", "b_i")
+    p, q = (f.select(k, F.col("features").alias(n)) for f, k, n in ((model.user_factors, "user_id", "_p"), (model.item_factors, "item_id", "_q")))
+    dot = F.aggregate(F.zip_with("_p", "_q", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    known = pairs.join(model.user_bias, "user_id", "left").join(p, "user_id", "left").join(
+        model.item_bias, "item_id", "left").join(q, "item_id", "left")
+    est = F.lit(model.mu) + F.coalesce("b_u", F.lit(0.0)) + F.coalesce("b_i", F.lit(0.0)) + F.coalesce(dot, F.lit(0.0))
+    return known.withColumn("est", clip_to_scale(est)).drop("_p", "_q", "b_u", "b_i")
 
 
 def rmse_mae(predictions: DataFrame, label: str = "rating", est: str = "est") -> DataFrame:
@@ -131,61 +136,114 @@ def rmse_mae(predictions: DataFrame, label: str = "rating", est: str = "est") ->
 
 
 # ----------------------------------------------------------------- top-N ----
-def _topn_group(n: int, mu: float):
-    def score(u: pd.DataFrame, it: pd.DataFrame) -> pd.DataFrame:
-        cols = {"user_id": [], "item_id": [], "score": []}
-        if u.empty or it.empty:
-            return pd.DataFrame(cols, columns=["user_id", "item_id", "score"])
-        order = np.argsort(it["item_id"].to_numpy())
-        ids = it["item_id"].to_numpy()[order]
-        q = np.vstack(it["features"].to_numpy())[order]
-        bi = it["b_i"].to_numpy(dtype=float)[order]
+def item_blocks(model: MFModel, spread: float, size: int) -> DataFrame:
+    """(block, ids, q, b, max_b, max_norm): the model's items in runs of `size` by descending bias + spread * norm, one row per
+    block with its item ids ascending, packed factors and biases, and the two maxima of its bound."""
+    norm = F.sqrt(F.aggregate("features", F.lit(0.0), lambda a, x: a + x * x))
+    rows = model.item_factors.join(model.item_bias, "item_id").withColumn("norm", norm)
+    rows = rows.withColumn("_order", -(F.col("b_i") + F.col("norm") * spread))
+    at = numbered(rows, ["_order", "item_id"], "at").withColumn("block", F.floor((F.col("at") - 1) / size))
+    item = F.sort_array(F.collect_list(F.struct("item_id", "features", "b_i")))
+    packed = at.groupBy("block").agg(item.alias("e"), F.max("b_i").alias("max_b"), F.max("norm").alias("max_norm"))
+    return packed.select("block", F.col("e.item_id").alias("ids"), F.flatten("e.features").alias("q"), F.col("e.b_i").alias("b"), "max_b", "max_norm")
+
+
+def _block_topn(n: int, mu: float, rank: int):
+    """Top n of one item block for the users of one chunk: cogroup of user and rated rows with the block's row."""
+
+    def top(ids, q, bi, user, p, bu, rated_row, rated_item):
         k = min(n, len(ids))
-        for start in range(0, len(u), SCORE_BATCH):
-            chunk = u.iloc[start:start + SCORE_BATCH]
-            p = np.vstack(chunk["features"].to_numpy())
-            s = p @ q.T + bi[None, :] + (mu + chunk["b_u"].to_numpy(dtype=float))[:, None]
+        for start in range(0, len(user), SCORE_BATCH):
+            end = min(start + SCORE_BATCH, len(user))
+            s = p[start:end] @ q.T + bi[None, :] + (mu + bu[start:end])[:, None]
             np.clip(s, RATING_MIN, RATING_MAX, out=s)
-            rated = chunk["rated"].to_numpy()
-            lens = np.array([0 if r is None else len(r) for r in rated])
-            if lens.sum():
-                flat = np.concatenate([np.asarray(r, dtype=ids.dtype) for r in rated if r is not None and len(r)])
-                rows = np.repeat(np.arange(len(chunk)), lens)
-                pos = np.searchsorted(ids, flat)
-                pos_c = np.minimum(pos, len(ids) - 1)
-                hit = ids[pos_c] == flat
-                s[rows[hit], pos_c[hit]] = -np.inf
-            uid = chunk["user_id"].to_numpy()
-            # k-th best value per row; every entry >= it is a candidate (ties
-            # included), then one lexsort orders candidates by (row, -score,
-            # item id) and the first k per row are kept.
+            i, j = np.searchsorted(rated_row, [start, end])
+            s[rated_row[i:j] - start, rated_item[i:j]] = -np.inf
+            # k-th best value per row; every entry >= it is a candidate (ties included), then one sort by (row, -score,
+            # item) and the first k per row are kept
             kth = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k]
-            rr, cc = np.nonzero((s >= kth[:, None]) & np.isfinite(s))
-            vals = s[rr, cc]
-            order = np.lexsort((ids[cc], -vals, rr))
-            rr, cc, vals = rr[order], cc[order], vals[order]
-            first = np.searchsorted(rr, np.arange(len(chunk)))
-            keep = (np.arange(len(rr)) - first[rr]) < k
-            cols["user_id"].extend(uid[rr[keep]].tolist())
-            cols["item_id"].extend(ids[cc[keep]].tolist())
-            cols["score"].extend(vals[keep].tolist())
-        return pd.DataFrame(cols, columns=["user_id", "item_id", "score"])
-    return score
-
-
-def grid_size(n_users: int, n_items: int, parallelism: int) -> tuple[int, int]:
-    """(user chunks, item blocks) of the blocked product.
-
-    Memory bounds every group (at most USERS_PER_CHUNK x ITEMS_PER_BLOCK);
-    beyond that, users are cut into more chunks until there are about two
-    groups per core, but never below MIN_USERS_PER_CHUNK users per chunk,
-    so the replicated item side stays a small fraction of the scoring work.
-    """
-    blocks = max(1, -(-n_items // ITEMS_PER_BLOCK))
-    chunks = max(1, -(-n_users // USERS_PER_CHUNK))
-    by_cores = -(-2 * parallelism // blocks)
-    chunks = max(chunks, min(by_cores, max(1, n_users // MIN_USERS_PER_CHUNK)))
-    return chunks, blocks
+            row, col = np.nonzero((s >= kth[:, None]) & np.isfinite(s))
+            value = s[row, col]
+            order = np.lexsort((col, -value, row))
+            row, col, value = row[order], col[order], value[order]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+            yield user[start + row[keep]], ids[col[keep]], value[keep]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        wanted = left.filter(pa.compute.equal(left["kind"], 0)) if left.num_rows else left
+        if wanted.num_rows and right.num_rows:
+            ids = right["ids"].combine_chunks().flatten().to_numpy()
+            q = right["q"].combine_chunks().flatten().to_numpy().reshape(len(ids), rank)
+            bi = right["b"].combine_chunks().flatten().to_numpy()
+            user = wanted["user_id"].to_numpy()
+            order = np.argsort(user)
+            user, bu = user[order], wanted["b_u"].to_numpy()[order]
+            p = wanted["features"].combine_chunks().flatten().to_numpy().reshape(len(user), rank)[order]
+            rated = left.filter(pa.compute.equal(left["kind"], 1))
+            of, item = rated["user_id"].to_numpy(), rated["item_id"].to_numpy()
+            row, col = np.minimum(np.searchsorted(user, of), len(user) - 1), np.minimum(np.searchsorted(ids, item), len(ids) - 1)
+            hit = (user[row] == of) & (ids[col] == item)
+            row, col = row[hit], col[hit]
+            by = np.argsort(row, kind="stable")
+            found = list(top(ids, q, bi, user, p, bu, row[by], col[by]))
+        u, i, v = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"user_id": pa.array(u, pa.int64()), "item_id": pa.array(i, pa.int64()), "score": pa.array(v, pa.float64())})
+
+    return run
+
+
+def score_blocks(users: DataFrame, rated: DataFrame, blocks: DataFrame, n: int, mu: float, rank: int, chunks: int) -> DataFrame:
+    """(user_id, item_id, score): for every row of users (user_id, features, b_u, block) the n best unrated items of that block.
+    rated: user_id, item_id, block."""
+    ship_package(users.sparkSession)
+    chunk = F.pmod(F.xxhash64("user_id"), F.lit(chunks)).alias("chunk")
+    wanted = users.select("block", chunk, "user_id", "features", "b_u", F.lit(None).cast("bigint").alias("item_id"), F.lit(0).alias("kind"))
+    seen = rated.select("block", chunk, "user_id", F.lit(None).cast("array<double>").alias("features"), F.lit(None).cast("double").alias("b_u"),
+                        "item_id", F.lit(1).alias("kind"))
+    active = users.select("block", chunk).distinct()
+    sides = blocks.select("block", "ids", "q", "b").join(active, "block")
+    return (wanted.unionByName(seen).groupBy("block", "chunk").cogroup(sides.groupBy("block", "chunk"))
+            .applyInArrow(_block_topn(n, mu, rank), "user_id bigint, item_id bigint, score double"))
+
+
+def _best(rows: DataFrame, n: int) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy(F.col("score").desc(), F.col("item_id").asc())
+    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+
+
+def with_bounds(users: DataFrame, blocks: DataFrame, mu: float) -> DataFrame:
+    """users (b_u, norm) with `bounds`: (bound, -block) of every block, the bound clipped like a score. The blocks' maxima are
+    one row with an entry per block of items."""
+    entries = blocks.agg(F.sort_array(F.collect_list(F.struct("block", "max_b", "max_norm"))).alias("_e")).withColumn("_one", F.lit(1))
+    wide = users.withColumn("_one", F.lit(1)).join(F.broadcast(entries), "_one").drop("_one")
+    bound = lambda e: F.lit(mu) + F.col("b_u") + e["max_b"] + F.col("norm") * e["max_norm"] + 1e-9
+    return wide.withColumn("bounds", F.transform("_e", lambda e: F.struct(clip_to_scale(bound(e)).alias("bound"), (-e["block"]).alias("neg")))).drop("_e")
+
+
+def top_items(model: MFModel, requested: DataFrame, ratings: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(user_id, rank, item_id, score) of the n best unseen items of every requested user of the model, and the stored
+    (user_id, block) pairs that were scored."""
+    norm = F.sqrt(F.aggregate("features", F.lit(0.0), lambda a, x: a + x * x))
+    wanted = requested.select("user_id").distinct()
+    users = stored(wanted.join(model.user_factors, "user_id").join(model.user_bias, "user_id").withColumn("norm", norm), "topn-users")
+    size = users.agg(F.count(F.lit(1)).alias("n"), F.avg("norm").alias("norm")).first()
+    blocks = stored(item_blocks(model, float(size["norm"] or 0.0), ITEMS_PER_BLOCK), "item-blocks")
+    chunks = max(1, -(-size["n"] // USERS_PER_CHUNK))
+    where = blocks.select("block", F.explode("ids").alias("item_id"))
+    rated = stored(ratings.select("user_id", "item_id").join(wanted, "user_id", "left_semi").join(where, "item_id"), "topn-rated")
+    cols = ["user_id", "features", "b_u", "block"]
+    first = with_bounds(users, blocks, model.mu).withColumn("block", -F.array_max("bounds")["neg"]).filter(F.col("block").isNotNull())
+    found = stored(score_blocks(first.select(*cols), rated, blocks, n, model.mu, model.rank, chunks), "topn-first")
+    # The n-th score of a user rules out the blocks that cannot reach it; an equal bound may still hold a smaller item id.
+    nth = _best(found, n).groupBy("user_id").agg(F.when(F.count(F.lit(1)) == n, F.min("score")).alias("nth"))
+    more = (first.withColumnRenamed("block", "_first").join(nth, "user_id", "left")
+            .withColumn("e", F.explode(F.filter("bounds", lambda e: F.coalesce(e["bound"] >= F.col("nth"), F.lit(True)))))
+            .withColumn("block", -F.col("e.neg")).filter(F.col("block") != F.col("_first")))
+    more = stored(more.select(*cols), "topn-more")
+    rest = score_blocks(more, rated, blocks, n, model.mu, model.rank, chunks)
+    pairs = first.select("user_id", "block").unionByName(more.select("user_id", "block"))
+    return _best(found.unionByName(rest), n), pairs
 
 
 def recommend_users(model: MFModel, requested: DataFrame, ratings: DataFrame, items: DataFrame,
@@ -197,25 +255,7 @@ def recommend_users(model: MFModel, requested: DataFrame, ratings: DataFrame, it
     dropped after ranking, so a list may be shorter than N.
     """
     validate_top_n(n)
-    uf = model.als.userFactors.select(F.col("id").cast("bigint").alias("user_id"), "features")
-    itf = model.als.itemFactors.select(F.col("id").cast("bigint").alias("item_id"), "features")
-    users = (requested.select("user_id").distinct().join(uf, "user_id").join(model.user_bias, "user_id"))
-    rated = (ratings.join(requested.select("user_id").distinct(), "user_id", "left_semi")
-             .groupBy("user_id").agg(F.collect_list("item_id").alias("rated")))
-    users = users.join(rated, "user_id", "left")
-    item_side = itf.join(model.item_bias, "item_id")
-    n_users = users.count()
-    n_items = item_side.count()
-    chunks, blocks = grid_size(n_users, n_items, requested.sparkSession.sparkContext.defaultParallelism)
-    u_rep = (users.withColumn("chunk", F.pmod(F.xxhash64("user_id"), F.lit(chunks)))
-             .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
-    i_rep = (item_side.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
-             .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)).cast("array<bigint>"))))
-    u_rep = u_rep.withColumn("block", F.col("block").cast("bigint"))
-    cand = (u_rep.groupBy("chunk", "block").cogroup(i_rep.groupBy("chunk", "block"))
-            .applyInPandas(_topn_group(n, model.mu), "user_id bigint, item_id bigint, score double"))
-    w = Window.partitionBy("user_id").orderBy(F.col("score").desc(), F.col("item_id").asc())
-    top = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    top, _ = top_items(model, requested, ratings, n)
     titled = top.join(items.select("item_id", F.col("title").alias("movie")), "item_id")
     return titled.select("user_id", "rank", "item_id", "movie", "score")
 
@@ -223,25 +263,22 @@ def recommend_users(model: MFModel, requested: DataFrame, ratings: DataFrame, it
 def recommend_routed(model: MFModel, requested: DataFrame, ratings: DataFrame, items: DataFrame,
                      item_genres: DataFrame, genres: DataFrame, n: int = 5) -> DataFrame:
     """New users -> cold start; known users -> model lists; known users
-    with an empty model list -> cold start fallback. Three disjoint branches."""
+    with an empty model list -> cold start fallback. The model lists are stored
+    and the cold-start lists built once, for both kinds of users."""
     from reelrank.operators.coldstart import cold_start, is_new_user
     flags = is_new_user(requested, ratings)
-    new = flags.filter("is_new").select("user_id")
-    known = flags.filter(~F.col("is_new")).select("user_id")
-    cf = recommend_users(model, known, ratings, items, n).withColumn("method", F.lit("collaborative_filtering"))
-    empty = known.join(cf.select("user_id").distinct(), "user_id", "left_anti")
+    cf = stored(recommend_users(model, flags.filter(~F.col("is_new")).select("user_id"), ratings, items, n), "routed")
+    open_ = flags.join(cf.select("user_id").distinct(), "user_id", "left_anti")
+    cs = cold_start(open_.select("user_id"), ratings, items, item_genres, genres, n).drop("method").join(open_, "user_id")
+    cs = cs.withColumn("method", F.when(F.col("is_new"), "cold_start").otherwise("cold_start_fallback"))
     cols = ["user_id", "rank", "item_id", "movie", "score", "method"]
-    cs_new = cold_start(new, ratings, items, item_genres, genres, n).withColumn("method", F.lit("cold_start"))
-    cs_fb = (cold_start(empty, ratings, items, item_genres, genres, n)
-             .withColumn("method", F.lit("cold_start_fallback")))
-    return cf.select(*cols).unionByName(cs_new.select(*cols)).unionByName(cs_fb.select(*cols))
+    return cf.withColumn("method", F.lit("collaborative_filtering")).select(*cols).unionByName(cs.select(*cols))
 
 
 def save_model(model: MFModel, path: str) -> None:
-    """save_model: ALS factors + bias tables + mean, overwrite."""
-    model.als.write().overwrite().save(f"{path}/als")
-    model.user_bias.write.mode("overwrite").parquet(f"{path}/user_bias")
-    model.item_bias.write.mode("overwrite").parquet(f"{path}/item_bias")
+    """save_model: factors, bias tables and mean, overwrite."""
+    for name in ("user_bias", "item_bias", "user_factors", "item_factors"):
+        getattr(model, name).write.mode("overwrite").parquet(f"{path}/{name}")
     spark = model.user_bias.sparkSession
     spark.createDataFrame([(float(model.mu), int(model.rank))], "mu double, rank int").write.mode(
         "overwrite").json(f"{path}/meta")
@@ -252,5 +289,4 @@ def load_model(spark: SparkSession, path: str) -> MFModel:
     meta = spark.read.schema("mu double, rank int").json(f"{path}/meta").first()
     if meta is None:
         raise FileNotFoundError(path)
-    return MFModel(meta.mu, spark.read.parquet(f"{path}/user_bias"), spark.read.parquet(f"{path}/item_bias"),
-                   ALSModel.load(f"{path}/als"), meta.rank)
+    return MFModel(meta.mu, *[spark.read.parquet(f"{path}/{name}") for name in ("user_bias", "item_bias", "user_factors", "item_factors")], meta.rank)

@@ -245,7 +245,7 @@ def filter_by_id(m):
 SELECT ig.item_id, g.name AS genre FROM item_genres ig JOIN genres g ON ig.genre_id = g.genre_id WHERE g.name = 'PROMO'""")
 def filter_by_genre(m):
     g = m.genres().filter(F.col("name") == "PROMO")
-    return m.item_genres().join(A.genre_names(g), "genre_id").select("item_id", F.col("name").alias("genre"))
+    return A.with_genre_names(m.item_genres(), g).select("item_id", F.col("name").alias("genre"))
 
 
 @register("recent_days_filter", f"""
@@ -455,7 +455,7 @@ def popularity_by_genre(m):
 SELECT r.user_id, r.item_id, g.name AS genre FROM ratings r JOIN item_genres ig ON r.item_id = ig.item_id
 JOIN genres g ON ig.genre_id = g.genre_id""")
 def ratings_genres(m):
-    ig = m.item_genres().join(A.genre_names(m.genres()), "genre_id")
+    ig = A.with_genre_names(m.item_genres(), m.genres())
     return m.ratings().join(ig, "item_id").select("user_id", "item_id", F.col("name").alias("genre"))
 
 
@@ -959,18 +959,50 @@ def drifted_columns(m):
     return D.drift_summary(D.ks_drift(a, b, None, 0.05)).select("drifted_columns")
 
 
-@register("baseline_bootstrap")
+_QUARTER_SQL = """
+, q AS (SELECT *, date_trunc('quarter', to_timestamp("timestamp") AT TIME ZONE 'UTC') AS qq, year(to_timestamp("timestamp") AT TIME ZONE 'UTC') AS yy FROM ratings),
+  cur AS (SELECT strftime(qq, '%Y-%m-%d') AS period, min("timestamp") AS since, avg(rating) AS avg_rating, count(DISTINCT user_id) AS num_users, count(DISTINCT item_id) AS num_movies,
+                 count(*) AS num_ratings FROM q GROUP BY qq),
+  snap AS (SELECT yy, max("timestamp") AS as_of, avg(rating) AS avg_rating, count(DISTINCT user_id) / 4 AS num_users, count(DISTINCT item_id) / 4 AS num_movies, count(*) / 4 AS num_ratings FROM q GROUP BY yy),
+  j AS (SELECT c.*, s.as_of, s.avg_rating AS a1, s.num_users AS a2, s.num_movies AS a3, s.num_ratings AS a4 FROM cur c ASOF LEFT JOIN snap s ON c.since > s.as_of)
+"""
+
+
+@register("baseline_bootstrap", _QUARTER_SQL + """
+, m AS (SELECT period, as_of, CAST(coalesce(a1 <> 0, false) AS INTEGER) + CAST(coalesce(a2 <> 0, false) AS INTEGER) + CAST(coalesce(a3 <> 0, false) AS INTEGER) + CAST(coalesce(a4 <> 0, false) AS INTEGER) AS k,
+          CAST(coalesce(abs((avg_rating - a1) / a1 * 100) > 10.0, false) AS INTEGER) + CAST(coalesce(abs((num_users - a2) / a2 * 100) > 10.0, false) AS INTEGER)
+        + CAST(coalesce(abs((num_movies - a3) / a3 * 100) > 10.0, false) AS INTEGER) + CAST(coalesce(abs((num_ratings - a4) / a4 * 100) > 10.0, false) AS INTEGER) AS d FROM j)
+SELECT 'ratings' AS dataset, period, CASE WHEN as_of IS NULL THEN 'baseline_created' ELSE 'compared' END AS status, as_of AS baseline_version, k AS metrics_checked,
+       d AS metrics_drifted, d > 0 AS drift_detected FROM m""")
 def baseline_bootstrap(m):
-    """With no stored baseline the current statistics are saved and the
-    check reports no drift."""
-    path = scratch_path(m.spark, "drift-baseline")
-    stored = W.load_baseline_stats(m.spark, path)
-    current = A.data_statistics(m.ratings())
-    if stored is None:
-        W.save_baseline_stats(current, path)
-        return current.select(F.lit(False).alias("drift_detected"), F.lit("baseline_created").alias("status"))
-    rows = D.detect_drift(current, stored)
-    return D.drift_verdict(rows).select("drift_detected", F.lit("compared").alias("status"))
+    """Every quarter of the ratings against the versioned baseline as of its start (a snapshot per finished year, its
+    counts per quarter); quarters before the first snapshot become the baseline and report no drift."""
+    r = m.ratings()
+    at = F.timestamp_seconds("timestamp")
+    yearly = D.period_statistics(r, F.year(at)).select(F.lit("ratings").alias("dataset"), "as_of", "avg_rating",
+                                                       *[(F.col(c) / 4).alias(c) for c in ("num_users", "num_movies", "num_ratings")])
+    path = scratch_path(m.spark, "baselines")
+    W.save_snapshots(yearly, path)
+    quarters = D.period_statistics(r, F.date_format(F.date_trunc("quarter", at), "yyyy-MM-dd")).withColumn("dataset", F.lit("ratings"))
+    return D.baseline_checks(quarters, W.load_snapshots(m.spark, path))
+
+
+@register("drift_with_fallback", _ks_sql("""
+, lim AS (SELECT count(*) FILTER (WHERE p_value < 0.05) AS drifted, count(*) AS checked FROM ks),
+  sa AS (SELECT CAST(count(DISTINCT user_id) AS DOUBLE) AS num_users, CAST(count(DISTINCT item_id) AS DOUBLE) AS num_movies, CAST(count(*) AS DOUBLE) AS num_ratings, avg(rating) AS avg_rating FROM a),
+  sb AS (SELECT CAST(count(DISTINCT user_id) AS DOUBLE) AS num_users, CAST(count(DISTINCT item_id) AS DOUBLE) AS num_movies, CAST(count(*) AS DOUBLE) AS num_ratings, avg(rating) AS avg_rating FROM b),
+  ua AS (UNPIVOT sa ON avg_rating, num_users, num_movies, num_ratings INTO NAME metric VALUE x),
+  ub AS (UNPIVOT sb ON avg_rating, num_users, num_movies, num_ratings INTO NAME metric VALUE y),
+  st AS (SELECT count(*) FILTER (WHERE abs((y - x) / x * 100) > 10.0) AS drifted, count(*) AS checked FROM ua JOIN ub USING (metric) WHERE x <> 0)
+SELECT 'ks' AS asked, 'ks' AS method, drifted, checked, drifted > 0 AS drift_detected FROM lim
+UNION ALL SELECT 'stats', 'stats', drifted, checked, drifted > 0 FROM st
+UNION ALL SELECT 'ks without baseline rows', 'stats', 0, 0, false"""))
+def drift_with_fallback(m):
+    """The verdict of both methods, and of the distributional one without baseline rows, which falls back."""
+    a, b = _ks_samples(m)
+    asked = [("ks", a, "ks"), ("stats", a, "stats"), ("ks without baseline rows", a.limit(0), "ks")]
+    parts = [D.drift_with_fallback(base, b, method).withColumn("asked", F.lit(name)) for name, base, method in asked]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("asked", "method", "drifted", "checked", "drift_detected")
 
 
 # ------------------------------------------------------------ more sinks ----
@@ -1032,17 +1064,27 @@ def write_drift_report(m):
 
 # ----------------------------------------------------- pair-free join keys ----
 @register("candidate_pairs", """
-SELECT u.user_id, (SELECT count(*) FROM items) - count(r.item_id) AS candidates
-FROM users u LEFT JOIN ratings r ON u.user_id = r.user_id GROUP BY u.user_id""")
+SELECT u.user_id, (SELECT count(*) FROM items) - count(i.item_id) AS candidates
+FROM users u LEFT JOIN ratings r ON u.user_id = r.user_id LEFT JOIN items i ON r.item_id = i.item_id GROUP BY u.user_id""")
 def candidate_pairs(m):
-    """J11 size per user: unseen items = catalogue size - rated items. The
-    pairs themselves are never materialised (R8 scores them in blocks)."""
+    """J11 size per user: unseen items = catalogue size - rated items of the catalogue. The pairs of all users are never
+    materialised (R8 scores them in blocks)."""
     n_items = m.items().select(F.count(F.lit(1))).scalar()
-    rated = m.ratings().groupBy("user_id").agg(F.count(F.lit(1)).alias("_rated"))
+    rated = m.ratings().join(m.items().select("item_id"), "item_id", "left_semi").groupBy("user_id").agg(F.count(F.lit(1)).alias("_rated"))
     return (m.users().join(rated, "user_id", "left")
             .select("user_id", (n_items - F.coalesce("_rated", F.lit(0))).alias("candidates")))
 
 
+@register("candidate_pairs_bounded", f"""
+, cu AS (SELECT user_id FROM users ORDER BY {_hash_sql('user_id', 3)}, user_id LIMIT 50)
+SELECT user_id, item_id FROM cu, items i WHERE NOT EXISTS (SELECT 1 FROM ratings r WHERE r.user_id = cu.user_id AND r.item_id = i.item_id)""")
+def candidate_pairs_bounded(m):
+    """J11 as pairs: for 50 sampled users every catalogue item that they have not rated. The users travel as one bounded
+    array exploded per item."""
+    ids = M.random_ids(m.users(), "user_id", 50, 3).agg(F.collect_list("user_id").alias("ids")).select("ids").scalar()
+    return M.unrated_pairs(m.items().select(F.explode(ids).alias("user_id"), "item_id"), m.ratings())
+
+
 @register("cross_user_item", f"""
 , gu AS (SELECT user_id FROM users ORDER BY {_hash_sql('user_id', 0)}, user_id LIMIT 500),
   gi AS (SELECT item_id FROM items ORDER BY {_hash_sql('item_id', 1)}, item_id LIMIT 500),
@@ -1063,16 +1105,71 @@ def cross_user_item(m):
         (nu * ni - F.col("rated_in_grid")).alias("unrated_pairs"))
 
 
-@register("schema_drift")
+_SCHEMA_SQL = """
+, cells AS (SELECT date_trunc('day', ts) AS d, date_trunc('hour', ts) AS h, event_type AS name, CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) = regexp_replace(CAST(value AS VARCHAR), '\\.0+$', '') AS whole
+            FROM events WHERE event_type IS NOT NULL AND value IS NOT NULL),
+  cur AS (SELECT d, h, name, CASE WHEN bool_and(whole) THEN 'bigint' ELSE 'double' END AS type FROM cells GROUP BY ALL),
+  days AS (SELECT d, lag(d) OVER (ORDER BY d) AS prev FROM (SELECT DISTINCT d FROM cells) x),
+  base AS (SELECT d, name, CASE WHEN bool_and(whole) THEN 'bigint' ELSE 'double' END AS type FROM cells GROUP BY ALL),
+  hours AS (SELECT DISTINCT h, prev FROM cells JOIN days USING (d)),
+  b AS (SELECT h, name, type FROM hours JOIN base ON base.d = hours.prev),
+  f AS (SELECT coalesce(b.h, c.h) AS h, coalesce(b.name, c.name) AS name, b.type AS was, c.type AS is_ FROM b FULL JOIN (SELECT h, name, type FROM cur) c ON b.h = c.h AND b.name = c.name),
+  g AS (SELECT h, count(was) AS baseline_columns, count(is_) AS current_columns, coalesce(string_agg(CASE WHEN was IS NULL THEN name END, ',' ORDER BY name), '') AS added,
+          coalesce(string_agg(CASE WHEN is_ IS NULL THEN name END, ',' ORDER BY name), '') AS missing, coalesce(string_agg(CASE WHEN was <> is_ THEN name END, ',' ORDER BY name), '') AS type_changed FROM f GROUP BY h)
+SELECT strftime(h, '%Y-%m-%d %H') AS period, CASE WHEN prev IS NULL THEN 'baseline_created' ELSE 'compared' END AS status, baseline_columns, current_columns,
+  CASE WHEN prev IS NULL THEN '' ELSE added END AS added, missing, type_changed, prev IS NOT NULL AND added || missing || type_changed <> '' AS drift_detected
+FROM g JOIN hours USING (h)"""
+
+
+@register("schema_drift", _SCHEMA_SQL)
 def schema_drift(m):
-    """Column names/types of the stored baseline rows against the current
-    sample (metadata comparison), as one row."""
-    path = scratch_path(m.spark, "baseline-rows-schema")
-    W.save_baseline_rows(A.oldest_rows(m.ratings(), 10000), path)
-    out = D.schema_drift(W.load_baseline_rows(m.spark, path), A.latest_rows(m.ratings(), 10000))
-    return m.ratings().limit(1).select(
-        F.lit(out["baseline_columns"]).alias("baseline_columns"), F.lit(out["current_columns"]).alias("current_columns"),
-        F.lit(",".join(out["type_changed"])).alias("type_changed"), F.lit(out["drift_detected"]).alias("drift_detected"))
+    """D6 over the request events: an hour's schema is the event types that deliver a value, with the narrowest type of their
+    values; it is compared with the snapshot as of the hour, the schema of the latest earlier day."""
+    events = m.events().select(F.date_trunc("day", "ts").alias("day"), F.date_trunc("hour", "ts").alias("hour"), F.col("event_type").alias("name"),
+                               F.regexp_replace(F.col("value").cast("string"), r"\.0+$", "").alias("value")).filter("name is not null")
+    events = events.filter("value is not null")
+    path = scratch_path(m.spark, "schemas")
+    daily = D.observed_schema(events.withColumn("as_of", F.unix_timestamp("day")), ["as_of"]).withColumn("dataset", F.lit("events"))
+    W.save_snapshots(daily, path)
+    versions = W.load_snapshots(m.spark, path)
+    hours = events.select("hour", F.unix_timestamp("day").alias("since"), F.lit("events").alias("dataset")).distinct()
+    checks = D.as_of(hours, versions.select("dataset", "as_of").distinct()).select("hour", "dataset", "baseline_version")
+    base = checks.join(versions.withColumnRenamed("as_of", "baseline_version"), ["dataset", "baseline_version"]).select("hour", "name", "type")
+    changes = D.schema_changes(D.observed_schema(events, ["hour"]), base, ["hour"]).join(checks, "hour")
+    first = F.col("baseline_version").isNull()
+    return changes.select(F.date_format("hour", "yyyy-MM-dd HH").alias("period"), F.when(first, "baseline_created").otherwise("compared").alias("status"), "baseline_columns",
+                          "current_columns", F.when(first, "").otherwise(F.col("added")).alias("added"), "missing", "type_changed", (~first & F.col("drift_detected")).alias("drift_detected"))
+
+
+# ------------------------------------------------- one genre, one user, bounded grids ----
+@register("popularity_one_genre", _POP_GENRE_SQL + "SELECT * FROM by_genre WHERE genre = (SELECT min(name) FROM genres)")
+def popularity_one_genre(m):
+    """A4 of a single genre (the first by name)."""
+    name = m.genres().agg(F.min("name")).first()[0]
+    return A.popularity_by_genre(m.ratings(), m.items(), m.item_genres(), m.genres(), name)
+
+
+@register("random_rows_one_user", f"""
+SELECT r.user_id, r.item_id, r.rating, r."timestamp", i.title FROM (SELECT * FROM ratings WHERE user_id = (SELECT min(user_id) FROM ratings)
+  ORDER BY {_hash_sql("user_id, item_id", 42)}, user_id, item_id LIMIT 10) r JOIN items i ON r.item_id = i.item_id""")
+def random_rows_one_user(m):
+    """T8 of a single user (the smallest id with ratings)."""
+    return M.random_rows(m.ratings(), m.items(), 10, 42, m.ratings().agg(F.min("user_id")).first()[0])
+
+
+_GRID_SQL = f"""
+, gu AS (SELECT user_id FROM users ORDER BY {_hash_sql('user_id', 0)}, user_id LIMIT 500),
+  gi AS (SELECT item_id FROM items ORDER BY {_hash_sql('item_id', 1)}, item_id LIMIT 500)
+SELECT user_id, item_id FROM gu, gi WHERE NOT EXISTS (SELECT 1 FROM ratings r WHERE r.user_id = gu.user_id AND r.item_id = gi.item_id)"""
+
+
+@register("unrated_grid", _GRID_SQL)
+def unrated_grid(m):
+    """J6 + J7 as pairs: the 500 sampled users with the 500 sampled items, without the rated pairs. The item sample is one
+    bounded array exploded per user, not a join."""
+    u = M.random_ids(m.users(), "user_id", 500, 0)
+    ids = M.random_ids(m.items(), "item_id", 500, 1).agg(F.collect_list("item_id").alias("ids")).select("ids").scalar()
+    return M.unrated_pairs(u.select("user_id", F.explode(ids).alias("item_id")), m.ratings())
 
 
 @register("data_statistics_approx")

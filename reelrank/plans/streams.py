@@ -16,7 +16,7 @@ from reelrank.operators import analytics as A
 from reelrank.operators import drift as D
 from reelrank.operators import quality as Q
 from reelrank.plans.catalog import POPULAR_MIN, RECENT_DAYS, _POPULAR_TITLES_SQL, register
-from reelrank.session import scratch_path
+from reelrank.session import scratch_path, stored
 from reelrank.sources.schemas import RECO_LOG_WITH_CORRUPT
 from reelrank.streaming import metrics as S
 from reelrank.streaming.runner import run_append, run_complete, run_foreach, stage_events
@@ -129,49 +129,73 @@ def reco_log_stream(m):
 
 
 def _line_ratings(m):
-    li = m.table("lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    li = m.table("lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_linenumber", "l_suppkey")
     o = m.table("orders").select("o_orderkey", "o_custkey", "o_orderdate")
     return (li.join(o, li.l_orderkey == o.o_orderkey)
             .select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id"),
                     (F.least(F.lit(10.0), F.ceil(F.col("l_quantity") / 5)) * 0.5).alias("rating"),
                     ntz_to_epoch("o_orderdate").alias("timestamp"),
                     F.col("o_orderdate").cast("timestamp").alias("event_time"),
-                    F.date_format("o_orderdate", "yyyy-MM").alias("month")))
+                    "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", F.year("o_orderdate").alias("year")))
 
 
-def _staged_rating_stream(m, name):
+def _run_by_year(m, name, sink, prepare=lambda stream: stream):
+    """Streams the rating lines year by year into the sink: the files of a year arrive, the query runs until they are
+    consumed and continues from its checkpoint with the next year. So every micro-batch with data is one year."""
     spark = m.spark
-    path = scratch_path(spark, name)
-    _line_ratings(m).write.partitionBy("month").parquet(path)
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(path)
+    path, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-ck")
+    lines = stored(_line_ratings(m), f"{name}-lines")
+    for r in lines.select("year").distinct().orderBy("year").collect():  # one row per year
+        lines.filter(F.col("year") == r.year).write.mode("append").parquet(path)
+        run_foreach(prepare(spark.readStream.schema(lines.schema).parquet(path)), sink, name, spark, checkpoint)
 
 
-@register("ratings_ingest_stream", "SELECT DISTINCT user_id, item_id FROM li_o")
+@register("ratings_ingest_stream", """
+, l AS (SELECT *, CAST(least(10, ceil(l_quantity / 5)) * 0.5 AS DOUBLE) AS rating FROM li_o)
+SELECT user_id, item_id, rating, "timestamp" FROM (SELECT user_id, item_id, rating, ts AS "timestamp", row_number() OVER (PARTITION BY user_id, item_id
+  ORDER BY ts, l_orderkey, l_linenumber, l_suppkey, l_quantity) AS rn FROM l) s WHERE rn = 1""")
 def ratings_ingest_stream(m):
-    """Monthly rating files -> de-duplication within the watermark ->
-    left-anti append into the ratings table (keys already stored are skipped
-    even after their dedup state expired)."""
+    """Yearly rating files merged into the ratings table: the first rating of each (user, item) in arrival order stays,
+    with its value and time; keys already stored are found in the touched buckets only."""
     spark = m.spark
     target = scratch_path(spark, "s7-target")
-    dedup = S.ingest_dedup(_staged_rating_stream(m, "s7-src"), ["user_id", "item_id"])
-    run_foreach(dedup.drop("month"), S.append_new_keys(target, ["user_id", "item_id"]), "s7", spark)
+    order = ["timestamp", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity"]
+    _run_by_year(m, "s7-src", S.merge_new_keys(target, ["user_id", "item_id"], order, 16), lambda stream: stream.drop("year", "event_time"))
+    return spark.read.parquet(target).select("user_id", "item_id", "rating", "timestamp")
+
+
+@register("ratings_ingest_dedup", "SELECT DISTINCT user_id, item_id FROM li_o")
+def ratings_ingest_dedup(m):
+    """S7 with watermarked de-duplication before the merge: the keys of all rating lines."""
+    spark = m.spark
+    target = scratch_path(spark, "s7d-target")
+    _run_by_year(m, "s7d-src", S.merge_new_keys(target, ["user_id", "item_id"], ["timestamp", "l_orderkey"], 16),
+                 lambda stream: S.ingest_dedup(stream, ["user_id", "item_id"]).drop("year"))
     return spark.read.parquet(target).select("user_id", "item_id")
 
 
-@register("drift_stream")
+@register("drift_stream", f"""
+, l AS (SELECT *, CAST(least(10, ceil(l_quantity / 5)) * 0.5 AS DOUBLE) AS rating, year(to_timestamp(ts)) AS y FROM li_o),
+  b AS (SELECT y, dense_rank() OVER (ORDER BY y) - 1 AS batch_id FROM (SELECT DISTINCT y FROM l) s),
+  cur AS (SELECT batch_id, CAST(count(DISTINCT user_id) AS DOUBLE) AS num_users, CAST(count(DISTINCT item_id) AS DOUBLE) AS num_movies,
+                 CAST(count(*) AS DOUBLE) AS num_ratings, avg(rating) AS avg_rating FROM l JOIN b USING (y) GROUP BY batch_id),
+  base AS (SELECT CAST(count(DISTINCT user_id) AS DOUBLE) AS num_users, CAST(count(DISTINCT item_id) AS DOUBLE) AS num_movies,
+                  CAST(count(*) AS DOUBLE) AS num_ratings, coalesce(avg(rating), 0.0) AS avg_rating FROM ratings
+           WHERE "timestamp" < (SELECT max("timestamp") FROM ratings) - {RECENT_DAYS} * 86400),
+  lc AS (UNPIVOT cur ON avg_rating, num_users, num_movies, num_ratings INTO NAME metric VALUE current),
+  lb AS (UNPIVOT base ON avg_rating, num_users, num_movies, num_ratings INTO NAME metric VALUE baseline)
+SELECT CAST(batch_id AS INTEGER) AS batch_id, metric, round(baseline, 9) AS baseline, round(current, 9) AS current, round(abs((current - baseline) / baseline * 100), 2) AS change_pct,
+       CASE WHEN abs((current - baseline) / baseline * 100) > 10.0 THEN 'drift_detected' ELSE 'normal' END AS status
+FROM lc JOIN lb USING (metric) WHERE baseline <> 0""")
 def drift_stream(m):
-    """Every micro-batch of new ratings is compared with a fixed baseline
-    (statistics of ratings older than one year); drift rows per batch."""
+    """Every micro-batch (a year of rating lines) is compared with a fixed baseline (statistics of ratings older than one
+    year); drift rows per batch, replaced as a whole when a batch runs again."""
     spark = m.spark
     r = m.ratings()
     max_ts = r.select(F.max("timestamp")).scalar()
-    baseline = A.data_statistics(r.filter(F.col("timestamp") < max_ts - RECENT_DAYS * 86400)).cache()
+    baseline = stored(A.data_statistics(r.filter(F.col("timestamp") < max_ts - RECENT_DAYS * 86400)), "s8-baseline")
     out = scratch_path(spark, "s8-out")
-
-    def check(batch, batch_id):
-        rows = D.detect_drift(A.data_statistics(batch), baseline)
-        rows.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
-
-    run_foreach(_staged_rating_stream(m, "s8-src").drop("month", "event_time"), check, "s8", spark)
-    return spark.read.parquet(out)
+    _run_by_year(m, "s8-src", S.replace_batch(out, lambda batch: D.detect_drift(A.data_statistics(batch), baseline)))
+    got = spark.read.option("basePath", out).parquet(f"{out}/batch_id=*")
+    return got.select(F.col("batch_id").cast("int").alias("batch_id"), "metric", F.round("baseline", 9).alias("baseline"), F.round("current", 9).alias("current"),
+                      "change_pct", "status")

@@ -10,7 +10,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Conf applied to sessions this library builds (tests, bench). On a cluster the
 # same keys belong in the job submission; AQE re-plans joins and coalesces
@@ -71,6 +71,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write to a fresh table in the shared checkpoint folder and read it back: computed once, lineage cut, safe against
+    lost executors. The table goes when the application ends."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def require_utc(spark: SparkSession) -> None:
     """Day bucketing (P11) and ISO parsing are defined in UTC."""
     tz = spark.conf.get("spark.sql.session.timeZone")

@@ -86,6 +86,17 @@ def load_baseline_stats(spark: SparkSession, path: str):
     return None if df.isEmpty() else df
 
 
+def save_snapshots(rows: DataFrame, path: str) -> None:
+    """Versioned baselines: rows with `dataset` and `as_of` (epoch seconds), one version per value of `as_of`. A version that
+    is saved again replaces itself; the others stay."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset", "as_of").parquet(path)
+
+
+def load_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """All versions; a reader takes the latest one before its time (`drift.as_of`)."""
+    return spark.read.parquet(path).withColumn("as_of", F.col("as_of").cast("bigint"))
+
+
 def save_baseline_rows(rows: DataFrame, path: str) -> None:
     """save_baseline_rows: the (already capped) sample, overwrite."""
     rows.write.mode("overwrite").parquet(path)

@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from reelrank.functions.columns import ntz_to_epoch
 from reelrank.session import scratch_path
-from reelrank.operators.joins import broadcast_if_bounded
 
 # Fixed values of the derived model.
 TITLE_YEAR_BASE = 1980
@@ -116,9 +115,8 @@ class DriverModel:
         return dense_ids(self._name_words().select("tag"), "tag", "tagId")
 
     def raw_genome_scores(self) -> DataFrame:
-        # One score per (item, word of its name); broadcast of the tag table is
-        # bounded by the vocabulary of names.
-        tags = broadcast_if_bounded(self.raw_genome_tags())
+        # One score per (item, word of its name).
+        tags = self.raw_genome_tags()
         return (self._name_words().join(tags, "tag")
                 .select(F.col("p_partkey").alias("movieId"), "tagId",
                         (F.pmod(F.col("p_partkey") * 31 + F.col("tagId") * 7, F.lit(1000)) / 1000)

@@ -9,6 +9,8 @@ milliseconds, `ts` the event time (zoned TIMESTAMP: watermarks reject NTZ).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,26 +130,39 @@ def ingest_dedup(batches: DataFrame, keys: list[str], watermark: str = "30 days"
     return batches.withWatermark(event_col, watermark).dropDuplicatesWithinWatermark(keys)
 
 
-def append_new_keys(target_path: str, keys: list[str], max_batch_keys: int = 5_000_000):
-    """foreachBatch sink of S7: append the batch rows whose key is not stored.
+def merge_new_keys(target_path: str, keys: list[str], order: list[str], buckets: int = 256):
+    """foreachBatch sink of S7: append the batch rows whose key is not stored, one row per key (the first by `order`).
 
-    A micro-batch is bounded by the source's maxFilesPerTrigger, so its key
-    set is broadcast (size checked) and the stored table is only scanned on
-    its key columns with a map-side semi-join: the target is never shuffled.
-    The (small) set of clashing keys then removes rows from the batch.
+    The target is partitioned by a hash of the key, so a batch reads the keys of the buckets that it touches and no
+    others. Old rows are never rewritten, and a replayed batch finds its own keys and adds nothing.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         spark: SparkSession = batch.sparkSession
-        batch = batch.persist()
-        if not path_exists(spark, target_path):  # first batch: no target yet
-            fresh = batch
-        else:
-            target = spark.read.parquet(target_path).select(*keys)
-            bkeys = batch.select(*keys).distinct()
-            if bkeys.count() <= max_batch_keys:
-                bkeys = F.broadcast(bkeys)
-            clashes = target.join(bkeys, keys, "left_semi")
-            fresh = batch.join(clashes, keys, "left_anti")
-        fresh.write.mode("append").parquet(target_path)
-        batch.unpersist()
+        rest = [c for c in batch.columns if c not in keys]
+        first = batch.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
+        fresh = first.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+        try:
+            if path_exists(spark, target_path):
+                touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # at most `buckets` numbers
+                stored = spark.read.parquet(target_path).filter(F.col("bucket").isin(touched)).select("bucket", *keys)
+                new = fresh.join(stored, ["bucket", *keys], "left_anti")
+            else:
+                new = fresh
+            new.select(*keys, *rest, "bucket").repartition("bucket").write.mode("append").partitionBy("bucket").parquet(target_path)
+        finally:
+            fresh.unpersist()
+    return run
+
+
+def replace_batch(target_path: str, rows):
+    """foreachBatch sink of S8: `rows(batch)` becomes the table's part of this batch id, replacing what an earlier attempt of
+    the batch wrote. The part is written aside and moved into place by one rename, so a reader sees the old or the new."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark: SparkSession = batch.sparkSession
+        part, aside = f"{target_path}/batch_id={batch_id}", f"{target_path}/_new/{batch_id}-{uuid.uuid4().hex}"
+        rows(batch).write.parquet(aside)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = path(target_path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.delete(path(part), True)
+        fs.rename(path(aside), path(part))
     return run

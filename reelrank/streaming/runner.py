@@ -61,8 +61,9 @@ def run_complete(stream: DataFrame, name: str, spark: SparkSession, mode: str =
     return spark.read.parquet(out)
 
 
-def run_foreach(stream: DataFrame, fn, name: str, spark: SparkSession) -> None:
-    ck = scratch_path(spark, name + "-ck")
+def run_foreach(stream: DataFrame, fn, name: str, spark: SparkSession, checkpoint: str | None = None) -> None:
+    """Everything that has arrived, through `fn(batch, batch_id)`; a given checkpoint continues an earlier run."""
+    ck = checkpoint or scratch_path(spark, name + "-ck")
     with state_partitions(spark):
         q = stream.writeStream.foreachBatch(fn).option("checkpointLocation", ck).trigger(availableNow=True).start()
     q.awaitTermination()

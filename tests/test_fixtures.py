@@ -214,9 +214,8 @@ def test_list_metrics_properties(spark):
         assert got[i].list_size == len(names)
 
 
-def test_dense_ids_both_paths(spark, monkeypatch):
+def test_dense_ids_do_not_depend_on_partitions(spark):
     names = spark.createDataFrame([(w,) for w in ["b", "a", "c", "a", "d", "b"]], "name string")
-    small = {r.name: r.gid for r in I.dense_ids(names, "name", "gid").collect()}
-    monkeypatch.setattr(I, "MAX_SINGLE_TASK_VOCABULARY", 2)
-    big = {r.name: r.gid for r in I.dense_ids(names.repartition(3), "name", "gid").collect()}
-    assert small == big == {"a": 1, "b": 2, "c": 3, "d": 4}
+    for df in (names, names.repartition(3), names.coalesce(1)):
+        assert {r.name: r.gid for r in I.dense_ids(df, "name", "gid").collect()} == {"a": 1, "b": 2, "c": 3, "d": 4}
+    assert I.dense_ids(names.filter("false"), "name", "gid").count() == 0

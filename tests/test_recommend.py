@@ -39,8 +39,8 @@ def test_topn_matches_brute_force(spark, planted):
     req = spark.createDataFrame([(0,), (5,), (59,), (12345,)], "user_id bigint")
     got = R.recommend_users(model, req, planted, items, 5).collect()
     # brute force with the same factors
-    uf = {r.id: np.array(r.features) for r in model.als.userFactors.collect()}
-    itf = {r.id: np.array(r.features) for r in model.als.itemFactors.collect()}
+    uf = {r.user_id: np.array(r.features) for r in model.user_factors.collect()}
+    itf = {r.item_id: np.array(r.features) for r in model.item_factors.collect()}
     bu = {r.user_id: r.b_u for r in model.user_bias.collect()}
     bi = {r.item_id: r.b_i for r in model.item_bias.collect()}
     rated = {}
@@ -69,6 +69,36 @@ def test_topn_blocks_equal_single_block(spark, planted, monkeypatch):
     assert one == many
 
 
+def test_topn_bounds_skip_blocks_and_keep_ties(spark, monkeypatch):
+    """Items of steeply falling bias: users need few of the blocks. Scores clipped at 5.0 tie and go to the smaller id."""
+    users, items = 40, 400
+    uf = spark.createDataFrame([(u, [0.1 * (u % 3), 0.1]) for u in range(users)], "user_id long, features array<double>")
+    itf = spark.createDataFrame([(i, [0.1 * (i % 5), -0.1]) for i in range(items)], "item_id long, features array<double>")
+    bu = spark.createDataFrame([(u, 0.0) for u in range(users)], "user_id long, b_u double")
+    bi = spark.createDataFrame([(i, 3.0 if 100 <= i < 108 else -i / 200) for i in range(items)], "item_id long, b_i double")
+    model = R.MFModel(3.0, bu, bi, uf, itf, 2)
+    rated = spark.createDataFrame([(u, i) for u in range(users) for i in (100 + u % 8, u)], "user_id long, item_id long")
+    monkeypatch.setattr(R, "ITEMS_PER_BLOCK", 10)
+    monkeypatch.setattr(R, "USERS_PER_CHUNK", 9)
+    top, pairs = R.top_items(model, bu.select("user_id"), rated, 5)
+    got = {}
+    for r in top.orderBy("user_id", "rank").collect():
+        got.setdefault(r.user_id, []).append(r.item_id)
+    assert got == {u: [i for i in range(100, 108) if i != 100 + u % 8][:5] for u in range(users)}
+    scored = pairs.count()
+    assert users <= scored < users * items / 10 / 4  # fewer than a quarter of all user-block pairs
+
+
+def test_ids_beyond_int(spark, planted):
+    big = planted.withColumn("user_id", F.col("user_id") + 3_000_000_000).withColumn("item_id", F.col("item_id") + 5_000_000_000)
+    small, large = R.fit_mf(planted, rank=2, max_iter=3, seed=1), R.fit_mf(big, rank=2, max_iter=3, seed=1)
+    pairs = planted.select("user_id", "item_id").limit(50)
+    a = {(r.user_id, r.item_id): r.est for r in R.predict_pairs(small, pairs).collect()}
+    b = {(r.user_id - 3_000_000_000, r.item_id - 5_000_000_000): r.est for r in R.predict_pairs(
+        large, pairs.select((F.col("user_id") + 3_000_000_000).alias("user_id"), (F.col("item_id") + 5_000_000_000).alias("item_id"))).collect()}
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-3) for k in a)
+
+
 def test_top_n_bounds(spark, planted):
     model = R.fit_mf(planted, rank=2, max_iter=2)
     with pytest.raises(ValueError):
@@ -109,12 +139,13 @@ def _knn_brute(train_rows, queries, k, mu):
 
 def test_knn_matches_brute_force(spark, planted, monkeypatch):
     from reelrank.operators import knn as K
+    from reelrank.operators.joins import salted_join
     train = planted.filter("timestamp % 3 != 0")
     test = planted.filter("timestamp % 3 = 0").select("user_id", "item_id")
     extra = spark.createDataFrame([(12345, 100), (0, 99999)], "user_id bigint, item_id bigint")
     q = test.unionByName(extra)
     rows = [(r.user_id, r.item_id, float(r.rating)) for r in train.collect()]
-    monkeypatch.setattr(K, "USERS_PER_CHUNK", 17)  # several chunks
+    monkeypatch.setattr(K, "salted_join", lambda a, b, key: salted_join(a, b, key, 7))  # every item is hot
     model = K.fit_knn(train, k=5)
     got = {(r.user_id, r.item_id): r.est for r in K.predict_knn(model, q).collect()}
     want = _knn_brute(rows, [(r.user_id, r.item_id) for r in q.collect()], 5, model.mu)
@@ -123,19 +154,28 @@ def test_knn_matches_brute_force(spark, planted, monkeypatch):
         assert got[key] == pytest.approx(v, abs=1e-9), key
 
 
-def test_grid_size_bounds():
-    # memory bound: no group above USERS_PER_CHUNK x ITEMS_PER_BLOCK
-    c, b = R.grid_size(10_000_000, 1_000_000, 4000)
-    assert -(-10_000_000 // c) <= R.USERS_PER_CHUNK and -(-1_000_000 // b) <= R.ITEMS_PER_BLOCK
-    # parallelism: about two groups per core, never below MIN_USERS_PER_CHUNK users per chunk
-    c, b = R.grid_size(15_000, 20_000, 8)
-    assert (c, b) == (16, 1)
-    c, b = R.grid_size(1_000, 20_000, 64)
-    assert c == 2 and b == 1
-    assert R.grid_size(1, 1, 8) == (1, 1)
-
-
-@pytest.mark.parametrize("kind", ["knn", "normal", "mf"])
+def test_all_folds_in_one_pass_equal_single_fits(spark, planted):
+    from reelrank.operators import knn as K
+    from reelrank.operators.sampling import kfold
+    data = kfold(planted.select("user_id", "item_id", F.col("rating").cast("double").alias("rating")), ["user_id", "item_id"], 3, 5).cache()
+    knn = {(r.user_id, r.item_id): r.est for r in K.predict_folds(data, 3, 5).collect()}
+    rated = data.withColumnRenamed("rating", "r")
+    bias = {(r.user_id, r.item_id): r.est for r in E.bias_folds(rated, 3).collect()}
+    normal = {(r.user_id, r.item_id): r.est for r in E.normal_folds(rated, 3, 9).collect()}
+    assert len(knn) == len(bias) == len(normal) == data.count()
+    none = spark.createDataFrame([], "user_id long, features array<double>")
+    for f in range(3):
+        train, test = data.filter(F.col("fold") != f), data.filter(F.col("fold") == f)
+        for r in K.predict_knn(K.fit_knn(train, 5), test).collect():
+            assert knn[(r.user_id, r.item_id)] == pytest.approx(r.est, abs=1e-9)
+        model = R.MFModel(*R.fit_biases(train, *E.BIAS_REG), none, none.withColumnRenamed("user_id", "item_id"), 0)
+        for r in R.predict_pairs(model, test).collect():
+            assert bias[(r.user_id, r.item_id)] == pytest.approx(r.est, abs=1e-9)
+        for r in R.predict_normal(R.fit_normal(train), test, 9).collect():
+            assert normal[(r.user_id, r.item_id)] == pytest.approx(r.est, abs=1e-9)
+
+
+@pytest.mark.parametrize("kind", ["knn", "normal", "mf", "bias"])
 def test_any_winner_is_saved_and_predicts_the_same(spark, tmp_path, kind):
     from reelrank.operators import evaluate as E
     from reelrank.operators import knn as K
@@ -147,6 +187,8 @@ def test_any_winner_is_saved_and_predicts_the_same(spark, tmp_path, kind):
     assert name == kind
     pairs = train.select("user_id", "item_id", "rating")
     got = {(r.user_id, r.item_id): r.est for r in E.predict_with(kind, model, pairs, 3).collect()}
-    fresh = {"knn": K.fit_knn, "normal": R.fit_normal, "mf": lambda t: R.fit_mf(t, seed=3)}[kind](train)
+    none = spark.createDataFrame([], "user_id long, features array<double>")
+    bias = lambda t: R.MFModel(*R.fit_biases(t, *E.BIAS_REG), none, none.withColumnRenamed("user_id", "item_id"), 0)
+    fresh = {"knn": K.fit_knn, "normal": R.fit_normal, "mf": lambda t: R.fit_mf(t, seed=3), "bias": bias}[kind](train)
     want = {(r.user_id, r.item_id): r.est for r in E.predict_with(kind, fresh, pairs, 3).collect()}
     assert len(got) == len(rows) and all(abs(got[k] - want[k]) < 1e-4 for k in want)
