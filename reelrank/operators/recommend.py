@@ -37,7 +37,7 @@ from reelrank.session import ship_package, stored
 # Block sizing of the top-N product (rows per side of one group).
 USERS_PER_CHUNK = 2_000
 ITEMS_PER_BLOCK = 4_096
-SCORE_BATCH = 256
+SCORE_BATCH = 64
 ALS_BLOCKS = 10        # part of the model: results must not depend on the cluster's size
 
 
@@ -151,7 +151,7 @@ def item_blocks(model: MFModel, spread: float, size: int) -> DataFrame:
 def _block_topn(n: int, mu: float, rank: int):
     """Top n of one item block for the users of one chunk: cogroup of user and rated rows with the block's row."""
 
-    def top(ids, q, bi, user, p, bu, rated_row, rated_item):
+    def top(ids, q, bi, user, p, bu, nth, rated_row, rated_item):
         k = min(n, len(ids))
         for start in range(0, len(user), SCORE_BATCH):
             end = min(start + SCORE_BATCH, len(user))
@@ -159,10 +159,13 @@ def _block_topn(n: int, mu: float, rank: int):
             np.clip(s, RATING_MIN, RATING_MAX, out=s)
             i, j = np.searchsorted(rated_row, [start, end])
             s[rated_row[i:j] - start, rated_item[i:j]] = -np.inf
-            # k-th best value per row; every entry >= it is a candidate (ties included), then one sort by (row, -score,
-            # item) and the first k per row are kept
-            kth = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k]
-            row, col = np.nonzero((s >= kth[:, None]) & np.isfinite(s))
+            # every entry at or above the user's known n-th score, else the k-th best of the row, is a candidate (ties
+            # included); one sort by (row, -score, item) and the first k per row are kept
+            least = nth[start:end].copy()
+            new = np.flatnonzero(np.isnan(least))
+            if len(new):
+                least[new] = np.partition(s[new], len(ids) - k, axis=1)[:, len(ids) - k]
+            row, col = np.nonzero(s >= np.maximum(least, RATING_MIN)[:, None])  # rated ones are below the scale
             value = s[row, col]
             order = np.lexsort((col, -value, row))
             row, col, value = row[order], col[order], value[order]
@@ -178,7 +181,7 @@ def _block_topn(n: int, mu: float, rank: int):
             bi = right["b"].combine_chunks().flatten().to_numpy()
             user = wanted["user_id"].to_numpy()
             order = np.argsort(user)
-            user, bu = user[order], wanted["b_u"].to_numpy()[order]
+            user, bu, nth = user[order], wanted["b_u"].to_numpy()[order], wanted["nth"].to_numpy()[order].astype(float)
             p = wanted["features"].combine_chunks().flatten().to_numpy().reshape(len(user), rank)[order]
             rated = left.filter(pa.compute.equal(left["kind"], 1))
             of, item = rated["user_id"].to_numpy(), rated["item_id"].to_numpy()
@@ -186,7 +189,7 @@ def _block_topn(n: int, mu: float, rank: int):
             hit = (user[row] == of) & (ids[col] == item)
             row, col = row[hit], col[hit]
             by = np.argsort(row, kind="stable")
-            found = list(top(ids, q, bi, user, p, bu, row[by], col[by]))
+            found = list(top(ids, q, bi, user, p, bu, nth, row[by], col[by]))
         u, i, v = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"user_id": pa.array(u, pa.int64()), "item_id": pa.array(i, pa.int64()), "score": pa.array(v, pa.float64())})
 
@@ -194,14 +197,15 @@ def _block_topn(n: int, mu: float, rank: int):
 
 
 def score_blocks(users: DataFrame, rated: DataFrame, blocks: DataFrame, n: int, mu: float, rank: int, chunks: int) -> DataFrame:
-    """(user_id, item_id, score): for every row of users (user_id, features, b_u, block) the n best unrated items of that block.
-    rated: user_id, item_id, block."""
+    """(user_id, item_id, score): for every row of users (user_id, features, b_u, block, nth) the n best unrated items of that
+    block, of those that score at least nth where it is known. rated: user_id, item_id, block."""
     ship_package(users.sparkSession)
     chunk = F.pmod(F.xxhash64("user_id"), F.lit(chunks)).alias("chunk")
-    wanted = users.select("block", chunk, "user_id", "features", "b_u", F.lit(None).cast("bigint").alias("item_id"), F.lit(0).alias("kind"))
+    wanted = users.select("block", chunk, "user_id", "features", "b_u", "nth", F.lit(None).cast("bigint").alias("item_id"), F.lit(0).alias("kind"))
     seen = rated.select("block", chunk, "user_id", F.lit(None).cast("array<double>").alias("features"), F.lit(None).cast("double").alias("b_u"),
-                        "item_id", F.lit(1).alias("kind"))
+                        F.lit(None).cast("double").alias("nth"), "item_id", F.lit(1).alias("kind"))
     active = users.select("block", chunk).distinct()
+    seen = seen.join(active, ["block", "chunk"], "left_semi").select(wanted.columns)
     sides = blocks.select("block", "ids", "q", "b").join(active, "block")
     return (wanted.unionByName(seen).groupBy("block", "chunk").cogroup(sides.groupBy("block", "chunk"))
             .applyInArrow(_block_topn(n, mu, rank), "user_id bigint, item_id bigint, score double"))
@@ -234,13 +238,13 @@ def top_items(model: MFModel, requested: DataFrame, ratings: DataFrame, n: int =
     rated = stored(ratings.select("user_id", "item_id").join(wanted, "user_id", "left_semi").join(where, "item_id"), "topn-rated")
     cols = ["user_id", "features", "b_u", "block"]
     first = with_bounds(users, blocks, model.mu).withColumn("block", -F.array_max("bounds")["neg"]).filter(F.col("block").isNotNull())
-    found = stored(score_blocks(first.select(*cols), rated, blocks, n, model.mu, model.rank, chunks), "topn-first")
+    found = stored(score_blocks(first.select(*cols, F.lit(None).cast("double").alias("nth")), rated, blocks, n, model.mu, model.rank, chunks), "topn-first")
     # The n-th score of a user rules out the blocks that cannot reach it; an equal bound may still hold a smaller item id.
     nth = _best(found, n).groupBy("user_id").agg(F.when(F.count(F.lit(1)) == n, F.min("score")).alias("nth"))
     more = (first.withColumnRenamed("block", "_first").join(nth, "user_id", "left")
             .withColumn("e", F.explode(F.filter("bounds", lambda e: F.coalesce(e["bound"] >= F.col("nth"), F.lit(True)))))
             .withColumn("block", -F.col("e.neg")).filter(F.col("block") != F.col("_first")))
-    more = stored(more.select(*cols), "topn-more")
+    more = stored(more.select(*cols, "nth"), "topn-more")
     rest = score_blocks(more, rated, blocks, n, model.mu, model.rank, chunks)
     pairs = first.select("user_id", "block").unionByName(more.select("user_id", "block"))
     return _best(found.unionByName(rest), n), pairs
