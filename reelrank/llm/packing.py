@@ -6,8 +6,9 @@ rest is cut at reciprocal capacities (floor(C/(i+1))) until what is left is with
 bin of class i wastes at most C*slack (or i) positions. A worker's last, partly filled bins (fewer than i pieces each)
 are emptied and refilled next-fit by falling length; they are few against the `PIECES_PER_WORKER` pieces it packs.
 
-Null text counts as empty: such a document is the single end id. Equal rows are packed once each. An empty table gives
-an empty result. Extra columns of the input are not read.
+The tokenizer is used as its file has it: strings of added tokens in a text become those tokens. Null text counts as
+empty: such a document is the single end id. Equal rows are packed once each; pieces of equal length are placed in row
+order. Very long texts are tokenized whole. An empty table gives an empty result. Extra columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -49,14 +50,16 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         vocab = self.tok.get_vocab()
+        # texts that hold an added token's string, in any case, are the tokenizer's own business
+        added = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(added) or "(?!)", re.IGNORECASE)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for word, i in vocab.items():
             self.ends[i] = word.endswith("</w>")
         probe = "The müße don't 42 %%, Été"
-        self.by_word = bool(self.ends.any())
         self.cache: dict[str, bytes] = {}
+        self.by_word = bool(self.ends.any())
         self.by_word = self.by_word and self.encode(probe) == self._whole(probe)
 
     def _whole(self, text: str) -> bytes:
@@ -75,27 +78,26 @@ class WordTokenizer:
                 self.cache[w] = raw[at:c]
                 at = c
 
+    def _words(self, text: str) -> list[str] | None:
+        """The pre-tokens of a text that splits by the rules above, else None."""
+        if self.by_word and _SIMPLE.fullmatch(text) and not self.added.search(text):
+            return _PRETOKEN.findall(text.lower())
+        return None
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; each text is split once, and the new pre-tokens of all
+        of them are learned together."""
+        split = [self._words(t) for t in texts]
+        new = set().union(*(w for w in split if w)).difference(self.cache)
+        if len(self.cache) + len(new) > CACHE_WORDS:
+            self.cache.clear()
+            new = set().union(*(w for w in split if w))
+        self._learn(list(new))
+        known = self.cache.__getitem__
+        return [self._whole(t) if w is None else b"".join(map(known, w)) for t, w in zip(texts, split)]
+
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers, without special tokens."""
-        if not (self.by_word and _SIMPLE.fullmatch(text)):
-            return self._whole(text)
-        words = _PRETOKEN.findall(text.lower())
-        try:
-            return b"".join(map(self.cache.__getitem__, words))
-        except KeyError:
-            new = [w for w in dict.fromkeys(words) if w not in self.cache]
-            if len(self.cache) + len(new) > CACHE_WORDS:
-                self.cache.clear()
-                new = list(dict.fromkeys(words))
-            self._learn(new)
-            return b"".join(map(self.cache.__getitem__, words))
-
-    def prepare(self, texts: list[str]) -> None:
-        """Learn the new pre-tokens of many texts together."""
-        if self.by_word:
-            new = {w for t in texts if _SIMPLE.fullmatch(t) for w in _PRETOKEN.findall(t.lower())}.difference(self.cache)
-            if len(self.cache) + len(new) <= CACHE_WORDS:
-                self._learn(list(new))
+        return self.encode_all([text])[0]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -134,10 +136,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             for k in range(0, len(texts), 256):
-                tok.prepare(texts[k: k + 256])
+                encoded = tok.encode_all(texts[k: k + 256])
                 row, start, length, crc, total, ids = [], [], [], [], [], []
-                for i, t in enumerate(texts[k: k + 256], k):
-                    raw = memoryview(tok.encode(t) + end)
+                for i, own in enumerate(encoded, k):
+                    raw = memoryview(own + end)
                     n = len(raw) // 4
                     rest = n % capacity
                     if rest not in cuts:

@@ -16,7 +16,6 @@ def plain():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: np.asarray(t.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
@@ -26,12 +25,23 @@ def test_ids_equal_the_tokenizer(text):
     assert (np.frombuffer(P.tokenizer(PATH).encode(text), np.uint32) == _plain()(text)).all()
 
 
+@pytest.mark.parametrize("text", ["hello <|endoftext|> world", "<|startoftext|>a<|endoftext|>", "a <|ENDOFTEXT|> b", "x<|endoftext|", "don't <|endoftext|> É %%"])
+def test_strings_of_added_tokens_are_those_tokens(text):
+    assert (np.frombuffer(P.tokenizer(PATH).encode(text), np.uint32) == _plain()(text)).all()
+
+
+def test_a_full_cache_changes_no_ids(monkeypatch):
+    monkeypatch.setattr(P, "CACHE_WORDS", 20)
+    t = P.WordTokenizer(PATH)
+    texts = [f"w{i} word{i} other {i}" for i in range(60)] + ["", "é中 whole"]
+    assert t.encode_all(texts) == t.encode_all(texts) == [_plain()(x).tobytes() for x in texts]
+
+
 def _plain(cache={}):
     if not cache:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(PATH)
-        t.encode_special_tokens = True
         cache["f"] = lambda text: np.asarray(t.encode(text, add_special_tokens=False).ids, np.uint32)
     return cache["f"]
 
