@@ -46,6 +46,18 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_memory() -> None:
+    """Give freed memory of a Python worker back to the system: workers are reused, and the C library otherwise keeps the
+    peak of every earlier group."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def crc_mod(col: str | Column, m: int) -> Column:
     """crc32 of the value's text, modulo m; a null id counts as the empty text."""
     c = F.col(col) if isinstance(col, str) else col

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, bounded_batches, by_shard, flat, mix64, parts_for, row_blocks, shard_of, store, text_bytes, word_hashes
+from .common import STEP_BYTES, bounded_batches, by_shard, flat, free_memory, mix64, parts_for, row_blocks, shard_of, store, text_bytes, word_hashes
 
 CHUNK_BYTES = 16 << 20
 SHARD_BYTES = 64 << 20
@@ -195,25 +195,28 @@ class Subtrees:
         for _ in range(depth - TOP - 1):
             c, n, _ = self.levels[-1]
             up, at = np.unique(((c >> np.uint64(16)) << np.uint64(8)) | (c & np.uint64(255)), return_inverse=True)
-            self.levels.append((up, np.bincount(at, n, len(up)), at))
+            self.levels.append((up, np.bincount(at, n, len(up)), at.astype(np.int32)))
 
     def decision(self, j: int):
-        """Of the j-th bit, per level: node of each code, first code of each node, zeros, ones, log Pe - log children, log Pw."""
-        out = []
+        """Of the j-th bit, level by level from the deepest: node of each code, first code of each node, zeros, ones, log Pe -
+        log children, log Pw. Only one level is held at a time."""
+        low = low_w = None
         for c, n, at in self.levels:
             node = c >> np.uint64(8 - j)
             first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-            run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(c))))
-            bit = (c >> np.uint64(7 - j)) & np.uint64(1) == 1
-            a, b = np.add.reduceat(np.where(bit, 0, n), first), np.add.reduceat(np.where(bit, n, 0), first)
+            run = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(c))))
+            del node
+            ones = np.where((c >> np.uint64(7 - j)) & np.uint64(1) == 1, n, 0)
+            b = np.add.reduceat(ones, first)
+            a = np.add.reduceat(n, first) - b
+            del ones
             e = w = log_kt(a, b)
             r = None
-            if out:
-                _, low, _, _, _, low_w = out[-1]
+            if low is not None:
                 below = np.bincount(run[at[low]], low_w, len(first))
                 r, w = e - below, np.logaddexp(e, below) - np.log(2)
-            out.append((run, first, a, b, r, w))
-        return out
+            yield run, first, a, b, r, w
+            low, low_w = first, w
 
     def weights(self) -> tuple[np.ndarray, np.ndarray]:
         """Counts and summed weights for level `TOP`: key = pair * 512 + slot, slot = 256 + byte or the decision's node."""
@@ -221,7 +224,8 @@ class Subtrees:
         pair = _pair(c)
         keys, values = [pair * 512 + 256 + (c & np.uint64(255)).astype(np.int64)], [n.astype(np.int64)]
         for j in range(8):
-            _, first, _, _, _, w = self.decision(j)[-1]
+            for _, first, _, _, _, w in self.decision(j):
+                pass  # the highest level is the last
             slot = (1 << j) | ((c[first] & np.uint64(255)) >> np.uint64(8 - j)).astype(np.int64)
             keys.append(pair[first] * 512 + slot), values.append(np.rint(w * _STEPS).astype(np.int64))
         keys, at = np.unique(np.concatenate(keys), return_inverse=True)
@@ -232,15 +236,17 @@ class Subtrees:
     def log10_codes(self, top: FrozenCTW) -> np.ndarray:
         """log10 P(byte | context) of every code."""
         c = self.levels[0][0]
-        at = [np.arange(len(c))]
+        last = np.arange(len(c), dtype=np.int32)
         for _, _, up in self.levels[1:]:
-            at.append(up[at[-1]])
-        row = top.index[_pair(self.levels[-1][0])][at[-1]]
-        byte = (c & np.uint64(255)).astype(np.int64)
+            last = up[last]
+        row = top.index[_pair(self.levels[-1][0])][last]
+        del last
+        byte = (c & np.uint64(255)).astype(np.int16)
         out = np.zeros(len(c))
         for j in range(8):
-            p = None
-            for own, (run, _, a, b, r, _) in zip(at, self.decision(j)):
+            p = own = None
+            for (_, _, up), (run, _, a, b, r, _) in zip(self.levels, self.decision(j)):
+                own = np.arange(len(c), dtype=np.int32) if own is None else up[own]
                 node = run[own]
                 kt = _kt(a, b)[node]
                 p = kt if p is None else p + (kt - p) * _weight(r)[node]
@@ -313,6 +319,7 @@ def _top_levels(asked: DataFrame, depth: int) -> FrozenCTW:
 
     def run(key, group):
         keys, values = _subtrees(group, depth)[0].weights()
+        free_memory()
         return pa.table({"key": pa.array(keys), "value": pa.array(values)})
 
     got = asked.groupBy("shard").applyInArrow(run, "key long, value long").groupBy("key").agg(F.sum("value").alias("value")).toArrow()
@@ -328,7 +335,9 @@ def _context_answers(top, depth: int):
     def run(key, group):
         trees, at, sizes = _subtrees(group, depth)
         log_p = trees.log10_codes(top.value).astype(np.float32)
+        del trees
         back = [log_p[x].tobytes() for x in np.split(at, np.cumsum(sizes)[:-1])]
+        free_memory()
         return pa.table({"chunk": group["chunk"], "shard": group["shard"], "logs": pa.array(back, pa.binary())})
 
     return run
@@ -343,6 +352,7 @@ def _log10_documents(buf: np.ndarray, off: np.ndarray, log_p: np.ndarray, shards
     for i, j in row_blocks(off):
         own, at = np.unique(context_codes(buf[off[i]: off[j]], off[i: j + 1] - off[i], depth), return_inverse=True)
         blocks.append((i, j, own, at.astype(np.int32)))
+        del own, at
     u = np.unique(np.concatenate([x[2] for x in blocks]))
     values = np.zeros(len(u), np.float32)
     values[_by_context_shard(u, shards, depth)[0]] = log_p
@@ -376,6 +386,8 @@ def _requests(shards: int, deep: int, depth: int):
         order = np.argsort(words, kind="stable")
         words, count = words[order], count[order]
         rows = [(s, words[i:j].tobytes(), count[i:j].tobytes(), None) for s, i, j in by_shard(words, shards)] + codes
+        del h, at, words, count, order
+        free_memory()
         return pa.table({"shard": pa.array([r[0] for r in rows], pa.int64()), "chunk": pa.array([key[0].as_py()] * len(rows), pa.int64()),
                          "words": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary()),
                          "size": pa.array([r[3] for r in rows], pa.int64())})
@@ -403,7 +415,7 @@ def score(docs: DataFrame, train: Column, text: str = "text", doc_id: str = "doc
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), train.alias("train"))
     total = text_bytes(docs, "text")
     chunks, shards = parts_for(total, chunk_bytes), parts_for(total, shard_bytes)
-    deep = parts_for(total, max(1, shard_bytes // 4))
+    deep = parts_for(total, max(1, shard_bytes // 8))  # of the context tree
     dealt = docs.select("doc_id", "train", F.col("text").cast("binary").alias("body"),
                         F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks)).alias("chunk"))
     asked = dealt.select("chunk", "train", "body").groupBy("chunk").applyInArrow(_requests(shards, deep, depth), "shard long, chunk long, words binary, counts binary, size long")
@@ -430,6 +442,8 @@ def score(docs: DataFrame, train: Column, text: str = "text", doc_id: str = "doc
         base = np.bincount(doc, log_p[:-1], len(n)) + log_p[-1]
         known = np.bincount(doc, c[:-1] > 0, len(n)).astype(np.int64) + int(c[-1] > 0)
         bits = -own / np.log10(2) / np.maximum(np.diff(off), 1)
+        del h, at, c, log_p, doc, words, count, parts, logs
+        free_memory()
         return pa.table({"doc_id": left["doc_id"], "train": left["train"], "n_tokens": pa.array(n + 1), "n_known": pa.array(known),
                          "train_tokens": pa.array(np.full(len(n), N, np.int64)), "base_score": pa.array(base, mask=np.isnan(base)), "score": pa.array(own),
                          "bits_per_byte": pa.array(bits)})
