@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import STEP_BYTES, bounded_batches, by_shard, flat, free_memory, mix64, parts_for, row_blocks, shard_of, store, text_bytes, word_hashes
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 SHARD_BYTES = 64 << 20
 DEPTH = 6  # context bytes; a code (DEPTH + 1 bytes) fits 64 bits up to 7
 TOP = 2  # the deepest broadcast level
@@ -385,7 +385,7 @@ def _requests(shards: int, deep: int, depth: int):
         words, count = np.append(words, _END), np.append(count, int(train.sum()))
         order = np.argsort(words, kind="stable")
         words, count = words[order], count[order]
-        rows = [(s, words[i:j].tobytes(), count[i:j].tobytes(), None) for s, i, j in by_shard(words, shards)] + codes
+        rows = [(s, words[i:j].tobytes(), _packed(count[i:j]), None) for s, i, j in by_shard(words, shards)] + codes
         del h, at, words, count, order
         free_memory()
         return pa.table({"shard": pa.array([r[0] for r in rows], pa.int64()), "chunk": pa.array([key[0].as_py()] * len(rows), pa.int64()),
@@ -399,7 +399,7 @@ def _answers(key, group):
     """Total counts of a shard's words, back to every chunk that asked; row chunk = -1 holds the shard's (V, N)."""
     asked = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["words"]]
     words, at = np.unique(np.concatenate(asked), return_inverse=True)
-    total = np.bincount(at, np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in group["counts"]]).astype(float), len(words)).astype(np.int64)
+    total = np.bincount(at, np.concatenate([_unpacked(x, len(w), np.int64) for x, w in zip(group["counts"], asked)]).astype(float), len(words)).astype(np.int64)
     cut = np.cumsum([len(a) for a in asked])[:-1]
     back = [x.tobytes() for x in np.split(total[at], cut)]
     sums = np.array([(total > 0).sum(), total.sum()], np.int64).tobytes()
