@@ -32,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, bounded_batches, by_shard, flat, free_memory, mix64, parts_for, row_blocks, shard_of, store, text_bytes, word_hashes
+from .common import STEP_BYTES, bounded_batches, by_shard, flat, free_memory, mix64, parts_for, row_blocks, shard_of, sorted_unique, store, text_bytes, word_hashes
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 12 << 20
 SHARD_BYTES = 64 << 20
 DEPTH = 6  # context bytes; a code (DEPTH + 1 bytes) fits 64 bits up to 7
 TOP = 2  # the deepest broadcast level
@@ -353,7 +353,7 @@ def _log10_documents(buf: np.ndarray, off: np.ndarray, log_p: np.ndarray, shards
         own, at = np.unique(context_codes(buf[off[i]: off[j]], off[i: j + 1] - off[i], depth), return_inverse=True)
         blocks.append((i, j, own, at.astype(np.int32)))
         del own, at
-    u = np.unique(np.concatenate([x[2] for x in blocks]))
+    u = sorted_unique(np.concatenate([x[2] for x in blocks]))
     values = np.zeros(len(u), np.float32)
     values[_by_context_shard(u, shards, depth)[0]] = log_p
     for i, j, own, at in blocks:
