@@ -36,14 +36,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write to a fresh table in the shared checkpoint folder and read it back: a lineage cut that survives lost
-    executors. The table is removed when the application ends."""
+    executors. The table is removed when the application ends, or by `discard`."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables whose every result is stored itself: nothing may read them again, lost executors included."""
+    for df in tables:
+        spark = df.sparkSession
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def free_memory() -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import discard, store
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -15,7 +15,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     loop ends when a step changes nothing (its number grows with the logarithm of the component size).
     """
     hi, lo = F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
-    edges = store(links.where(F.col(a) != F.col(b)).select(hi, lo), "edges")
+    edges = edges_stored = store(links.where(F.col(a) != F.col(b)).select(hi, lo), "edges")
     seen = None
     while True:
         mark = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
@@ -30,4 +30,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # small star: u and its smaller neighbours get the smallest of them
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         down = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = store(down.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        kept, edges = edges_stored, store(down.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        edges_stored = edges
+        discard(kept)

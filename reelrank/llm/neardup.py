@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, flat, mix64, row_blocks, shingle_hashes, store, word_hashes
+from .common import bounded_batches, discard, flat, mix64, row_blocks, shingle_hashes, sorted_unique, store, word_hashes
 from .graph import components
 
 SHINGLE_WORDS = 5
@@ -53,7 +53,7 @@ def match_threshold(k: int = COORDINATES, pct: int = THRESHOLD_PCT, miss: float
 
 
 def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
-    return np.unique(shingle_hashes(words, k))
+    return sorted_unique(shingle_hashes(words, k))
 
 
 def _sets(body: pa.Array, k: int):
@@ -95,8 +95,8 @@ def signatures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shin
         run, f"doc_id {kind}, set_key binary, n_shingles long, sig array<int>")
 
 
-def postings(classes: DataFrame, k: int, match: int) -> DataFrame:
-    """(pair, node, posted, size, first): prefix postings of the classes. `posted` has a bit for each posted coordinate of
+def postings(classes: DataFrame, k: int, match: int) -> tuple[DataFrame, DataFrame]:
+    """Stored postings, and from them (pair, node, posted, size, first): prefix postings of the classes. `posted` has a bit for each posted coordinate of
     the node, size counts the documents posted under the pair, first is the most central of them."""
     if k > 64:
         raise ValueError("at most 64 coordinates")
@@ -109,7 +109,7 @@ def postings(classes: DataFrame, k: int, match: int) -> DataFrame:
     bits = F.aggregate("front", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x["bit"]))
     made = store(front.select("node", "weight", bits.alias("posted"), F.explode("front").alias("p")).select("node", "weight", "posted", F.col("p.pair").alias("pair")), "postings")
     lists = made.groupBy("pair").agg(F.count("*").alias("size"), F.max_by("node", F.struct("weight", "node")).alias("first")).where("size > 1")
-    return made.drop("weight").join(lists, "pair")
+    return made, made.drop("weight").join(lists, "pair")
 
 
 def _matches(x: str, y: str):
@@ -117,20 +117,25 @@ def _matches(x: str, y: str):
 
 
 def full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, text: str, doc_id: str, shingle_words: int) -> DataFrame:
-    """(node, s): the whole shingle set of each node, from the text of one of its documents."""
-    need = nodes.distinct().join(classes, "node").select("node", "set_key", F.col("doc_id").alias("_id"))
-    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").cast("binary").alias("body"))
-    found = need.join(texts, need["_id"].eqNullSafe(texts["_id"])).select("node", "set_key", "body")
+    """(node, s): the whole shingle set of each node, from the text of one of its documents. The scan keeps the documents that
+    are asked for by a semi-join on a hash of their id (one long each, so no text is shuffled while that list can be
+    broadcast); the digest of the set, not the id, then says whose it is."""
+    need = store(nodes.distinct().join(classes, "node").select("node", "set_key", F.xxhash64("doc_id").alias("_id")), "needed")
+    asked = docs.select(F.xxhash64(doc_id).alias("_id"), F.col(text).cast("string").cast("binary").alias("body")).join(
+        need.select("_id").distinct(), "_id", "left_semi").select("body")
 
     def sets(batches):
         for b in batches:
-            keep, out = [], []
-            for i, (key, s) in enumerate(zip(b.column(1).to_pylist(), _sets(b.column(2), shingle_words))):
-                if len(s) and hashlib.blake2b(s.tobytes(), digest_size=16).digest() == key:  # else another row of that doc_id
-                    keep.append(i), out.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(out, pa.binary())], names=["node", "s"])
+            key, out = [], []
+            for s in _sets(b.column(0), shingle_words):
+                if len(s):
+                    key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest()), out.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(out, pa.binary())], names=["set_key", "s"])
 
-    return store(found.mapInArrow(sets, "node long, s binary").groupBy("node").agg(F.first("s").alias("s")), "sets")
+    found = asked.mapInArrow(sets, "set_key binary, s binary").join(need.select("node", "set_key"), "set_key")
+    out = store(found.dropDuplicates(["node"]).select("node", "s"), "sets")
+    discard(need)
+    return out
 
 
 def confirm(pairs: DataFrame, full: DataFrame, pct: int) -> DataFrame:
@@ -194,12 +199,14 @@ def _block_links(k: int, match: int, pct: int):
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle_words: int = SHINGLE_WORDS,
                     threshold_pct: int = THRESHOLD_PCT, k: int = COORDINATES, miss: float = MISS) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest doc_id of the row's component), kept, component_docs."""
+    """Per row: doc_id, n_shingles, component_id (smallest doc_id of the row's component), kept."""
     match = match_threshold(k, threshold_pct, miss)
     rows = store(signatures(docs, text, doc_id, shingle_words, k), "signatures")
     made = rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     classes = store(made.withColumn("node", F.monotonically_increasing_id()), "classes")
-    posted = store(postings(classes.select("node", "sig"), k, match), "lists")
+    made, lists = postings(classes.select("node", "sig"), k, match)
+    posted = store(lists, "lists")
+    discard(made)
 
     # Round one: each list's documents against its most central one.
     sig = classes.select("node", "n", "sig")
@@ -208,13 +215,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         sig.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
     near = store(star.where((100 * F.least("na", "nb") >= threshold_pct * F.greatest("na", "nb")) & (_matches("sa", "sb") >= match)).select("a", "b"), "pairs")
     ends = near.select(F.col("a").alias("node")).union(near.select("b"))
-    root = store(components(confirm(near, full_sets(ends, classes, docs, text, doc_id, shingle_words), threshold_pct)), "components")
+    sets = full_sets(ends, classes, docs, text, doc_id, shingle_words)
+    confirmed = confirm(near, sets, threshold_pct)
+    discard(near, sets)
+    root = store(components(confirmed), "components")
+    discard(confirmed)
 
     # Round two: what is left of the longer lists, block against block.
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     left = posted.where("size > 2").join(root, "node", "left").select("pair", "node", "posted", F.coalesce("root", "node").alias("root"), blocks.alias("blocks"))
     open_lists = left.groupBy("pair").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("pair")
-    left = store(left.join(open_lists, "pair", "left_semi"), "open")
+    left = open_ = store(left.join(open_lists, "pair", "left_semi"), "open")
+    discard(posted)
     n_left = left.count()
     if n_left:
         full = full_sets(left.select("node"), classes, docs, text, doc_id, shingle_words)
@@ -224,6 +236,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         groups = left.withColumn("_g", F.pmod(F.xxhash64("pair", "lo", "hi"), F.lit(1 + n_left // 4000)))
         found = store(groups.select("_g", "pair", "lo", "hi", "block", "node", "root", "n", "posted", "sig", "s").groupBy("_g").applyInArrow(
             _block_links(k, match, threshold_pct), "a long, b long"), "links")
+        discard(full, open_)
         if not found.isEmpty():
             # the found links between roots; then every node follows its root
             of = lambda x: F.coalesce(F.col(f"root_{x}"), F.col(x)).alias(x)
