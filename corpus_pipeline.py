@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of docs; the last returns the packed pieces. Nothing is sampled: a stage
-works on every row that its predecessor kept. Empty tables pass through all stages.
+works on every row that its predecessor kept. Empty tables pass through all stages. Null texts go with the first stage (they
+have no letter); null, repeated and clashing ids are told apart by row; extra columns travel along whatever their names;
+very long texts are treated whole.
 """
 
 from __future__ import annotations
@@ -11,16 +13,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelrank.llm import decontam, langid, neardup, packing, pii_crf
-from reelrank.llm.common import store, table
+from reelrank.llm.common import discard, store, table
 from reelrank.llm.queries import pack_vocabulary
 
 # Below this posterior the language is not settled and the document goes.
 MIN_LANGUAGE_SCORE = 0.5
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id is not in ids (rows without a doc_id stay)."""
-    return docs.join(ids.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti").select(docs.columns)
+# A private number of each row of a stage's stored input (the scan's splits are fixed, so it is the same wherever it is read).
+ROW = "__row__"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(ROW, F.monotonically_increasing_id())
+
+
+def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose number is not in gone, without the number."""
+    return keyed.join(gone.select(ROW).distinct(), ROW, "left_anti").drop(ROW)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,18 +43,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group (five-word shingles, similarity 0.8); rows that repeat a
-    doc_id with its text count as one document."""
-    found = store(neardup.near_duplicates(docs), "near_duplicates")
-    kept = _without(docs, found.where("not kept"))
-    twice = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    repeated = kept.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
-    return _without(kept, twice).unionByName(repeated)
+    """Keeps one row of each group (five-word shingles, similarity 0.8): the one with the smallest doc_id, ids that are null
+    last, the first row where ids are equal. Decisions hold for rows, so rows that share an id or have none are told apart."""
+    keyed = _keyed(docs)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(ROW).alias("row"))
+    found = store(neardup.near_duplicates(keyed.select(key.alias("key"), "text"), doc_id="key"), "near_duplicates")
+    return _without(keyed, found.where("not kept").select(F.col("doc_id.row").alias(ROW)))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that contain a test item."""
-    return _without(docs, store(decontam.find_leaks(docs, table(spark, sf_dir, "benchmark")), "leaks"))
+    """Drops the rows that contain a test item."""
+    keyed = _keyed(docs)
+    leaks = store(decontam.find_leaks(keyed.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")), "leaks")
+    return _without(keyed, leaks.select(F.col("doc_id").alias(ROW)))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,6 +86,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = store(stage(spark, docs, sf_dir), f"stage-{name}")
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, store(stage(spark, docs, sf_dir), f"stage-{name}")
+        if i:
+            discard(before)  # all that came of it is stored
     return STAGES[-1][1](spark, docs, sf_dir)
