@@ -81,3 +81,21 @@ def test_registered():
 
     names = set(E.queries())
     assert {"pipeline"} <= names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+
+
+def test_decisions_hold_for_rows_not_ids(spark, tmp_path):
+    """Rows that share an id with another text, or have no id, are judged on their own."""
+    r = __import__("random").Random(4)
+    prose = [" ".join(f"word{r.randint(0, 4000)}" for _ in range(120)) for _ in range(4)]
+    item = " ".join(f"question{r.randint(0, 900)}" for _ in range(30))
+    rows = [(5, prose[0]), (9, prose[1]), (9, prose[0] + " end"), (5, prose[2]), (3, prose[2]), (None, prose[1]), (None, prose[3]), (None, prose[3] + " tail"), (7, item + " " + prose[3][:200]), (7, "clean " + prose[3][300:600])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    stored = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = sorted(((x.doc_id, x.text) for x in C.near_dedup(spark, stored, str(tmp_path)).collect()), key=repr)
+    one = [t for i, t in kept if i is None]
+    assert len(one) == 1 and one[0].startswith(prose[3])
+    assert sorted(((i, t) for i, t in kept if i is not None)) == sorted([(5, prose[0]), (9, prose[1]), (3, prose[2]), (7, rows[8][1]), (7, rows[9][1])])
+    clean = C.decontamination(spark, stored, str(tmp_path)).collect()
+    assert sorted(((x.doc_id, x.text) for x in clean), key=repr) == sorted((x for x in rows if item not in x[1]), key=repr)
