@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, flat, mix64, row_blocks, shingle_hashes, sorted_unique, store, word_hashes
+from .common import bounded_batches, discard, flat, free_memory, mix64, row_blocks, shingle_hashes, sorted_unique, store, word_hashes
 from .graph import components
 
 SHINGLE_WORDS = 5
@@ -81,6 +81,7 @@ def signatures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shin
     bounded_batches(docs.sparkSession)
 
     def run(batches):
+        free_memory()  # of what the worker did before
         for b in batches:
             key, size, sig = [], [], []
             for s in _sets(b.column(1), shingle_words):
@@ -125,6 +126,7 @@ def full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, text: str,
         need.select("_id").distinct(), "_id", "left_semi").select("body")
 
     def sets(batches):
+        free_memory()
         for b in batches:
             key, out = [], []
             for s in _sets(b.column(0), shingle_words):
@@ -142,6 +144,7 @@ def confirm(pairs: DataFrame, full: DataFrame, pct: int) -> DataFrame:
     """The pairs (a, b) of nodes whose full shingle sets reach the threshold."""
 
     def check(batches):
+        free_memory()
         for b in batches:
             ok = []
             for x, y in zip(b.column(2), b.column(3)):
@@ -192,6 +195,8 @@ def _block_links(k: int, match: int, pct: int):
         cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
         links = [x for idx in np.split(order, cut) for x in forest(int(col["pair"][idx[0]] >> 32), idx, col, sig, sets)]
         a, b = zip(*links) if links else ((), ())
+        del sets, sig, col
+        free_memory()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
