@@ -88,10 +88,13 @@ def map_batches(df: DataFrame, inputs: dict[str, Column], outputs: dict[str, T.D
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_memory()  # of what the worker did before
         for b in batches:
             if b.num_rows:
                 made = fn(*[b.column(n_keep + i) for i in range(n_in)])
                 yield pa.RecordBatch.from_arrays([b.column(i) for i in range(n_keep)] + made, names=names)
+                del made
+        free_memory()
 
     out = selected.mapInArrow(run, schema)
     return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(c) for c in outputs])
