@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, bounded_batches, flat, mix64, parts_for, prefix_hash, row_blocks, span_hash, store
+from .common import BYTE_VALUE, bounded_batches, discard, flat, mix64, parts_for, prefix_hash, row_blocks, span_hash, store
 
 LENGTH = 400
 ANCHOR = 24
@@ -229,15 +229,24 @@ def _expand(ranges: np.ndarray) -> np.ndarray:
     return np.concatenate([np.arange(s, e) for s, e in ranges]) if len(ranges) else np.zeros(0, np.int64)
 
 
-def _result(body: bytes, starts: np.ndarray, length: int) -> tuple[int, int, int, str]:
-    """(n_bytes, n_removed, n_spans, kept_sha256) for the shared starts of one document."""
+def _result(body: bytes, starts: np.ndarray, length: int) -> tuple[int, int, int, str, str]:
+    """(n_bytes, n_removed, n_spans, kept_sha256, removed) for the shared starts of one document."""
     gone = _ranges(_spread(starts, starts + length, len(body))) if len(starts) else np.zeros((0, 2), np.int32)
     at, kept = 0, hashlib.sha256()
     for s, e in gone.tolist():
         kept.update(memoryview(body)[at:s])
         at = e
     kept.update(memoryview(body)[at:])
-    return len(body), int((gone[:, 1] - gone[:, 0]).sum()), len(gone), kept.hexdigest()
+    return len(body), int((gone[:, 1] - gone[:, 0]).sum()), len(gone), kept.hexdigest(), ",".join(f"{s}:{e}" for s, e in gone.tolist())
+
+
+def _pack(body) -> bytes:
+    """A text on its way between steps: its length, then its zstd block."""
+    return len(body).to_bytes(8, "little") + pa.compress(body, "zstd", asbytes=True)
+
+
+def _unpack_body(x: bytes) -> bytes:
+    return pa.decompress(memoryview(x)[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True)
 
 
 class _Rows:
@@ -250,7 +259,7 @@ class _Rows:
         self.rows.append((doc_id, None, None, None, *_result(body, starts, length)))
 
     def open(self, doc_id, body, known, left):
-        self.rows.append((doc_id, body, known.astype(np.int32).tobytes(), left.tobytes(), None, None, None, None))
+        self.rows.append((doc_id, _pack(body), known.astype(np.int32).tobytes(), left.tobytes(), None, None, None, None, None))
 
     def table(self, chunk: int, plan: Plan, blobs: list | None = None) -> pa.Table:
         """blobs: rows (bucket, owners, keys, twice)."""
@@ -259,10 +268,10 @@ class _Rows:
             a, b = (np.concatenate(x) for x in zip(*self.keys))
             blobs = _blobs(np.full(len(a), chunk), plan.bucket(a), [a, b])
         n, m = len(self.rows), len(blobs)
-        col = list(zip(*self.rows)) if n else [()] * 8
+        col = list(zip(*self.rows)) if n else [()] * 9
         none = [None] * m
-        types = [self.doc_type, pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-        names = ["doc_id", "body", "known", "left", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+        types = [self.doc_type, pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        names = ["doc_id", "body", "known", "left", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"]
         out = {"chunk": pa.array([chunk] * (n + m), pa.int64())} | {name: pa.array([*c, *none], t) for name, c, t in zip(names, col, types)}
         out["bucket"] = pa.array([None] * n + [x[0] for x in blobs], pa.int64())
         out["owners"] = pa.array([None] * n + [x[1] for x in blobs], pa.binary())
@@ -272,8 +281,8 @@ class _Rows:
 
 
 def repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, chunk_bytes: int = CHUNK_BYTES,
-                   bucket_bytes: int = BUCKET_BYTES, with_spans: bool = False) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+                   bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (the byte ranges start:end that went, comma-joined)."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     bounded_batches(docs.sparkSession)
@@ -303,7 +312,7 @@ def repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     def first(key, left, right):
         """Candidate starts from the cover ranks; asks about those at cover positions and the last one."""
         chunk, out = key[0].as_py(), _Rows(doc_type)
-        buf, off = flat(left["body"])
+        buf, off = flat(pa.array([_unpack_body(x) for x in left["body"].to_pylist()], pa.binary()))
         ids = left["doc_id"].to_pylist()
         known = _known_ranks(right)
         for i, j in row_blocks(off):
@@ -330,14 +339,15 @@ def repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         return out.table(chunk, plan)
 
     schema = (f"chunk long, doc_id {kind}, body binary, known binary, left binary, n_bytes long, n_removed long, n_spans long, "
-              "kept_sha256 string, bucket long, owners binary, keys binary, twice binary")
-    result = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+              "kept_sha256 string, removed string, bucket long, owners binary, keys binary, twice binary")
+    result = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"]
 
     def ties(key, left, right):
         """Takes the shared cover starts in; finishes a document or asks about its rims by rank."""
         chunk, out = key[0].as_py(), _Rows(doc_type)
         known, asks = _known_strings(right), []
         for doc, body, cand in zip(left["doc_id"].to_pylist(), left["body"].to_pylist(), left["left"].to_pylist()):
+            body = _unpack_body(body)
             buf = np.frombuffer(body, np.uint8)
             n = len(buf) - length + 1
             mask = np.zeros(n, bool)
@@ -400,7 +410,7 @@ def repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         order = np.argsort(rank, kind="stable")
         rank, lo, hi = rank[order], lo[order], hi[order]
         for body, cand in zip(left["body"].to_pylist(), left["left"].to_pylist()):
-            buf = np.frombuffer(body, np.uint8)
+            buf = np.frombuffer(_unpack_body(body), np.uint8)
             n = len(buf) - length + 1
             at, h, _, _ = plan.places(buf, np.array([0, len(buf)]))
             of = _find(rank, _ranked(plan, h))
@@ -417,6 +427,7 @@ def repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         chunk, out = key[0].as_py(), _Rows(doc_type)
         known = _known_strings(right)
         for doc, body, old, rim in zip(left["doc_id"].to_pylist(), left["body"].to_pylist(), left["known"].to_pylist(), left["left"].to_pylist()):
+            body = _unpack_body(body)
             asked = _expand(np.frombuffer(rim, np.int32).reshape(-1, 2))
             hit = asked[_is_shared(known, *_window_keys(np.frombuffer(body, np.uint8), asked, length))]
             out.done(doc, body, np.concatenate([np.frombuffer(old, np.int32).astype(np.int64), hit]), length)
@@ -430,10 +441,16 @@ def repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     def blobs(rows: DataFrame) -> DataFrame:
         return rows.where("keys is not null").select("bucket", "owners", "keys", "twice")
 
-    candidates = store(dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(first, schema), "candidates")
+    def packed(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_pack(x.as_buffer()) for x in b.column(2)], pa.binary())], names=["chunk", "doc_id", "body"])
+
+    on_the_way = dealt.select("chunk", "doc_id", "body").mapInArrow(packed, f"chunk long, doc_id {kind}, body binary")
+    candidates = store(on_the_way.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(first, schema), "candidates")
     tied = store(with_answers(candidates, _compare(blobs(candidates), _WHOLE), ties), "ties")
     asked = blobs(tied).groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(passed_on, "bucket long, chunk long, keys binary")
     rim = store(blobs(with_answers(candidates, asked, rims)), "rims")
+    done = store(candidates.where("kept_sha256 is not null").select(result), "done")
+    discard(shared, candidates)
     last = with_answers(tied, _compare(rim, _WHOLE), finish)
-    return candidates.where("kept_sha256 is not null").select(result).union(
-        tied.where("kept_sha256 is not null").select(result)).union(last.select(result))
+    return done.union(tied.where("kept_sha256 is not null").select(result)).union(last.select(result))

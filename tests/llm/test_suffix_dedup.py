@@ -17,7 +17,8 @@ def brute(rows, length):
         for i in range(len(b) - length + 1):
             if seen[b[i: i + length]] > 1:
                 gone[i: i + length] = True
-        out.append((doc, len(b), int(gone.sum()), len(S._ranges(gone)), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()))
+        out.append((doc, len(b), int(gone.sum()), len(S._ranges(gone)), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest(),
+                    ",".join(f"{s}:{e}" for s, e in S._ranges(gone).tolist())))
     return out
 
 
