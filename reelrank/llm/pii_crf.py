@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -327,12 +329,16 @@ def crf_spans(buf: np.ndarray, off: np.ndarray, model: CRF) -> list[list[tuple[i
 
 
 def all_spans(base: list[tuple[int, int, int]], more: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Base spans and those others that overlap no earlier one."""
-    out, taken = list(base), sorted((s, e) for s, _, e in base)
+    """Base spans and those others that overlap no earlier one. Sorted merge: what ends furthest among the spans that start
+    before a new one's end decides."""
+    out, fixed = list(base), sorted((s, e) for s, _, e in base)
+    starts, reach = [s for s, _ in fixed], list(accumulate((e for _, e in fixed), max))
+    last = 0  # end of the last span taken in
     for s, k, e in sorted(more):
-        if all(e <= a or s >= b for a, b in taken):
+        i = bisect_left(starts, e)
+        if last <= s and (i == 0 or reach[i - 1] <= s):
             out.append((s, k, e))
-            taken.append((s, e))
+            last = e
     return sorted(out)
 
 

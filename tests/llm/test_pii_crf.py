@@ -88,3 +88,21 @@ def test_edge_rows(edge_docs, no_docs, model):
             assert [x.split(":")[0] for x in r.spans.split(",")] == ["email", "phone", "ip", "card"]
             assert r.redacted == "mail me at [EMAIL] or [PHONE] from [IP], card [CARD]"
     assert P.find_pii(no_docs, model).count() == 0
+
+
+def test_spans_merge_in_linear_time_and_as_by_pairs():
+    import random
+    import time
+
+    r = random.Random(2)
+    for _ in range(300):
+        make = lambda n: [(a, r.randint(0, 3), a + r.randint(1, 9)) for a in (r.randint(0, 60) for _ in range(n))]
+        base, more = make(r.randint(0, 6)), make(r.randint(0, 9))
+        want, taken = list(base), [(s, e) for s, _, e in base]
+        for s, k, e in sorted(more):
+            if all(e <= a or s >= b for a, b in taken):
+                want.append((s, k, e)), taken.append((s, e))
+        assert P.all_spans(base, more) == sorted(want)
+    started = time.time()
+    assert len(P.all_spans([(10 * i, 0, 10 * i + 4) for i in range(100_000)], [(10 * i + 5, 1, 10 * i + 8) for i in range(100_000)])) == 200_000
+    assert time.time() - started < 5
