@@ -5,8 +5,9 @@ patterns miss (phone numbers without a plus sign, card numbers side by side, spe
 ...). It labels words B-/I- per kind or O from word-shape features of the word and its neighbours, is trained by
 gradient ascent on the exact log-likelihood over a small labelled table, and is decoded by Viterbi in numpy, many runs of
 words at once. Words whose form the labelled table never marks (no digit, no @, no cue) are fixed to O: the chain falls
-apart there, so decoding the runs of candidate words alone is exact. CRF spans that overlap a base span or a better
-(earlier) CRF span are dropped.
+apart there, so decoding the runs of candidate words alone is exact. A document with `(at)` or `[at]` spells an address
+out: there the joiners are candidates too, with the words beside them for as long as dots follow. CRF spans that overlap a
+base span or an earlier CRF span are dropped; of two that start together the one of the first kind stays.
 
 Offsets are code points, end exclusive. Null text counts as empty and has no span. Very long texts are handled whole (all
 scans are linear). Repeated rows get equal results; empty tables give empty results; extra columns travel along, and
@@ -82,6 +83,9 @@ CUES = ["token", "=", "key", "secret", "api_key", "password", "phone", "tel", "c
         "e-mail", "ip", "address", "contact", "at", "(at)", "[at]", "dot", "(dot)", "[dot]"]
 _CUE_SET = frozenset(CUES)
 _JOINERS = frozenset(["at", "(at)", "[at]", "dot", "(dot)", "[dot]"])
+_AT, _DOT = frozenset(["(at)", "[at]"]), frozenset(["dot", "(dot)", "[dot]"])
+_SPELLED = re.compile(rb"\(at\)|\[at\]", re.IGNORECASE)
+CACHED_CHARS = 64  # longer words are looked at anew each time
 _TRIM = " .,;:!?\"'%*$&#<>|{}“”"
 _RUNS = re.compile(r"9+|a+|A+")
 
@@ -93,7 +97,7 @@ def shape(word: str) -> str:
         return "cue:" + core.lower()
     if not core:
         return "mark:" + word[:1]
-    plain = "".join("9" if "0" <= c <= "9" else "A" if c.isupper() else "a" if c.isalpha() else c for c in core[:64])
+    plain = "".join("9" if "0" <= c <= "9" else "A" if c.isupper() else "a" if c.isalpha() else c for c in core)
     if "9" in plain and re.fullmatch("[9aA]{24,}", plain) and re.fullmatch("[0-9a-fA-F_-]+", core):
         return "hex"
     return _RUNS.sub(lambda m: f"9{min(len(m[0]), 20)}" if m[0][0] == "9" else m[0][0], plain)
@@ -230,12 +234,15 @@ class CRF:
         if learn:
             return [self.index.setdefault(f"{k}={f}", len(self.index)) for k, f in enumerate(features(word))] + [
                 self.index.setdefault(f"{side}={shape(word)}", len(self.index)) for side in ("prev", "next")]
-        if word not in self.cache:
-            if len(self.cache) > 200_000:
-                self.cache.clear()
-            self.cache[word] = [self.index.get(f"{k}={f}", 0) for k, f in enumerate(features(word))] + [
-                self.index.get(f"{side}={shape(word)}", 0) for side in ("prev", "next")]
-        return self.cache[word]
+        ids = self.cache.get(word)
+        if ids is None:
+            own = features(word)
+            ids = [self.index.get(f"{k}={f}", 0) for k, f in enumerate(own)] + [self.index.get(f"{side}={own[0]}", 0) for side in ("prev", "next")]
+            if len(word) <= CACHED_CHARS:
+                if len(self.cache) > 200_000:
+                    self.cache.clear()
+                self.cache[word] = ids
+        return ids
 
     @staticmethod
     def _with_neighbours(ids: list[list[int]]) -> np.ndarray:
@@ -286,23 +293,39 @@ def crf_spans(buf: np.ndarray, off: np.ndarray, model: CRF) -> list[list[tuple[i
     cand = marked[end] > marked[start]
     size = end - start
     raw = buf.tobytes()
-    for i in np.flatnonzero(~cand & (size <= 12) & (size >= 2)) if b"(at)" in raw or b"[at]" in raw else []:
-        cand[i] = is_candidate(raw[start[i]: end[i]].decode("utf-8", "replace"))
+    word = lambda i: raw[start[i]: end[i]].decode("utf-8", "replace")
     doc = np.repeat(np.arange(len(off) - 1), n)
+    spelled = np.zeros(len(off) - 1, bool)  # documents that spell an address out: there plain joiners are candidates too
+    for m in _SPELLED.finditer(raw):
+        d = int(np.searchsorted(off, m.start(), side="right")) - 1
+        spelled[d] |= m.end() <= off[d + 1]
+    for i in np.flatnonzero(~cand & (size >= 2) & spelled[doc]) if spelled.any() else []:
+        cand[i] = is_candidate(word(i))
     at = np.flatnonzero(cand)
     spans: list[list] = [[] for _ in range(len(off) - 1)]
     if not len(at):
         return spans
-    # a spelled-out address has plain words around its joiner: they join the run
+    # a spelled-out address has plain words around its joiners: they join the run, as far as dots follow
     grown = cand.copy()
-    for i in at:
-        if raw[start[i]: end[i]] in (b"(at)", b"[at]"):
-            for j in (i - 1, i + 1, i + 2, i + 3, i + 4, i + 5):
-                if 0 <= j < len(grown) and doc[j] == doc[i]:
-                    grown[j] = True
+    past = np.cumsum(n)
+    core = lambda i: word(i).strip(_TRIM).lower()
+    for i in at[spelled[doc[at]]]:
+        if core(i) not in _AT:
+            continue
+        hi = int(past[doc[i]])
+        lo = hi - int(n[doc[i]])
+        j = i + 1
+        grown[j: min(j + 1, hi)] = True
+        while j + 1 < hi and core(j + 1) in _DOT:
+            grown[j + 1: min(j + 3, hi)] = True
+            j += 2
+        j = i - 1
+        grown[max(j, lo): j + 1] = True
+        while j - 1 >= lo and core(j - 1) in _DOT:
+            grown[max(j - 2, lo): j] = True
+            j -= 2
     at = np.flatnonzero(grown)
     runs = np.split(at, np.flatnonzero((np.diff(at) > 1) | (doc[at[1:]] != doc[at[:-1]])) + 1)
-    word = lambda i: raw[start[i]: end[i]].decode("utf-8", "replace")
     asked = []
     for r in runs:
         a, b = int(r[0]) - 1, int(r[-1]) + 1

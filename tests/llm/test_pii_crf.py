@@ -106,3 +106,38 @@ def test_spans_merge_in_linear_time_and_as_by_pairs():
     started = time.time()
     assert len(P.all_spans([(10 * i, 0, 10 * i + 4) for i in range(100_000)], [(10 * i + 5, 1, 10 * i + 8) for i in range(100_000)])) == 200_000
     assert time.time() - started < 5
+
+
+def buffer(texts):
+    import numpy as np
+
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+
+
+def test_spelled_out_addresses_of_any_length(model):
+    for hosts in (2, 3, 4, 9, 40):
+        name = "ann_re (at) " + " (dot) ".join(["mail7"] + ["example"] * (hosts - 2) + ["com"])
+        text = f"write to {name} soon and stay"
+        got = P.crf_spans(*buffer([text]), model)[0]
+        assert [(text[s:e], k) for s, k, e in got] == [(name, 0)], hosts
+    text = "name (at) a (dot) b (dot) c (dot) com now"
+    assert P.redact(text, P.crf_spans(*buffer([text]), model)[0]).split()[-2:] == ["[EMAIL]", "now"]
+
+
+def test_spans_of_a_document_do_not_depend_on_its_neighbours(model):
+    r = random.Random(8)
+    pool = ["at", "dot", "(at)", "[AT]", "(dot)", "call", "555-123-4567", "mail7", "x", "a@b.cd", "1999", "token", "=", "“(at)”", "com,", "(a", "t)"]
+    texts = [" ".join(r.choice(pool) for _ in range(r.randint(0, 12))) for _ in range(600)]
+    together = P.crf_spans(*buffer(texts), model)
+    assert together == [P.crf_spans(*buffer([t]), model)[0] for t in texts]
+
+
+def test_the_shape_reads_the_whole_word(model):
+    import time
+
+    long = "a" * 200
+    assert P.shape(long + "9") != P.shape(long) and P.shape("f0" * 64) == "hex" and P.shape("f0" * 64 + "z") != "hex"
+    started = time.time()
+    P.crf_spans(*buffer(["1a" * 300_000 + " " + "(at) x (dot) " * 20_000 + "end"]), model)
+    assert time.time() - started < 20
