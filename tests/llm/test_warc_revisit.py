@@ -62,3 +62,28 @@ def test_edge_rows(spark):
     got = sorted(((r.record_id, r.outcome, r.payload) for r in W.resolve_revisits(records(spark, rows)).collect()))
     assert got == [(2, "unverified", "p"), (2, "unverified", "p"), (3, "orphan", None), (4, "orphan", None), (6, "orphan", None), (8, "unverified", None)]
     assert W.resolve_revisits(records(spark, rows).where("false")).count() == 0
+
+
+def test_times_to_the_microsecond(spark):
+    rows = [(1, "response", "http://a/", 10, 200, {"ETag": "x"}, "early"), (2, "revisit", "http://a/", 10, 304, {"ETag": "x"}, None),
+            (3, "response", "http://a/", 3_599, 200, {"ETag": "y"}, "late"), (4, "revisit", "http://a/", 3_600, 304, {"ETag": "y"}, None),
+            (5, "response", "http://b/", -5, 200, {}, "old"), (6, "revisit", "http://b/", -4, 304, {}, None)]
+    micros = {2: 800_000, 3: 999_999, 4: 0, 6: -999_999}
+    df = records(spark, rows).withColumn("warc_date", F.timestamp_micros(F.unix_micros("warc_date") + F.coalesce(*[F.when(F.col("record_id") == i, F.lit(m)) for i, m in micros.items()], F.lit(0))))
+    got = {r.record_id: (r.outcome, r.response_id, r.payload) for r in W.resolve_revisits(df).collect()}
+    assert got == {2: ("verified", 1, "early"), 4: ("verified", 3, "late"), 6: ("unverified", 5, "old")}
+    at = {r.record_id: r.at for r in W.resolve_revisits(df).select("record_id", F.unix_micros("warc_date").alias("at")).collect()}
+    assert at == {2: 10_800_000, 4: 3_600_000_000, 6: -4_999_999}
+
+
+def test_payload_of_a_repeated_record_id(spark):
+    """The payload is the found response's: other records with its id, at other URLs and times, do not count; ties by tag,
+    then headers, then payload. A null id is found by URL and time."""
+    rows = [(1, "response", "http://a/", 10, 200, {"ETag": "x"}, "first"), (1, "response", "http://a/", 20, 200, {"ETag": "x"}, "second"),
+            (1, "response", "http://b/", 10, 200, {"ETag": "x"}, "zzz"), (1, "response", "http://a/", 10, 404, {"ETag": "x"}, "gone"),
+            (2, "revisit", "http://a/", 15, 304, {"ETag": "x"}, None), (3, "revisit", "http://a/", 25, 304, {"ETag": "x"}, None),
+            (4, "response", "http://c/", 1, 200, {"ETag": "m", "X": "1"}, "c1"), (4, "response", "http://c/", 1, 200, {"ETag": "m", "X": "2"}, "c0"),
+            (4, "response", "http://c/", 1, 200, {"ETag": "k", "X": "9"}, "c9"), (5, "revisit", "http://c/", 2, 304, {"ETag": "m"}, None),
+            (None, "response", "http://d/", 1, 200, {}, "d"), (None, "response", "http://e/", 1, 200, {}, "e"), (6, "revisit", "http://d/", 2, 304, {}, None)]
+    got = {r.record_id: (r.outcome, r.payload) for r in W.resolve_revisits(records(spark, rows)).collect()}
+    assert got == {2: ("verified", "first"), 3: ("verified", "second"), 5: ("verified", "c0"), 6: ("unverified", "d")}
