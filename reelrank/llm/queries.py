@@ -125,14 +125,16 @@ FROM o
 
 @register
 def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ledger of all rules, with the base rules' outcome and the verdict of the current quality policy."""
+    """Ledger of all rules: the base rules' outcome, the verdicts of both versions of the quality policy (kept, kept_v2), and
+    the rules that alone reject a document under the first (saved_by)."""
     rows = rule_ledger.ledger(table(spark, sf_dir, "documents"), keep=["doc_id"])
     rows = rows.withColumn("base_failed", ~rule_ledger.passes(rule_ledger.BASE))
     rows = rule_ledger.apply_policy(rows, rule_ledger.QUALITY)
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "fail_bits")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "fail_bits",
+                       rule_ledger.passes(rule_ledger.STRICT).alias("kept_v2"), rule_ledger.saved_by(rule_ledger.QUALITY).alias("saved_by"))
 
 
-ORACLES["op9_rule_ledger"] = r"""
+_LEDGER_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, list_filter(regexp_split_to_array(text, '[ \t\n\v\f\r]+'), lambda x: x <> '') AS words FROM d),
 p AS (SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
@@ -150,12 +152,32 @@ m AS (SELECT d.doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(w
 b AS (SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT
     + 8 * (100 * n_dup_lines > 30 * n_lines)::BIGINT + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 14 * n_words)::BIGINT
     + 64 * (100 * n_upper > 60 * n_letters)::BIGINT + 128 * (100 * n_digits > 30 * word_chars)::BIGINT + 256 * (n_words > 100000)::BIGINT AS fail_bits FROM m)
-SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
-  n_repeat_words::BIGINT AS n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 63) = 0 AS kept, n_lines::BIGINT AS n_lines, fail_bits
+"""
+ORACLES["op9_rule_ledger"] = _LEDGER_SQL + r"""SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+  n_repeat_words::BIGINT AS n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 63) = 0 AS kept, n_lines::BIGINT AS n_lines, fail_bits,
+  (fail_bits & 511) = 0 AS kept_v2, CASE WHEN bit_count(fail_bits & 63) = 1 THEN fail_bits & 63 ELSE 0 END::BIGINT AS saved_by
 FROM b
 """
 
 
+@register
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per policy version and rule, over the ledger of all documents: how many fail the rule, how many the policy keeps, and
+    how many it would keep beside those without the rule."""
+    got = rule_ledger.ablations(rule_ledger.ledger(table(spark, sf_dir, "documents"), keep=[]))
+    return got.select("policy", F.col("version").cast("long").alias("version"), "rule", "failing", "kept", "regained")
+
+
+ORACLES["quality_ablations"] = _LEDGER_SQL[:-1] + r""",
+a(policy, version, mask) AS (VALUES ('base', 1, 3), ('quality', 1, 63), ('quality', 2, 511)),
+n(rule, bit) AS (VALUES ('few_words', 1), ('repeated_words', 2), ('symbol_share', 4), ('duplicate_lines', 8), ('short_words', 16), ('long_words', 32),
+  ('upper_case', 64), ('digits', 128), ('too_long', 256))
+SELECT policy, version::BIGINT AS version, rule, count_if(fail_bits & bit <> 0)::BIGINT AS failing, count_if(fail_bits & mask = 0)::BIGINT AS kept,
+  count_if(fail_bits & mask = bit)::BIGINT AS regained
+FROM b, a, n WHERE mask & bit <> 0 GROUP BY policy, version, rule
+"""
+
+
 @register
 def op10_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CTW and unigram scores of every document; the rows whose crc32(doc_id) mod 10 is 0 are held out of the training."""

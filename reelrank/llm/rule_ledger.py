@@ -5,7 +5,7 @@ Policies are versioned masks over those bits with a number of tolerated failures
 policies never reads a text again: `apply_policy` is one bitwise AND per row and `ablations` aggregates the distinct bit
 patterns.
 
-Words are runs of bytes other than ASCII white space. Null text counts as empty (no words). Repeated rows get equal
+Words are runs of bytes other than ASCII white space. Texts of any length are measured whole. Null text counts as empty (no words). Repeated rows get equal
 results; empty tables give empty results; extra columns travel along, and columns named like an output are replaced.
 """
 
@@ -149,6 +149,13 @@ def apply_policy(rows: DataFrame, policy: Policy, rules: list[Rule] = RULES) ->
     return rows.withColumn("kept", passes(policy, rules=rules))
 
 
+def saved_by(policy: Policy, fail_bits: str = "fail_bits", rules: list[Rule] = RULES) -> Column:
+    """Bits of the rules each of which, taken out alone, would let a rejected document pass; 0 where it passes or no single
+    rule decides."""
+    failures = F.col(fail_bits).bitwiseAND(F.lit(policy.mask(rules)).cast("long"))
+    return F.when(F.bit_count(failures) == policy.tolerated + 1, failures).otherwise(F.lit(0).cast("long"))
+
+
 def ablations(rows: DataFrame, policies: list[Policy] = POLICIES, rules: list[Rule] = RULES) -> DataFrame:
     """Per policy and rule: documents failing the rule, documents kept by the policy, and documents it would keep beside
     those without the rule. Works on the distinct bit patterns (one aggregate of the ledger; 2**rules of them at most)."""

@@ -51,3 +51,13 @@ def test_edge_rows(edge_docs, no_docs):
     for r in R.ledger(edge_docs).collect():
         assert [r[k] for k in R.MEASURES[:6]] == brute(r.text) and r.fail_bits != "own"
     assert R.ledger(no_docs).count() == 0 and R.ablations(R.ledger(no_docs)).count() == 0
+
+
+def test_rules_that_alone_reject(sample):
+    led = R.ledger(sample)
+    loose = R.Policy("loose", 1, R.QUALITY.rules, tolerated=1)
+    names = {x.name: x for x in R.RULES}
+    for p in (R.QUALITY, R.STRICT, loose):
+        for r in led.withColumn("saved_by", R.saved_by(p)).collect():
+            failed = [names[n] for n in p.rules if fails(r, names[n])]
+            assert r.saved_by == (sum(1 << x.bit for x in failed) if len(failed) == p.tolerated + 1 else 0)
