@@ -14,10 +14,14 @@ changes the time, not the result. (Where `min_score` is so low that no pair is n
 passages of five words.)
 
 Words are runs of ASCII letters, digits and non-ASCII bytes of the lower-cased text: case and punctuation edits cost
-nothing.
-Items with fewer than `MIN_WORDS` words or null text are not searched (chance hits would not be leaks); null or wordless
-documents match nothing. Repeated documents give repeated rows, repeated items count once, equal items are each
-reported. Empty tables give an empty result. Extra columns are not read.
+nothing. Characters of scripts written without spaces (Chinese, Japanese, Thai, Lao, Tibetan, Burmese, Khmer) are a word
+each. Items of fewer than `MIN_WORDS` words are found where their whole word sequence stands, unedited (score 1);
+`short_items=False` leaves them out, for callers to whom a common phrase is no leak.
+
+Null or wordless items and documents match nothing. Repeated documents give repeated rows, repeated items count once, equal
+items are each reported. Of several places of an item in a document the best is returned, the last of equally good ones
+(neighbouring places count as one, with its first). Very long texts are searched whole. Empty tables give an empty result.
+Extra columns are not read.
 
 The benchmark is a stated query set: it is handled in blocks of at most `BLOCK_WORDS` words, each broadcast, and every
 block is held against all documents.
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PUNCTUATED, CodeTable, bounded_batches, flat, mix64, row_blocks, word_hashes
+from .common import LOWER, PUNCTUATED, CodeTable, bounded_batches, flat, mix64, prefix_hash, row_blocks, span_hash, word_hashes
 
 PASSAGE_WORDS = 64
 MIN_WORDS = 5
@@ -39,19 +43,50 @@ MATCH, MISMATCH, GAP = 2, -1, 1
 BLOCK_WORDS = 1_000_000
 
 
+def _unspaced() -> np.ndarray:
+    """Marks the first two UTF-8 bytes (as one number) of the characters that are a word each."""
+    # First and last code point of the blocks of these scripts.
+    blocks = [(0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x33FFF)]
+    out = np.zeros(1 << 16, bool)
+    for first, last in blocks:
+        lo, hi = (int.from_bytes(chr(c).encode()[:2], "big") for c in (first, last))
+        out[lo: hi + 1] = True
+    return out
+
+
+UNSPACED = _unspaced()
+
+
+def words_of(buf: np.ndarray, off: np.ndarray):
+    """As `word_hashes` with PUNCTUATED, but every character of an unspaced script is a word of its own."""
+    lead = np.flatnonzero(buf[:-1] >= 0xE0)
+    lead = lead[UNSPACED[buf[lead].astype(np.int64) << 8 | buf[lead + 1]]]
+    if not len(lead):
+        return word_hashes(buf, off, PUNCTUATED)
+    cut = np.zeros(len(buf) + 1, bool)
+    cut[off] = True
+    cut[lead] = True
+    cut[np.minimum(lead + 3 + (buf[lead] >= 0xF0), len(buf))] = True
+    low = LOWER[buf]
+    word = np.concatenate([[False], ~PUNCTUATED[low], [False]])
+    start = np.flatnonzero(word[1:-1] & (~word[:-2] | cut[:-1]))
+    end = np.flatnonzero(word[1:-1] & (~word[2:] | cut[1:])) + 1
+    return mix64(span_hash(prefix_hash(low), start, end)), start, end, np.diff(np.searchsorted(start, off))
+
+
 def _hashes(text: str) -> np.ndarray:
     buf = np.frombuffer(text.encode(), np.uint8)
-    return word_hashes(buf, np.array([0, len(buf)]), PUNCTUATED)[0]
+    return words_of(buf, np.array([0, len(buf)]))[0]
 
 
 class Passages:
     """The passages of one block of items as word hashes, and their seeds once word counts are known."""
 
-    def __init__(self, items: list[tuple], words: int = PASSAGE_WORDS):
+    def __init__(self, items: list[tuple], words: int = PASSAGE_WORDS, short_items: bool = True):
         self.item, self.words = [], []
         for n, (_, text) in enumerate(items):
             h = _hashes(text or "")
-            if len(h) < MIN_WORDS:
+            if len(h) < (1 if short_items else MIN_WORDS):
                 continue
             step = max(1, words // 2)
             for at in range(0, max(1, len(h) - step), step):
@@ -62,7 +97,14 @@ class Passages:
         """The rarer pairs of every passage, and how many of them an alignment has within how many words."""
         log_p = np.log((counts + 1) / (total + len(counts) + 1))
         self.need, self.span, parts = np.ones(len(self.words), np.int64), np.zeros(len(self.words), np.int64), []
+        self.least, self.single = np.full(len(self.words), min_score), False
         for n, h in enumerate(self.words):
+            if len(h) < MIN_WORDS:  # the whole sequence: every pair, side by side; a lone word is its own seed
+                self.least[n] = max(1.0, min_score)
+                self.need[n], self.span[n] = max(1, len(h) - 1), len(h)
+                self.single |= len(h) == 1
+                parts.append((np.unique(pair_hashes(h, 1) if len(h) > 1 else lone_hashes(h)), n))
+                continue
             need = needed_pairs(len(h), min_score)
             left_out = need // 2
             p = log_p[np.searchsorted(self.vocabulary, h)]
@@ -102,6 +144,10 @@ def pair_hashes(h: np.ndarray, apart: int) -> np.ndarray:
     return mix64(h[:n] * _PAIR_ODD[0] + h[apart: apart + n] * _PAIR_ODD[1])
 
 
+def lone_hashes(h: np.ndarray) -> np.ndarray:
+    return mix64(h ^ _PAIR_ODD[0])
+
+
 def align(passage: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
     """Best local alignment of a passage in a window of word hashes: (score, first, last + 1 word of the window).
 
@@ -145,7 +191,7 @@ def word_counts(docs: DataFrame, vocabulary: np.ndarray, text: str = "text") ->
         for b in batches:
             buf, off = flat(b.column(0))
             for i, j in row_blocks(off):
-                row = bc.value.rows(word_hashes(buf[off[i]: off[j]], off[i: j + 1] - off[i], PUNCTUATED)[0])
+                row = bc.value.rows(words_of(buf[off[i]: off[j]], off[i: j + 1] - off[i])[0])
                 n[:size] += np.bincount(row[row >= 0], minlength=size)
                 n[size] += len(row)
         at = np.flatnonzero(n)
@@ -164,8 +210,8 @@ def _scan(docs: DataFrame, items: list[tuple], passages: Passages, text: str, do
         """(document, passage, word position) of the pairs found, each once, sorted; only where enough are near."""
         index, first, count, of = p.seeds
         out = []
-        for apart in (1, 2):
-            row = index.rows(pair_hashes(h, apart))
+        for apart in (0, 1, 2) if p.single else (1, 2):
+            row = index.rows(pair_hashes(h, apart) if apart else lone_hashes(h))
             at = np.flatnonzero((row >= 0) & (doc[: len(row)] == doc[apart:])) if len(row) else np.zeros(0, np.int64)
             row = row[at]
             k = np.repeat(first[row] - np.cumsum(count[row]) + count[row], count[row]) + np.arange(count[row].sum())
@@ -193,7 +239,7 @@ def _scan(docs: DataFrame, items: list[tuple], passages: Passages, text: str, do
             rows = []
             for i, j in row_blocks(off):
                 part, o = buf[off[i]: off[j]], off[i: j + 1] - off[i]
-                h, start, end, n = word_hashes(part, o, PUNCTUATED)
+                h, start, end, n = words_of(part, o)
                 doc = np.repeat(np.arange(j - i), n)
                 first = np.concatenate([[0], np.cumsum(n)])
                 found = hits(h, doc, p)
@@ -202,11 +248,13 @@ def _scan(docs: DataFrame, items: list[tuple], passages: Passages, text: str, do
                 for group in np.split(found, cut, axis=1) if found.shape[1] else []:
                     d, q = int(group[0, 0]), int(group[1, 0])
                     words, own = p.words[q], h[first[d]: first[d + 1]]
-                    for lo, hi in _windows(group[2] - first[d], p.need[q], p.span[q], len(own)):
+                    for lo, hi in reversed(list(_windows(group[2] - first[d], p.need[q], p.span[q], len(own)))):
                         score, s, e = align(words, own[lo:hi])
                         x = (score / (MATCH * len(words)), first[d] + lo + s, first[d] + lo + e - 1)
-                        if x[0] >= min_score and x > best.get((d, p.item[q]), (0,)):
+                        if x[0] >= p.least[q] and x > best.get((d, p.item[q]), (0,)):
                             best[d, p.item[q]] = x
+                        if x[0] >= 1:  # no earlier place counts more
+                            break
                 for (d, item), (score, s, e) in sorted(best.items()):
                     points = np.flatnonzero((part[o[d]: end[e]] & 0xC0) != 0x80) + o[d]
                     rows.append((i + d, ids[item], score, int(np.searchsorted(points, start[s])), len(points)))
@@ -225,18 +273,19 @@ def _scan(docs: DataFrame, items: list[tuple], passages: Passages, text: str, do
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id",
-               item_text: str = "text", min_score: float = MIN_SCORE, block_words: int = BLOCK_WORDS) -> DataFrame:
+               item_text: str = "text", min_score: float = MIN_SCORE, block_words: int = BLOCK_WORDS, short_items: bool = True) -> DataFrame:
     """(doc_id, item_id, score, start, end): start and end are code points of the aligned part of the lower-cased document (the same as
     in the document, but for the rare letters whose lower case is longer)."""
     bounded_batches(docs.sparkSession)
     items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_id).alias("i"), F.lower(F.col(item_text).cast("string")).alias("t")).distinct()
-    total = items.agg(F.sum(F.size(F.split("t", r"[^\p{Alnum}]+")))).first()[0] or 0
+    # words at most: separated ASCII runs, and one for each other character
+    total = items.agg(F.sum(F.size(F.split("t", r"[^\p{Alnum}]+")) + F.length(F.regexp_replace("t", r"\p{ASCII}", "")))).first()[0] or 0
     blocks = max(1, -(-total // block_words))
     item_type = benchmark.schema[item_id].dataType.simpleString()
     out = None
     for k in range(blocks):
         own = [tuple(r) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).orderBy("i", "t").collect()]  # at most about block_words words
-        passages = Passages(own)
+        passages = Passages(own, short_items=short_items)
         counts, words = word_counts(docs, passages.vocabulary, text)
         passages.choose_seeds(counts, words, min_score)
         found = _scan(docs, own, passages, text, doc_id, min_score, item_type)

@@ -105,3 +105,53 @@ def test_whatever_reaches_the_score_is_found(spark):
     want = {(d, i) for d, words in docs for i, item in items if plain_smith_waterman(item, words) >= D.MIN_SCORE * D.MATCH * len(item)}
     tables = [spark.createDataFrame([(i, " ".join(w)) for i, w in rows], f"{name} long, text string") for rows, name in ((docs, "doc_id"), (items, "item_id"))]
     assert len(want) > 100 and {(x.doc_id, x.item_id) for x in D.find_leaks(*tables).collect()} == want
+
+
+def brute_words(t):
+    import re
+
+    one = "[฀-࿿က-Ⴟក-៿぀-鿿豈-﫿\U00020000-\U00033fff]"
+    return re.findall(f"{one}|(?:(?!{one})[A-Za-z0-9\u0080-\U0010ffff])+", t)
+
+
+def test_words_of_unspaced_scripts():
+    r = random.Random(5)
+    texts = ["".join(r.choice(["中", "文", "ก", "ひ", "한", "é", "a", "B", "7", " ", ",", "🙂", "𠀀", "က", "ක"]) for _ in range(r.randint(0, 14))) for _ in range(3000)]
+    raw = [t.encode() for t in texts]
+    buf, off = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    h, start, end, n = D.words_of(buf, off)
+    first = np.concatenate([[0], np.cumsum(n)])
+    for i, t in enumerate(texts):
+        assert [bytes(buf[start[k]: end[k]]).decode() for k in range(first[i], first[i + 1])] == brute_words(t)
+        assert np.array_equal(h[first[i]: first[i + 1]], D._hashes(t))
+
+
+def test_short_items_are_found_whole(spark):
+    """Items of one to four words: exactly where their word sequence stands, against a plain search."""
+    r = random.Random(6)
+    prose = lambda n: [r.choice(WORDS[:25]) for _ in range(n)]
+    items = [(i, prose(1 + i % 4)) for i in range(40)] + [(90, ["word1", "word1", "word1"]), (91, ["word2"])]
+    docs = [(i, prose(r.randint(0, 60))) for i in range(150)] + [(900, []), (901, ["word1"] * 4), (902, ["word2"] * 5)]
+    want = {(d, i) for d, w in docs for i, x in items if any(w[k: k + len(x)] == x for k in range(len(w)))}
+    tables = [spark.createDataFrame([(i, " ".join(w)) for i, w in rows], f"{name} long, text string") for rows, name in ((docs, "doc_id"), (items, "item_id"))]
+    got = D.find_leaks(*tables).collect()
+    assert len(got) == len(want) and {(x.doc_id, x.item_id) for x in got} == want and {x.score for x in got} == {1.0}
+    words, item = {i: " ".join(w) for i, w in docs}, dict(items)
+    assert all(words[x.doc_id][x.start: x.end] == " ".join(item[x.item_id]) for x in got)
+    assert D.find_leaks(*tables, short_items=False).count() == 0
+
+
+def test_items_in_unspaced_scripts(spark):
+    r = random.Random(7)
+    signs = [chr(0x4E00 + i) for i in range(400)] + [chr(0x0E01 + i) for i in range(40)]
+    prose = lambda n: "".join(r.choice(signs) for _ in range(n))
+    items = [(i, prose(r.randint(15, 60))) for i in range(10)]
+    docs = []
+    for i in range(60):
+        copy = items[i % 10][1]
+        if i % 3 == 1:  # every seventh sign replaced
+            copy = "".join(r.choice(signs) if k % 7 == 3 else c for k, c in enumerate(copy))
+        docs.append((i, prose(100) + ("" if i % 3 == 2 else copy) + prose(100)))
+    got = D.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((x.doc_id, x.item_id) for x in got) == [(i, i % 10) for i in range(60) if i % 3 != 2]
+    assert all(x.score == 1 for x in got if x.doc_id % 3 == 0)
