@@ -5,11 +5,16 @@ lower-cased text, so case, punctuation and line breaks do not count). A template
 whole strides that are wide enough for some window to hold every occurrence whole (stride n/4, at least one shingle; sizes
 are rounded up to a grid, so many templates share their windows). For an occurrence with containment `MIN_CONTAINMENT` the
 window's similarity to the template has a lower bound; the number of bands is chosen so that a window at that bound shares a
-band with probability 1 - `MISS`. Windows that share one are verified: the share of the template's shingles that stand in
-the window. Overlapping verified windows are one match, with the best window's containment.
-
-Null, empty and shorter-than-a-shingle texts match nothing. Repeated rows give repeated matches; empty tables give an empty
-result; extra columns are not read. Templates are a bounded constant (or parameter) and are broadcast.
+band with probability 1 - `MISS`. The bound is taken for windows that hold `RETRIEVED` of the template where text may be
+inserted into it: such a notice stands in no window whole. Windows that share a band are verified: the share of the
+template's shingles that stand in the window. Overlapping verified windows are one match, with the best window's
+containment and from its first to its last shingle. Around windows that fail, the span is widened to both sides for as long
+as a further shingle of the template follows, at most a template's length of words on; it is a match if its parts outside
+other matches hold the share.
+
+Null, empty and shorter-than-a-shingle texts match nothing; very long texts are scanned whole. Repeated rows give repeated
+matches; equal matches of several templates are each reported; empty tables give an empty result; extra columns are not
+read. Templates are a bounded constant (or parameter) and are broadcast.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ from .common import PUNCTUATED, CodeTable, bounded_batches, flat, mix64, row_blo
 
 SHINGLE = 5
 MIN_CONTAINMENT = 0.8
+RETRIEVED = 0.6
 MISS = 1e-3
 # Fixed values: (license, template name, text); public license notices.
 TEMPLATES = [
@@ -54,6 +60,21 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "notice", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("MPL-2.0", "header", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
      "with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("MIT", "disclaimer", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+     "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE "
+     "FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+     "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD", "disclaimer", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT "
+     "NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("ISC", "permission", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+     "the above copyright notice and this permission notice appear in all copies."),
+    ("Zlib", "permission", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
+     "arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to "
+     "alter it and redistribute it freely, subject to the following restrictions"),
+    ("AGPL-3.0", "header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+     "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "header", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+     "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
 ]
 _SEEDS = np.random.default_rng(23).integers(1, 2**63, (2, 256), dtype=np.uint64)
 _NONE = np.uint64(2**64 - 1)
@@ -102,7 +123,7 @@ class Templates:
     """Templates by window class, with their band index."""
 
     def __init__(self, templates=None, containment: float = MIN_CONTAINMENT, miss: float = MISS):
-        self.names, self.sets, self.containment = [], [], containment
+        self.names, self.sets, self.sizes, self.containment = [], [], [], containment
         classes: dict[int, list[int]] = {}
         for name, kind, text in TEMPLATES if templates is None else templates:
             buf = np.frombuffer(text.lower().encode(), np.uint8)
@@ -110,17 +131,23 @@ class Templates:
             if len(words) < SHINGLE:
                 raise ValueError(f"template {name}/{kind} is shorter than a shingle")
             classes.setdefault(grid_size(len(words) - SHINGLE + 1), []).append(len(self.sets))
-            self.names.append((name, kind)), self.sets.append(np.unique(shingle_hashes(words, SHINGLE)))
+            self.names.append((name, kind)), self.sets.append(np.unique(shingle_hashes(words, SHINGLE))), self.sizes.append(len(words) - SHINGLE + 1)
         self.classes = []
         for size, members in sorted(classes.items()):
             stride, per = windows_for(size)
-            rows, bands = bands_for(min(similarity_bound(len(self.sets[t]), stride * per, containment) for t in members), miss)
+            rows, bands = bands_for(min(similarity_bound(len(self.sets[t]), stride * per, self._held(t)) for t in members), miss)
             keys = [_band_keys(np.array([[self._image(self.sets[t], k).min() for k in range(rows * bands)]], np.uint64), rows)[0] for t in members]
             flat_keys, of = np.concatenate(keys), np.repeat(members, bands)
             order = np.argsort(flat_keys, kind="stable")
             unique, first, count = np.unique(flat_keys[order], return_index=True, return_counts=True)
             self.classes.append((stride, per, rows, bands, CodeTable(unique), first, count, of[order]))
 
+    def _held(self, t: int) -> float:
+        """Share of the template that a window is sure to be retrieved with; an insertion breaks SHINGLE - 1 shingles, which
+        short templates cannot miss."""
+        n = len(self.sets[t])
+        return min(RETRIEVED, self.containment) if n - SHINGLE + 1 >= self.containment * n else self.containment
+
     @staticmethod
     def _image(h: np.ndarray, k: int) -> np.ndarray:
         return h * (_SEEDS[0, k] | np.uint64(1)) + _SEEDS[1, k]
@@ -155,6 +182,25 @@ class Templates:
                 yield int(t), int(d), int(start[x]), int(min(start[x] + stride * per, first[d] + n[d]))
 
 
+def widened(shingle: np.ndarray, lo: int, hi: int, own: np.ndarray, size: int, containment: float, taken: list, windows: list) -> list[list]:
+    """[first, last + 1 word, share] of the chains of a template's shingles in a document, at most `size` words between neighbours, that
+    reach the containment, lie outside the spans taken and touch one of the windows (first, last shingle)."""
+    at = lo + np.flatnonzero(np.isin(shingle[lo:hi], own))
+    for s, e, _ in taken:
+        at = at[(at < s) | (at > e - SHINGLE)]
+    begins, reach = np.array(sorted(windows)).T
+    reach = np.maximum.accumulate(reach)
+    out = []
+    for chain in np.split(at, np.flatnonzero(np.diff(at) > size + SHINGLE) + 1):
+        if len(chain) < containment * len(own):
+            continue
+        share = len(np.unique(shingle[chain])) / len(own)
+        k = int(np.searchsorted(begins, chain[-1], side="right"))
+        if share >= containment and k and reach[k - 1] >= chain[0]:
+            out.append([int(chain[0]), int(chain[-1]) + SHINGLE, share])
+    return out
+
+
 def scan(docs: DataFrame, templates: Templates | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, license, template, containment, start, end): one row per match; start and end are code points of the
     lower-cased text, from the first to the last shingle of the template."""
@@ -170,19 +216,25 @@ def scan(docs: DataFrame, templates: Templates | None = None, text: str = "text"
             h = shingle_hashes(words, SHINGLE)
             shingle[: len(h)] = np.where(doc[SHINGLE - 1:] == doc[: len(h)], h, _NONE)
         found: dict[tuple[int, int], list] = {}
+        failed: dict[tuple[int, int], list] = {}
         for t, d, lo, hi in known.retrieve(shingle, first, n):
             inside = np.flatnonzero(np.isin(shingle[lo:hi], known.sets[t]))
             share = len(np.unique(shingle[lo:hi][inside])) / len(known.sets[t])
             if share >= known.containment:
                 found.setdefault((d, t), []).append((lo + int(inside[0]), lo + int(inside[-1]) + SHINGLE, share))
-        for (d, t), spans in sorted(found.items()):
-            spans.sort()
-            merged = [list(spans[0])]
-            for s, e, share in spans[1:]:
-                if s < merged[-1][1]:
+            elif len(inside):
+                failed.setdefault((d, t), []).append((lo + int(inside[0]), lo + int(inside[-1])))
+        for d, t in sorted(found.keys() | failed.keys()):
+            merged: list[list] = []
+            for s, e, share in sorted(found.get((d, t), [])):
+                if merged and s < merged[-1][1]:
                     merged[-1][1:] = max(e, merged[-1][1]), max(share, merged[-1][2])
                 else:
                     merged.append([s, e, share])
+            if (d, t) in failed:
+                merged = sorted(merged + widened(shingle, int(first[d]), int(first[d] + n[d]), known.sets[t], known.sizes[t], known.containment, merged, failed[d, t]))
+            if not merged:
+                continue
             whole = np.concatenate([[0], np.cumsum((buf[off[d]: off[d + 1]] & 0xC0) != 0x80)])
             for s, e, share in merged:
                 yield d, *known.names[t], share, int(whole[start[s] - off[d]]), int(whole[end[e - 1] - off[d]])
