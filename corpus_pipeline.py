@@ -52,9 +52,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the rows that contain a test item."""
+    """Drops the rows that contain a test item of five words or more: shorter ones also stand in clean text."""
     keyed = _keyed(docs)
-    leaks = store(decontam.find_leaks(keyed.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")), "leaks")
+    leaks = store(decontam.find_leaks(keyed.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"), short_items=False), "leaks")
     return _without(keyed, leaks.select(F.col("doc_id").alias(ROW)))
 
 
