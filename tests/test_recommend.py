@@ -192,3 +192,30 @@ def test_any_winner_is_saved_and_predicts_the_same(spark, tmp_path, kind):
     fresh = {"knn": K.fit_knn, "normal": R.fit_normal, "mf": lambda t: R.fit_mf(t, seed=3), "bias": bias}[kind](train)
     want = {(r.user_id, r.item_id): r.est for r in E.predict_with(kind, fresh, pairs, 3).collect()}
     assert len(got) == len(rows) and all(abs(got[k] - want[k]) < 1e-4 for k in want)
+
+
+def test_knn_sends_raters_once_per_chunk_not_once_per_pair(spark, monkeypatch):
+    """Every user rated every item: 80 * 79 pairs of users meet on 12 items. No step holds a row per pair, chunks and steps of
+    any size give the same estimates, and a user without common items or an unrated item gets the mean."""
+    from reelrank.operators import knn as K
+    rows = [(u, i, float((u * 7 + i * 3) % 9 + 1) / 2) for u in range(80) for i in range(12)] + [(500, 900, 2.0)]
+    train = spark.createDataFrame(rows, "user_id long, item_id long, rating double")
+    queries = [(u, i) for u in range(0, 80, 9) for i in (0, 5, 11)] + [(500, 900), (3, 77), (7777, 0)]
+    pairs = spark.createDataFrame(queries, "user_id long, item_id long")
+    model = K.fit_knn(train, k=6)
+    want = _knn_brute(rows, queries, 6, model.mu)
+    for chunk, step in ((2_000_000, 4_000_000), (2_000, 50)):
+        monkeypatch.setattr(K, "RATERS_PER_CHUNK", chunk)
+        monkeypatch.setattr(K, "RATERS_PER_STEP", step)
+        got = {(r.user_id, r.item_id): r.est for r in K.predict_knn(model, pairs).collect()}
+        assert set(got) == set(want)
+        assert all(got[key] == pytest.approx(v, abs=1e-9) for key, v in want.items())
+    monkeypatch.undo()
+    rated = train.withColumnRenamed("rating", "r").withColumn("fold", F.lit(0))
+    v, r = np.arange(50_000) * 11, np.arange(50_000) % 10 / 2.0
+    sent = K._packed(np.full(50_000, 7), v, r, np.zeros(50_000, np.int64))
+    assert len(sent) < 4 * 50_000
+    back = K._unpacked(50_000, sent)
+    assert (back[0] == 7).all() and (back[1] == v).all() and (back[2] == r).all() and not back[3].any()
+    plan = K._estimates(rated.withColumn("q_fold", F.lit(1)), rated, 6, 1)._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapCoGroups" in plan and "Window" not in plan
