@@ -219,3 +219,30 @@ def test_knn_sends_raters_once_per_chunk_not_once_per_pair(spark, monkeypatch):
     assert (back[0] == 7).all() and (back[1] == v).all() and (back[2] == r).all() and not back[3].any()
     plan = K._estimates(rated.withColumn("q_fold", F.lit(1)), rated, 6, 1)._jdf.queryExecution().analyzed().toString()
     assert "FlatMapCoGroups" in plan and "Window" not in plan
+
+
+def test_topn_of_clipped_and_coarse_scores_needs_few_blocks(spark, monkeypatch):
+    """Factors and biases in eighths, many scores clipped at 5.0: exact lists, and most user-block pairs are ruled out."""
+    rng = np.random.default_rng(3)
+    users, items = 60, 3000
+    p, q = rng.integers(-8, 9, (users, 3)) / 8.0, rng.integers(-8, 9, (items, 3)) / 8.0
+    bu, bi = rng.integers(-4, 5, users) / 8.0, rng.integers(-4, 5, items) / 8.0
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    model = R.MFModel(3.5, frame([(u, float(bu[u])) for u in range(users)], "user_id long, b_u double"),
+                      frame([(i, float(bi[i])) for i in range(items)], "item_id long, b_i double"),
+                      frame([(u, p[u].tolist()) for u in range(users)], "user_id long, features array<double>"),
+                      frame([(i, q[i].tolist()) for i in range(items)], "item_id long, features array<double>"), 3)
+    seen = {(u, int(i)) for u in range(users) for i in rng.integers(0, items, 40)} | {(0, i) for i in range(2990)}
+    rated = frame(sorted(seen), "user_id long, item_id long")
+    monkeypatch.setattr(R, "ITEMS_PER_BLOCK", 50)
+    monkeypatch.setattr(R, "USERS_PER_CHUNK", 20)
+    top, pairs = R.top_items(model, model.user_bias.select("user_id"), rated, 5)
+    got = {}
+    for r in top.orderBy("user_id", "rank").collect():
+        got.setdefault(r.user_id, []).append((r.item_id, r.score))
+    score = np.clip(3.5 + bu[:, None] + bi[None, :] + p @ q.T, 0.5, 5.0)
+    for u in range(users):
+        want = sorted((-score[u, i], i) for i in range(items) if (u, i) not in seen)[:5]
+        assert got[u] == [(i, -s) for s, i in want], u
+    assert pairs.count() == pairs.distinct().count()
+    assert pairs.filter("user_id > 0").count() < 59 * items / 50 / 3
