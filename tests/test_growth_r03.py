@@ -49,3 +49,13 @@ def test_ratings_are_sorted_once(spark, tmp_path):
         got = DriverModel(spark, str(tmp_path), store=False).derive_ratings()
         assert len(re.findall(r"\bSort \[", plan(got))) == 1
         assert {(r.user_id, r.item_id, float(r.rating)) for r in got.collect()} == {(3, 7, 0.5), (3, 8, 2.0)}
+
+
+def test_user_genres_move_ratings_not_their_genres(spark):
+    ratings = spark.createDataFrame(RATED, "user_id long, item_id long, rating double")
+    item_genres = spark.createDataFrame([(10, 1), (10, 2), (10, 2), (11, 1), (11, 3), (12, 1), (13, 1)], "item_id long, genre_id long")
+    genres = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "genre_id long, name string")
+    got = A.preferred_genres(ratings, item_genres, genres)
+    assert not re.search(r"hashpartitioning\(user_id#\d+L?, genre", plan(got))
+    assert {(r.user_id, r.genre, r.avg_rating, r.num_ratings) for r in got.collect()} == {
+        (1, "a", 3.0, 3), (1, "b", 3.5, 4), (1, None, 2.0, 1), (2, "a", 5.0, 1), (2, None, 5.0, 1), (None, "a", 1.0, 1), (None, "b", 1.0, 2)}
