@@ -59,3 +59,14 @@ def test_user_genres_move_ratings_not_their_genres(spark):
     assert not re.search(r"hashpartitioning\(user_id#\d+L?, genre", plan(got))
     assert {(r.user_id, r.genre, r.avg_rating, r.num_ratings) for r in got.collect()} == {
         (1, "a", 3.0, 3), (1, "b", 3.5, 4), (1, None, 2.0, 1), (2, "a", 5.0, 1), (2, None, 5.0, 1), (None, "a", 1.0, 1), (None, "b", 1.0, 2)}
+
+
+def test_predicted_pairs_are_not_sorted(spark):
+    bias = lambda k, n, rows: spark.createDataFrame(rows, f"{k} long, {n} double")
+    factors = lambda k, rows: spark.createDataFrame(rows, f"{k} long, features array<double>")
+    model = R.MFModel(3.0, bias("user_id", "b_u", [(1, 0.5)]), bias("item_id", "b_i", [(7, 0.25)]), factors("user_id", [(1, [1.0, 2.0])]), factors("item_id", [(7, [0.5, 0.25])]), 2)
+    pairs = spark.createDataFrame([(1, 7), (1, 8), (2, 7), (None, None)], "user_id long, item_id long")
+    with no_broadcast(spark):
+        got = R.predict_pairs(model, pairs)
+        assert not re.search(r"\bSort \[", plan(got))
+        assert {(r.user_id, r.item_id): r.est for r in got.collect()} == {(1, 7): 4.75, (1, 8): 3.5, (2, 7): 3.25, (None, None): 3.0}
