@@ -144,7 +144,10 @@ def _run_by_year(m, name, sink, prepare=lambda stream: stream):
     consumed and continues from its checkpoint with the next year. So every micro-batch with data is one year."""
     spark = m.spark
     path, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-ck")
-    lines = stored(_line_ratings(m), f"{name}-lines")
+    source = _line_ratings(m)
+    by_year = scratch_path(spark, f"{name}-lines")
+    source.write.partitionBy("year").parquet(by_year)  # a year is read from its own folder, not filtered out of all lines
+    lines = spark.read.schema(source.schema).parquet(by_year).select(source.columns)
     for r in lines.select("year").distinct().orderBy("year").collect():  # one row per year
         lines.filter(F.col("year") == r.year).write.mode("append").parquet(path)
         run_foreach(prepare(spark.readStream.schema(lines.schema).parquet(path)), sink, name, spark, checkpoint)

@@ -70,3 +70,19 @@ def test_predicted_pairs_are_not_sorted(spark):
         got = R.predict_pairs(model, pairs)
         assert not re.search(r"\bSort \[", plan(got))
         assert {(r.user_id, r.item_id): r.est for r in got.collect()} == {(1, 7): 4.75, (1, 8): 3.5, (2, 7): 3.25, (None, None): 3.0}
+
+
+def test_years_are_read_from_their_own_folders(spark, monkeypatch):
+    made, rows = {}, []
+
+    def scratch(session, name, real=streams.scratch_path):
+        made[name] = real(session, name)
+        return made[name]
+
+    lines = [(1, 7, 1994), (1, 8, 1995), (2, 7, 1995), (3, 9, None)]
+    monkeypatch.setattr(streams, "scratch_path", scratch)
+    monkeypatch.setattr(streams, "_line_ratings", lambda m: spark.createDataFrame(lines, "user_id long, item_id long, year int"))
+    streams._run_by_year(SimpleNamespace(spark=spark), "t-years", lambda batch, _: rows.append(sorted(map(tuple, batch.collect()))))
+    folder = made["t-years-lines"].removeprefix("file:")
+    assert {"year=1994", "year=1995"} <= set(os.listdir(folder))
+    assert [r for r in rows if r] == [[(1, 7, 1994)], [(1, 8, 1995), (2, 7, 1995)]]
