@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelrank.llm import decontam, langid, neardup, packing, pii_crf
-from reelrank.llm.common import discard, store, table
+from reelrank.llm.common import bounded_batches, discard, store, table
 from reelrank.llm.queries import pack_vocabulary
 
 # Below this posterior the language is not settled and the document goes.
 MIN_LANGUAGE_SCORE = 0.5
+# Upper bound on the Arrow batches of all stages: they share their executors, and what one leaves there the next one finds.
+STAGE_BATCH_BYTES = 2 * 1024 * 1024
 
 
 # A private number of each row of a stage's stored input (the scan's splits are fixed, so it is the same wherever it is read).
@@ -35,6 +37,7 @@ def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those whose best language has a posterior below MIN_LANGUAGE_SCORE."""
+    bounded_batches(spark, STAGE_BATCH_BYTES)
     model = langid.fit(docs)
     names = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}  # so that no column clashes with the operator's own
     marked = langid.identify(docs.withColumnsRenamed(names), model, text=names["text"])
@@ -45,6 +48,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group (five-word shingles, similarity 0.8): the one with the smallest doc_id, ids that are null
     last, the first row where ids are equal. Decisions hold for rows, so rows that share an id or have none are told apart."""
+    bounded_batches(spark, STAGE_BATCH_BYTES)
     keyed = _keyed(docs)
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(ROW).alias("row"))
     found = store(neardup.near_duplicates(keyed.select(key.alias("key"), "text"), doc_id="key"), "near_duplicates")
@@ -53,6 +57,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the rows that contain a test item of five words or more: shorter ones also stand in clean text."""
+    bounded_batches(spark, STAGE_BATCH_BYTES)
     keyed = _keyed(docs)
     leaks = store(decontam.find_leaks(keyed.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"), short_items=False), "leaks")
     return _without(keyed, leaks.select(F.col("doc_id").alias(ROW)))
@@ -60,6 +65,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every personal-data span by its kind; other text and all other columns stay (n_chars is counted anew)."""
+    bounded_batches(spark, STAGE_BATCH_BYTES)
     names = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
     found = pii_crf.find_pii(docs.withColumnsRenamed(names), pii_crf.fit(), text=names["text"], with_text=True)
     text = F.when(F.col(names["text"]).isNull(), F.lit(None)).when(F.col("spans") == "", F.col(names["text"])).otherwise(F.col("redacted"))
@@ -69,6 +75,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents into sequences of at most 2048 tokens: one row per piece."""
+    bounded_batches(spark, STAGE_BATCH_BYTES)
     return packing.pack_documents(docs, pack_vocabulary())
 
 

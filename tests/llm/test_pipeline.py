@@ -99,3 +99,22 @@ def test_decisions_hold_for_rows_not_ids(spark, tmp_path):
     assert sorted(((i, t) for i, t in kept if i is not None)) == sorted([(5, prose[0]), (9, prose[1]), (3, prose[2]), (7, rows[8][1]), (7, rows[9][1])])
     clean = C.decontamination(spark, stored, str(tmp_path)).collect()
     assert sorted(((x.doc_id, x.text) for x in clean), key=repr) == sorted((x for x in rows if item not in x[1]), key=repr)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in C.STAGES])
+def test_stages_bound_their_batches(spark, name):
+    """Each stage, also one that runs alone, holds its Arrow batches to the pipeline's bound; a lower bound stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    made = [(i, f"The quick brown fox number {i} jumps over the lazy dog, see a{i}@example.org.", "en", "web", 70) for i in range(8)]
+    docs, before = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long"), spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        dict(C.STAGES)[name](spark, docs, SF)
+        assert int(spark.conf.get(key)) == C.STAGE_BATCH_BYTES < 16 * 1024 * 1024
+        spark.conf.set(key, "4096")
+        rows = [tuple(r) for r in dict(C.STAGES)["personal_data"](spark, docs, SF).orderBy("doc_id").collect()]
+        assert spark.conf.get(key) == "4096" and len(rows) == docs.count()
+    finally:
+        spark.conf.unset(key)
+        if before is not None:
+            spark.conf.set(key, before)
