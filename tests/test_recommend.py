@@ -99,6 +99,25 @@ def test_ids_beyond_int(spark, planted):
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-3) for k in a)
 
 
+def test_item_blocks_leave_the_model(planted, monkeypatch):
+    """Users' factors go to fewer blocks than the starting factors are drawn in, and the model is the one of equal blocks."""
+    made, als = [], R.ALS
+
+    def note(**kw):
+        made.append((kw["numUserBlocks"], kw["numItemBlocks"]))
+        return als(**kw)
+
+    def factors(m):
+        return [sorted((r[0], tuple(r.features)) for r in f.collect()) for f in (m.user_factors, m.item_factors)]
+
+    monkeypatch.setattr(R, "ALS", note)
+    now = factors(R.fit_mf(planted, rank=2, max_iter=3, seed=1))
+    assert made == [(R.ALS_BLOCKS, R.ALS_ITEM_BLOCKS)] and R.ALS_ITEM_BLOCKS < R.ALS_BLOCKS
+    monkeypatch.setattr(R, "ALS", lambda **kw: als(**(kw | {"numItemBlocks": kw["numUserBlocks"]})))
+    for a, b in zip(now, factors(R.fit_mf(planted, rank=2, max_iter=3, seed=1))):
+        assert [x for x, _ in a] == [x for x, _ in b] and np.allclose([f for _, f in a], [f for _, f in b], rtol=1e-5, atol=1e-6)
+
+
 def test_top_n_bounds(spark, planted):
     model = R.fit_mf(planted, rank=2, max_iter=2)
     with pytest.raises(ValueError):
