@@ -86,3 +86,28 @@ def test_years_are_read_from_their_own_folders(spark, monkeypatch):
     folder = made["t-years-lines"].removeprefix("file:")
     assert {"year=1994", "year=1995"} <= set(os.listdir(folder))
     assert [r for r in rows if r] == [[(1, 7, 1994)], [(1, 8, 1995), (2, 7, 1995)]]
+
+
+def test_lists_move_ratings_of_the_asked_blocks_only(spark, monkeypatch):
+    """One block of items beats all others but the one of the smallest ids: ratings in the rest never meet the users."""
+    users, items = 6, 80
+    frame = spark.createDataFrame
+    model = R.MFModel(3.0, frame([(u, 0.0) for u in range(users)], "user_id long, b_u double"),
+                      frame([(i, 1.0 if i >= 70 else -i / 100) for i in range(items)], "item_id long, b_i double"),
+                      frame([(u, [0.0]) for u in range(users)], "user_id long, features array<double>"),
+                      frame([(i, [0.0]) for i in range(items)], "item_id long, features array<double>"), 1)
+    ratings = frame([(u, i) for u in range(users) for i in range(0, items, 2)] + [(None, 71), (99, 72), (1, None), (1, 70)], "user_id long, item_id long")
+    moved, score = [], R.score_blocks
+
+    def spy(asked, rated, *rest):
+        moved.append((rated.count(), rated.join(asked.select("block").distinct(), "block", "left_anti").count()))
+        return score(asked, rated, *rest)
+
+    monkeypatch.setattr(R, "ITEMS_PER_BLOCK", 10)
+    monkeypatch.setattr(R, "score_blocks", spy)
+    top, _ = R.top_items(model, model.user_bias.select("user_id"), ratings, 5)
+    got = {}
+    for r in top.orderBy("user_id", "rank").collect():
+        got.setdefault(r.user_id, []).append(r.item_id)
+    assert got == {u: [71, 73, 75, 77, 79] for u in range(users)}
+    assert all(n < ratings.count() / 2 and not other for n, other in moved)
