@@ -111,3 +111,27 @@ def test_lists_move_ratings_of_the_asked_blocks_only(spark, monkeypatch):
         got.setdefault(r.user_id, []).append(r.item_id)
     assert got == {u: [71, 73, 75, 77, 79] for u in range(users)}
     assert all(n < ratings.count() / 2 and not other for n, other in moved)
+
+
+def test_the_fit_reads_residuals_that_are_stored(spark, monkeypatch):
+    """ALS runs the plan of its input more than once: it holds no join. Ratings without an id or a value count as before."""
+    rows = [(u, i, float(1 + (u * i) % 5)) for u in range(8) for i in range(6)] + [(None, 2, 4.0), (3, None, 2.0), (4, 5, None)]
+    ratings = spark.createDataFrame(rows, "user_id long, item_id long, rating double")
+    plans, fit = [], R.ALS.fit
+
+    def spy(self, data, *rest):
+        plans.append(plan(data))
+        return fit(self, data, *rest)
+
+    monkeypatch.setattr(R.ALS, "fit", spy)
+    some = ratings.filter("rating is not null")
+    model = R.fit_mf(some, rank=2, max_iter=2, seed=1)
+    assert len(plans) == 1 and not re.search("Join|Exchange", plans[0])
+    mu, user_bias, item_bias = R.fit_biases(ratings)
+    kept = lambda df, k, v: {r[k]: round(r[v], 9) for r in df.collect()}
+    mu2, user_bias2, item_bias2 = R.fit_biases(some)
+    assert model.mu == mu2 and kept(model.user_bias, "user_id", "b_u") == kept(user_bias2, "user_id", "b_u")
+    assert kept(model.item_bias, "item_id", "b_i") == kept(item_bias2, "item_id", "b_i")
+    seen = [r for r in rows if r[1] == 0]
+    assert kept(item_bias, "item_id", "b_i")[0] == round((sum(r[2] for r in seen) - len(seen) * mu) / (len(seen) + 10), 9)
+    assert {r.user_id for r in model.user_factors.collect()} == set(range(8))
