@@ -5,6 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from reelrank.operators import evaluate as E
 from reelrank.operators import recommend as R
 from reelrank.session import drop_unreferenced, ensure_checkpoint_dir, stored
 
@@ -66,3 +67,17 @@ def test_the_fit_leaves_only_its_model(spark, monkeypatch):
     assert settled(lambda: cached_blocks(spark), lambda n: n <= cached) <= cached
     assert not {t for t in tables(spark) - made if t.startswith(("train", "without-items", "residuals"))}
     assert model.user_factors.count() == 40 and model.item_factors.count() == 25
+
+
+def test_a_fold_is_judged_before_the_next_fit(spark, monkeypatch):
+    ratings, steps = ratings_of(spark), []
+    fit, keep = R.fit_mf, E.stored
+    monkeypatch.setattr(R, "fit_mf", lambda *a, **kw: steps.append("fit") or fit(*a, **kw))
+    monkeypatch.setattr(E, "stored", lambda df, name: steps.append(name) or keep(df, name))
+    got = {r.fold: r for r in E.cross_validate(ratings, ("mf",), 3, 5, mf_params={"rank": 2, "max_iter": 2}).collect()}
+    assert steps == ["folds"] + ["fit", "mf-errors"] * 3
+    data = E.kfold(ratings, ["user_id", "item_id"], 3, 5)
+    model = fit(data.filter("fold <> 1"), rank=2, max_iter=2, seed=6)
+    want = R.rmse_mae(R.predict_pairs(model, data.filter("fold = 1"))).first()
+    assert (got[1].model, got[1].n) == ("mf", want.n) and abs(got[1].rmse - want.rmse) < 1e-6 and abs(got[1].mae - want.mae) < 1e-6
+    assert sum(r.n for r in got.values()) == ratings.count()
