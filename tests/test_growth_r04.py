@@ -70,12 +70,14 @@ def test_the_fit_leaves_only_its_model(spark, monkeypatch):
 
 
 def test_a_fold_is_judged_before_the_next_fit(spark, monkeypatch):
-    ratings, steps = ratings_of(spark), []
+    ratings, steps, before = ratings_of(spark), [], tables(spark)
     fit, keep = R.fit_mf, E.stored
     monkeypatch.setattr(R, "fit_mf", lambda *a, **kw: steps.append("fit") or fit(*a, **kw))
     monkeypatch.setattr(E, "stored", lambda df, name: steps.append(name) or keep(df, name))
     got = {r.fold: r for r in E.cross_validate(ratings, ("mf",), 3, 5, mf_params={"rank": 2, "max_iter": 2}).collect()}
     assert steps == ["folds"] + ["fit", "mf-errors"] * 3
+    left = {t.rsplit("-", 1)[0] for t in tables(spark) - before}
+    assert not left & {"train", "residuals", "without-items", "user-bias", "item-bias", "user-factors", "item-factors"}
     data = E.kfold(ratings, ["user_id", "item_id"], 3, 5)
     model = fit(data.filter("fold <> 1"), rank=2, max_iter=2, seed=6)
     want = R.rmse_mae(R.predict_pairs(model, data.filter("fold = 1"))).first()
