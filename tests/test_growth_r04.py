@@ -3,6 +3,8 @@
 import os
 import time
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from reelrank.operators import evaluate as E
@@ -83,3 +85,33 @@ def test_a_fold_is_judged_before_the_next_fit(spark, monkeypatch):
     want = R.rmse_mae(R.predict_pairs(model, data.filter("fold = 1"))).first()
     assert (got[1].model, got[1].n) == ("mf", want.n) and abs(got[1].rmse - want.rmse) < 1e-6 and abs(got[1].mae - want.mae) < 1e-6
     assert sum(r.n for r in got.values()) == ratings.count()
+
+
+def test_als_keeps_nothing_in_the_heap(spark, monkeypatch):
+    """Its blocks of all ratings and the factors lie on disk, where the heap of the executors does not bound them."""
+    held, fit = [], R.ALS.fit
+
+    def spy(self, data, *rest):
+        model = fit(self, data, *rest)
+        held.extend((i.name(), i.memSize(), i.diskSize()) for i in spark.sparkContext._jsc.sc().getRDDStorageInfo())
+        return model
+
+    drop_unreferenced(spark)
+    monkeypatch.setattr(R.ALS, "fit", spy)
+    model = R.fit_mf(ratings_of(spark), rank=2, max_iter=2, seed=1)
+    assert {"userFactors", "itemFactors"} <= {name for name, _, _ in held} and all(m == 0 and d > 0 for _, m, d in held)
+    assert model.user_factors.count() == 40
+
+
+def test_users_reach_blocks_in_bounded_batches():
+    """A user that may need all item blocks: what is computed and sent at once does not grow with their number."""
+    users, blocks, rank = 300, 5000, 2
+    table = [(k, 0.5, 1.0, k * 10, [-1.0] * rank, [1.0] * rank) for k in range(blocks)]
+    rows = pa.RecordBatch.from_arrays([
+        pa.array(range(users)), pa.array([[0.5] * rank] * users, pa.list_(pa.float64())), pa.array([0.0] * users), pa.array([1.0] * users),
+        pa.array([None if u % 2 else 5.0 for u in range(users)], pa.float64()), pa.array([-1.0] * users)], ["user_id", "features", "b_u", "norm", "nth", "nth_id"])
+    got = list(R._reach(table, 3.0, rank)([rows]))
+    assert max(b.num_rows for b in got) <= R.REACH_BOUNDS and len(got) > 1
+    of, block = (np.concatenate([b.column(c).to_numpy() for b in got]) for c in (0, 4))
+    assert set(of) == set(range(1, users, 2))  # the others' n-th score is the highest there is and no bound reaches it
+    assert len(of) == 150 * (blocks - 2) and set(block) == set(range(2, blocks))
