@@ -1,7 +1,8 @@
-"""What the factorisation leaves on disk and in the executors, and while it runs."""
+"""What the factorisation leaves on disk and in the executors, and while it runs; what `best_of` compares."""
 
 import os
 import time
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from reelrank.operators import evaluate as E
 from reelrank.operators import recommend as R
+from reelrank.plans import learn
 from reelrank.session import drop_unreferenced, ensure_checkpoint_dir, stored
 
 
@@ -115,3 +117,19 @@ def test_users_reach_blocks_in_bounded_batches():
     of, block = (np.concatenate([b.column(c).to_numpy() for b in got]) for c in (0, 4))
     assert set(of) == set(range(1, users, 2))  # the others' n-th score is the highest there is and no bound reaches it
     assert len(of) == 150 * (blocks - 2) and set(block) == set(range(2, blocks))
+
+
+def test_best_of_judges_the_factorisation_too(spark, monkeypatch):
+    """All candidates of the selection are cross-validated, and the factorisation wins when it is best or equal."""
+    errors, asked = {"mf": 0.9, "bias": 0.9, "knn": 1.0, "normal": 1.5}, []
+
+    def cross_validate(ratings, models, folds, seed, mf_params=None):
+        asked.extend(models)
+        return spark.createDataFrame([(x, f, errors[x] + f / 10, 0.5, 10) for x in models for f in range(folds)], "model string, fold int, rmse double, mae double, n long")
+
+    model = SimpleNamespace(_stored=lambda name, sources, derive, write: derive())
+    monkeypatch.setattr(learn, "_train", lambda m: None)
+    monkeypatch.setattr(learn.E, "cross_validate", cross_validate)
+    assert tuple(learn.best_of(model).first()) == ("mf", 1.0) and sorted(asked) == sorted(errors)
+    errors["mf"] = 0.95
+    assert tuple(learn.best_of(model).first()) == ("bias", 1.0)
