@@ -93,9 +93,13 @@ def test_als_keeps_nothing_in_the_heap(spark, monkeypatch):
     """Its blocks of all ratings and the factors lie on disk, where the heap of the executors does not bound them."""
     held, fit = [], R.ALS.fit
 
+    def cached():
+        return {i.id(): (i.name(), i.memSize(), i.diskSize()) for i in spark.sparkContext._jsc.sc().getRDDStorageInfo()}
+
     def spy(self, data, *rest):
+        before = cached()
         model = fit(self, data, *rest)
-        held.extend((i.name(), i.memSize(), i.diskSize()) for i in spark.sparkContext._jsc.sc().getRDDStorageInfo())
+        held.extend(v for k, v in cached().items() if k not in before)
         return model
 
     drop_unreferenced(spark)
